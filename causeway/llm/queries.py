@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import simhash_dedup, substring_dedup
+from causeway.llm import context_tree, sentencepiece_codec, simhash_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,22 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op4_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), piece_model())
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join("ids", ",")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
