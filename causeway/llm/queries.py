@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import context_tree, sentencepiece_codec, simhash_dedup, substring_dedup
+from causeway.llm import context_tree, decontamination, rule_ensemble, sentencepiece_codec, simhash_dedup, substring_dedup, warc_store
+from causeway.llm._common import Tables
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -29,6 +34,10 @@ def op4_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join("ids", ",")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(_table(spark, sf_dir, "documents"))
 
@@ -38,8 +47,20 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = Tables(spark, "warc")
+    manifest = tables.put(warc_store.write(_table(spark, sf_dir, "pages"), f"{tables.root}/archives"))
+    return warc_store.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc_store": """
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+               CASE WHEN page_id = keeper OR octet_length(encode(coalesce(html, ''))) < 1000 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = keeper OR octet_length(encode(coalesce(html, ''))) < 1000 THEN NULL ELSE keeper END AS refers_to
+        FROM (SELECT page_id, html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper FROM pages)""",
+}
