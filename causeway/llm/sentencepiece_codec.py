@@ -4,8 +4,8 @@ The normaliser walks the text by the longest prefix that the model's compiled ch
 normalised byte, the original byte it came from. Pieces are then cut from the normalised text and projected back, so
 every id carries the span of original bytes it stands for; spans follow each other and cover the text.
 
-Segmentation never crosses a place where no piece of the vocabulary could join the two characters, so a text is cut
-there and the pieces of each stretch are remembered: frequent words are merged once a task.
+Normalised text is cut by the library's merges with its own normaliser switched off; vocabularies without byte pieces,
+whose unknown characters have no fixed size, are cut by `Codec.merge`.
 
 Nulls and odd rows: a null text counts as empty and has no ids; repeated rows are encoded alike; extra columns are
 ignored. Only BPE models with the usual white-space prefix are read; others are refused.
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from causeway.llm._common import batches, bounded_batches, octets
 
 SPACE = "▁"
-#: Stretches remembered by a worker before it starts anew; bounds its memory.
-REMEMBERED = 400_000
 
 
 class CharMap:
@@ -71,6 +69,10 @@ class Codec:
         if model.trainer_spec.model_type != pb.TrainerSpec.BPE or model.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("a BPE model with white space as prefix is needed")
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.sizes = np.array([1 if p.type == pb.ModelProto.SentencePiece.BYTE else len(p.piece.encode()) for p in model.pieces], np.int32)
+        self.surfaces = [p.piece.replace(SPACE, " ").encode() for p in model.pieces]
+        for b in range(256 if model.trainer_spec.byte_fallback else 0):
+            self.surfaces[self.library.piece_to_id(f"<0x{b:02X}>")] = bytes([b])
         spec = model.normalizer_spec
         self.map = CharMap(spec.precompiled_charsmap)
         self.dummy, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
@@ -80,10 +82,10 @@ class Codec:
             raise ValueError("user-defined and unused pieces are not supported")
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if model.trainer_spec.byte_fallback else None
         self.unknown = self.library.unk_id()
-        inside = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
-        self.whole = any(x[1] == SPACE and x[0] != SPACE for x in inside)  # a piece may go on after a space
-        self.split = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n" if not any("\n" in x for x in inside) else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.seen: dict[str, tuple[bytes, bytes]] = {}
+        # The same vocabulary without a normaliser of its own cuts text that is already normalised.
+        model.normalizer_spec.add_dummy_prefix = model.normalizer_spec.remove_extra_whitespaces = False
+        model.normalizer_spec.precompiled_charsmap = b""
+        self.cutter = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString()) if self.bytes else None
 
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised text, and for each of its bytes and its end the original byte where it starts."""
@@ -127,7 +129,7 @@ class Codec:
         return bytes(out), np.array([*came, end], np.int64)
 
     def merge(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids and byte lengths of the BPE pieces of one stretch: the best scored pair first, the leftmost of equals."""
+        """Ids and byte lengths of the BPE pieces of a normalised text: the best scored pair first, the leftmost of equals."""
         part: list[str | None] = list(text)
         left, right = list(range(-1, len(part) - 1)), [*range(1, len(part)), -1]
         heap: list[tuple[float, int, int, str]] = []
@@ -166,20 +168,13 @@ class Codec:
             unknown = known is None
         return ids, sizes
 
-    def stretches(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        seen, found = self.seen, [text] if self.whole else self.split.findall(text)
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        out = []
-        for s in found:
-            hit = seen.get(s)
-            if hit is None:
-                ids, sizes = self.merge(s)
-                hit = (np.array(ids, np.int32).tobytes(), np.array(sizes, np.int32).tobytes())
-                if len(s) < 64:
-                    seen[s] = hit
-            out.append(hit)
-        return np.frombuffer(b"".join([x[0] for x in out]), np.int32), np.frombuffer(b"".join([x[1] for x in out]), np.int32)
+    def cut(self, flat: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a normalised text and the normalised bytes that each takes."""
+        if self.cutter:
+            ids = np.array(self.cutter.encode(flat), np.int32)
+            return ids, self.sizes[ids]
+        ids, sizes = self.merge(flat)
+        return np.array(ids, np.int32), np.array(sizes, np.int32)
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the id at i stands for original bytes ends[i - 1] to ends[i]."""
@@ -187,11 +182,11 @@ class Codec:
             return np.empty(0, np.int32), np.empty(0, np.int32)
         if self.map.units or self.squeeze or not self.escape:
             flat, came = self.normalise(text)
-            ids, sizes = self.stretches(flat.decode("utf-8", "replace"))
+            ids, sizes = self.cut(flat.decode("utf-8", "replace"))
             return ids, came[np.cumsum(sizes)].astype(np.int32)
         # Without a map only spaces change: one byte becomes three, and the first mark stands for no byte.
         plain = text.decode("utf-8", "replace")
-        ids, sizes = self.stretches((SPACE if self.dummy else "") + plain.replace(" ", SPACE))
+        ids, sizes = self.cut((SPACE if self.dummy else "") + plain.replace(" ", SPACE))
         ends = np.cumsum(sizes)
         flat = np.frombuffer(text, np.uint8)
         wide = np.ones(len(flat), np.int64)
@@ -202,6 +197,15 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
+    def rebuild(self, ids: np.ndarray) -> str:
+        """decode for ids of valid text: the pieces' surfaces without the first mark; others go to the library."""
+        if self.bytes and self.dummy and not self.squeeze and not self.map.units:
+            try:
+                return b"".join(map(self.surfaces.__getitem__, ids.tolist()))[1:].decode()
+            except UnicodeDecodeError:
+                pass
+        return self.library.decode(ids.tolist())
+
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
@@ -226,7 +230,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
         c = codec(model)
         for b in batches(source):
             got = [c.encode(t) for t in octets(b.column(1))]
-            decoded = [c.decode(ids.tolist()) if len(ids) else "" for ids, _ in got]
+            decoded = [c.rebuild(ids) if len(ids) else "" for ids, _ in got]
             yield pa.RecordBatch.from_arrays([b.column(0), _lists([g[0] for g in got]), _lists([g[1] for g in got]), pa.array(decoded, pa.string())], names=[key, "ids", "ends", "decoded"])
 
     return docs.select(key, F.col("text").cast("string")).mapInArrow(run, f"{key} {kind}, ids array<int>, ends array<int>, decoded string")
