@@ -34,6 +34,7 @@ EDITS = 0.2
 WALKS, SAMPLES, PLACES = 6, 6, 2
 #: Text bytes of a block of items; what a block's index takes on an executor is a small multiple of it.
 BLOCK_BYTES = 4 << 20
+STRIDE = 4
 # A-Z lowered, and the ASCII punctuation that is taken out.
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -131,22 +132,29 @@ class Index:
 
     def candidates(self, codes: np.ndarray) -> Iterator[tuple[int, int]]:
         """(start, item) pairs of windows over the codes of a batch that share an LSH key with an item."""
-        known = np.concatenate(([0], np.cumsum(codes > 0)))
+        known = np.concatenate(([0], np.cumsum(codes > 0, dtype=np.int32)))
         pair = codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:]
         hit = np.zeros(len(pair), bool)
         both = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
         if len(both) and len(self.pairs):
             at = np.searchsorted(self.pairs, pair[both])
             hit[both] = self.pairs[np.minimum(at, len(self.pairs) - 1)] == pair[both]
-        paired = np.concatenate(([0], np.cumsum(hit)))
+        paired = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
+        phases = [np.ascontiguousarray(paired[r::STRIDE]) for r in range(STRIDE)]
         for length, (walks, tables) in self.lengths.items():
             if len(codes) < length:
                 continue
             t = allowed(length, self.edits)
-            ok = known[length:] - known[:-length] >= length - t
-            if length - 1 - 2 * t > 0:
-                ok &= paired[length - 1 :] - paired[: len(paired) - length + 1] >= length - 1 - 2 * t
-            starts = np.flatnonzero(ok)
+            need = length - 1 - 2 * t
+            if need >= 2 * STRIDE:
+                # Counts at every fourth start, less what three steps can change, leave few starts to look at.
+                tail = phases[(length - 1) % STRIDE][(length - 1) // STRIDE :]
+                coarse = np.flatnonzero(tail - phases[0][: len(tail)] >= need - STRIDE + 1)
+                starts = (coarse[:, None] * STRIDE + np.arange(1 - STRIDE, STRIDE)).ravel()
+                starts = np.unique(starts[(starts >= 0) & (starts + length <= len(codes))])
+            else:
+                starts = np.arange(len(codes) - length + 1)
+            starts = starts[(known[starts + length] - known[starts] >= length - t) & (paired[starts + length - 1] - paired[starts] >= need)]
             for a in range(0, len(starts), 1 << 16):
                 some = starts[a : a + (1 << 16)]
                 found = set()
