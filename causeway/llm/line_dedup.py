@@ -101,7 +101,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     tables = Tables(docs.sparkSession, "runs")
     cuts = tables.put(repeated_runs(docs, min_words)).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("_cuts"), F.sum("n").alias("_n"))
     cuts = cuts.withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(cuts, docs.doc_id.cast("long") == cuts._doc, "left")
+    # Cuts grow with the documents: the same merge join at every size.
+    joined = docs.join(cuts.hint("merge"), docs.doc_id.cast("long") == cuts._doc, "left")
     kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.exists("_cuts", lambda c: (i >= c["first"]) & (i <= c["last"])))
     text = F.when(F.col("_cuts").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
     others = [c for c in docs.columns if c != "text"]
