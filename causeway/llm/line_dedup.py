@@ -25,7 +25,8 @@ from causeway.llm._common import Tables
 
 #: Words of a repeated run from which its later copies are deleted.
 MIN_WORDS = 10
-_AT = F.struct("doc_id", "pos")
+def _at():
+    return F.struct("doc_id", "pos")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def _intervals(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(doc_id, pos, name) of the rows whose keys others share; the name is the earliest place."""
-    groups = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.min(_AT).alias("earliest")).where("n > 1").drop("n")
+    groups = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.min(_at()).alias("earliest")).where("n > 1").drop("n")
     return pairs.join(groups, keys).select("doc_id", "pos", F.col("earliest").alias("name"))
 
 
@@ -55,7 +56,7 @@ def repeated_prefixes(rows: DataFrame, tables: Tables) -> tuple[DataFrame | None
     state = None
     for k in range(len(rounds) - 2, -1, -1):
         step, ranks = 1 << k, rounds[k]
-        enter = ranks.where(F.col("name") < _AT).select("doc_id", "pos", F.lit(step).alias("size"), "name")
+        enter = ranks.where(F.col("name") < _at()).select("doc_id", "pos", F.lit(step).alias("size"), "name")
         if state is None:
             state = tables.put(enter)
             continue
@@ -64,8 +65,8 @@ def repeated_prefixes(rows: DataFrame, tables: Tables) -> tuple[DataFrame | None
         taking = state.unionByName(firsts)
         ahead = ranks.select("doc_id", F.col("pos").alias("on"), F.col("name").alias("next"))
         tried = taking.withColumn("on", F.col("pos") + F.col("size")).join(ahead, ["doc_id", "on"]).drop("on")
-        least = tried.groupBy("name", "size", "next").agg(F.min(_AT).alias("first"))
-        longer = tried.join(least, ["name", "size", "next"]).where(F.col("first") < _AT)
+        least = tried.groupBy("name", "size", "next").agg(F.min(_at()).alias("first"))
+        longer = tried.join(least, ["name", "size", "next"]).where(F.col("first") < _at())
         longer = longer.select("doc_id", "pos", (F.col("size") + step).alias("size"), F.col("first").alias("name"))
         merged = state.unionByName(longer).unionByName(enter)
         # A suffix's longest prefix so far wins; of equal sizes there is one.
