@@ -184,7 +184,7 @@ def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", at_
         def flush():
             nonlocal held, size, done
             name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{done:04d}.warc.zst"
-            with system.open_output_stream(posixpath.join(root, name)) as out:
+            with system.open_output_stream(posixpath.join(root, name), compression=None) as out:
                 written = sum(out.write(x) for x in archive(held))
             row = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [len(held)], "bytes": [written]})
             held, size, done = [], 0, done + 1
@@ -215,7 +215,7 @@ def read(manifest: DataFrame) -> DataFrame:
             for path in b.column(0).to_pylist():
                 system, at = _open(path)
                 rows, size = [], 0
-                with system.open_input_stream(at) as stream:
+                with system.open_input_stream(at, compression=None) as stream:
                     for raw in unpack(stream):
                         rows.append(parse(raw))
                         size += len(raw)
