@@ -31,9 +31,11 @@ WINDOW = 20
 #: Words of a minimiser gram. Four words seldom recur outside repeated passages, so no bucket grows hot by chance.
 GRAM = 4
 #: Windows of one packed string at most; bounds a row in texts that repeat themselves.
-LONGEST = 200
-#: Packed strings of a task among which equal ones are folded.
-FOLD = 200_000
+LONGEST = 200  # under 256: see _pack
+#: Packed strings of a task among which equal ones are folded; about 350 bytes of memory each.
+FOLD = 400_000
+#: Bits of a bucket's number; minimisers that share it meet for nothing, which costs a little time and no result.
+BUCKET_BITS = 44
 #: About as many windows are sorted at once; a bucket is never divided.
 SORT = 300_000
 
@@ -62,7 +64,7 @@ def super_kmers(words: list[bytes], k: int = WINDOW, m: int = GRAM):
     for i in range(m):
         g = (g ^ h[i : len(h) - m + 1 + i]) * _A
         g ^= g >> np.uint64(29)
-    g = ((g * _B) >> np.uint64(1)).astype(np.int64)
+    g = ((g * _B) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     least = _windowed_min(g, k - m + 1)
     cuts = np.flatnonzero(np.diff(least)) + 1
     starts = np.concatenate(([0], cuts))
@@ -79,17 +81,20 @@ def super_kmers(words: list[bytes], k: int = WINDOW, m: int = GRAM):
 
 
 def _pack(source, k: int, m: int):
-    """Rows (bucket, doc_id, start, n, packed) of packed strings, and with packed null of windows known to be later."""
+    """Rows (bucket, doc_id, start, packed): packed strings, start being twice the first window plus the flag.
+
+    Where packed is null, the windows are known to be later, and bucket is 256 times the first window plus their number.
+    """
     held: dict[bytes, tuple[int, int, int, int]] = {}
     early: list[tuple[int, int, int]] = []
 
     def rows():
-        rank = [(b, d, s, f, p) for p, (d, s, b, f) in held.items()] + [(s, d, s, n, None) for d, s, n in early]
+        rank = [(b, d, 2 * s + f, p) for p, (d, s, b, f) in held.items()] + [(s << 8 | n, d, 0, None) for d, s, n in early]
         held.clear()
         early.clear()
-        cols = list(zip(*rank, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "doc_id", "start", "n", "packed"])
+        cols = list(zip(*rank, strict=True)) or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "doc_id", "start", "packed"])
 
     for b in batches(source):
         for doc, text in zip(b.column(0).to_pylist(), octets(b.column(1)), strict=True):
@@ -163,9 +168,9 @@ def _ranges(source, k: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     for b in batches(source):
-        for bucket, doc, start, n, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for bucket, doc, start, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if packed is None:
-                out.append((doc, start, start + n + k - 1))
+                out.append((doc, bucket >> 8, (bucket >> 8) + (bucket & 255) + k - 1))
                 continue
             if bucket != now:
                 if flagged or len(group) > 1:
@@ -174,8 +179,8 @@ def _ranges(source, k: int):
                         out += _mark(block, k)
                         block, size = [], 0
                 group, now, flagged = [], bucket, 0
-            group.append((doc, start, packed))
-            flagged |= n
+            group.append((doc, start >> 1, packed))
+            flagged |= start & 1
             size += (len(group) > 1) * (len(packed) // 16)
         if len(out) >= 50_000:
             yield flush()
@@ -189,7 +194,7 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFram
     """(doc_id, begin, end): word ranges, end exclusive, covered by windows that also start earlier; they may overlap."""
     bounded_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    packed = named.mapInArrow(lambda source: _pack(source, k, m), "bucket long, doc_id long, start int, n int, packed binary")
+    packed = named.mapInArrow(lambda source: _pack(source, k, m), "bucket long, doc_id long, start int, packed binary")
     met = packed.repartition("bucket").sortWithinPartitions("bucket")
     return met.mapInArrow(lambda source: _ranges(source, k), "doc_id long, begin int, end int")
 
