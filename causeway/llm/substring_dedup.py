@@ -1,7 +1,8 @@
 """Exact removal of repeated word windows by super-k-mer partitioning.
 
 A window is k consecutive words. Every window has a minimiser, the least hash among its m-word grams; consecutive
-windows with the same minimiser travel as one packed string (a super-k-mer) to the minimiser's bucket. Equal windows
+windows with the same minimiser travel as one packed string (a super-k-mer, compressed with a common dictionary) to the
+minimiser's bucket. Equal windows
 have equal minimisers, so they meet in one bucket, where the windows of the strings are sorted and every occurrence but
 the first is marked. Marked ranges go back to their documents, whose words are then cut.
 
@@ -22,6 +23,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,9 @@ BUCKET_BITS = 44
 #: About as many windows are sorted at once; a bucket is never divided.
 SORT = 300_000
 
+#: Texts, and bytes of each, that the dictionary for packed strings is trained on; it changes bytes on the way, never results.
+SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 8000, 64 << 10
+
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -80,16 +85,29 @@ def super_kmers(words: list[bytes], k: int = WINDOW, m: int = GRAM):
     return out
 
 
-def _pack(source, k: int, m: int):
+def dictionary(docs: DataFrame) -> bytes:
+    """A Zstandard dictionary for packed strings, from a bounded sample of texts; too few texts serve as raw content."""
+    rows = docs.where(F.length("text") > 0).select(F.substring(F.col("text").cast("string"), 1, SAMPLE_BYTES).alias("t")).limit(SAMPLE_TEXTS).collect()
+    pieces = [t[i : i + 200] for t in (r.t.encode() for r in rows) for i in range(0, len(t), 200)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=64, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(pieces)[:DICTIONARY_BYTES].ljust(8, b" ")
+
+
+def _pack(source, k: int, m: int, known: bytes):
     """Rows (bucket, doc_id, start, packed): packed strings, start being twice the first window plus the flag.
 
     Where packed is null, the windows are known to be later, and bucket is 256 times the first window plus their number.
     """
+    words_known = zstandard.ZstdCompressionDict(known)
+    words_known.precompute_compress(level=1)
+    squeeze = zstandard.ZstdCompressor(dict_data=words_known, write_dict_id=False, write_checksum=False).compress
     held: dict[bytes, tuple[int, int, int, int]] = {}
     early: list[tuple[int, int, int]] = []
 
     def rows():
-        rank = [(b, d, 2 * s + f, p) for p, (d, s, b, f) in held.items()] + [(s << 8 | n, d, 0, None) for d, s, n in early]
+        rank = [(b, d, 2 * s + f, squeeze(p)) for p, (d, s, b, f) in held.items()] + [(s << 8 | n, d, 0, None) for d, s, n in early]
         held.clear()
         early.clear()
         cols = list(zip(*rank, strict=True)) or [()] * 4
@@ -121,14 +139,15 @@ def _pack(source, k: int, m: int):
     yield rows()
 
 
-def _mark(rows: list[tuple[int, int, bytes]], k: int):
+def _mark(rows: list[tuple[int, int, bytes]], k: int, expand):
     """(doc_id, start, end) word ranges of later windows among the packed strings (doc_id, start, packed) of some buckets.
 
     Each window is a 128-bit digest of its bytes; sorting digests by place puts the first occurrence at the front.
     """
     digests, docs, starts = [], array("q"), array("q")
     digest = xxhash.xxh3_128_digest
-    for doc, start, packed in rows:
+    for doc, start, squeezed in rows:
+        packed = expand(squeezed)
         ends = [len(w) for w in packed.split()]
         ends = list(accumulate(ends, lambda a, b: a + b + 1))
         n = len(ends) - k + 1
@@ -154,9 +173,10 @@ def _mark(rows: list[tuple[int, int, bytes]], k: int):
         yield from zip(docs[a].tolist(), starts[a].tolist(), (starts[b] + k).tolist(), strict=True)
 
 
-def _ranges(source, k: int):
+def _ranges(source, k: int, known: bytes):
     """Batches sorted by bucket: a string alone in its bucket holds no repeats unless it is flagged."""
     names, kinds = ["doc_id", "begin", "end"], (pa.int64(), pa.int32(), pa.int32())
+    expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(known)).decompress
     out: list[tuple[int, int, int]] = []
     block: list[tuple[int, int, bytes]] = []
     group: list[tuple[int, int, bytes]] = []
@@ -176,17 +196,17 @@ def _ranges(source, k: int):
                 if flagged or len(group) > 1:
                     block += group
                     if size >= SORT:
-                        out += _mark(block, k)
+                        out += _mark(block, k, expand)
                         block, size = [], 0
                 group, now, flagged = [], bucket, 0
             group.append((doc, start >> 1, packed))
             flagged |= start & 1
-            size += (len(group) > 1) * (len(packed) // 16)
+            size += (len(group) > 1) * (len(packed) // 8)
         if len(out) >= 50_000:
             yield flush()
     if flagged or len(group) > 1:
         block += group
-    out += _mark(block, k)
+    out += _mark(block, k, expand)
     yield flush()
 
 
@@ -194,9 +214,10 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFram
     """(doc_id, begin, end): word ranges, end exclusive, covered by windows that also start earlier; they may overlap."""
     bounded_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    packed = named.mapInArrow(lambda source: _pack(source, k, m), "bucket long, doc_id long, start int, packed binary")
+    known = dictionary(named)
+    packed = named.mapInArrow(lambda source: _pack(source, k, m, known), "bucket long, doc_id long, start int, packed binary")
     met = packed.repartition("bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(lambda source: _ranges(source, k), "doc_id long, begin int, end int")
+    return met.mapInArrow(lambda source: _ranges(source, k, known), "doc_id long, begin int, end int")
 
 
 def _cut(source):
