@@ -6,7 +6,8 @@ similarity of 0.8; items under five words must match exactly). Items are the sta
 of a bounded size, and each block is held against all documents.
 
 For each length among a block's items, every window of that many words is a candidate if it holds enough of the
-block's words and word pairs: each edit spoils one word and at most two pairs, so the test loses nothing. A window then
+block's words and of the word pairs of items of that length: each edit spoils one word and at most two pairs, so the
+test loses nothing. A window then
 takes several random walks of Chakraborty, Goldenberg and Koucky: the walk copies the current word, and a random bit of
 step and word decides whether to move on, which turns few edits into few differing places. Samples of places are the
 LSH keys; a window that shares a key with an item of its length is verified with a bit-parallel edit distance over the
@@ -127,7 +128,8 @@ class Index:
                 for k, i in zip(keys.tolist(), members, strict=True):
                     table[k].append(i)
                 tables.append((np.array(sorted(table), np.uint64), dict(table)))
-            self.lengths[length] = (walks, tables)
+            pairs = np.unique(np.concatenate([x[:-1].astype(np.uint64) << np.uint64(32) | x[1:] for x in (coded[i] for i in members)]))
+            self.lengths[length] = (walks, tables, np.searchsorted(self.pairs, pairs))
         self.gap = max((allowed(n, edits) for n in self.lengths), default=0) + 1
 
     def candidates(self, codes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -135,13 +137,15 @@ class Index:
         known = np.concatenate(([0], np.cumsum(codes > 0, dtype=np.int32)))
         pair = codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:]
         hit = np.zeros(len(pair), bool)
+        which = np.empty(0, np.int64)
         both = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
         if len(both) and len(self.pairs):
-            at = np.searchsorted(self.pairs, pair[both])
-            hit[both] = self.pairs[np.minimum(at, len(self.pairs) - 1)] == pair[both]
+            at = np.minimum(np.searchsorted(self.pairs, pair[both]), len(self.pairs) - 1)
+            hit[both] = same = self.pairs[at] == pair[both]
+            which = at[same]
         paired = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
         phases = [np.ascontiguousarray(paired[r::STRIDE]) for r in range(STRIDE)]
-        for length, (walks, tables) in self.lengths.items():
+        for length, (walks, tables, own) in self.lengths.items():
             if len(codes) < length:
                 continue
             t = allowed(length, self.edits)
@@ -155,6 +159,11 @@ class Index:
             else:
                 starts = np.arange(len(codes) - length + 1)
             starts = starts[(known[starts + length] - known[starts] >= length - t) & (paired[starts + length - 1] - paired[starts] >= need)]
+            # Of the pairs in a window, those of items of this length: `paired` numbers the hits up to a place.
+            mine = np.zeros(len(self.pairs), bool)
+            mine[own] = True
+            count = np.concatenate(([0], np.cumsum(mine[which], dtype=np.int32)))
+            starts = starts[count[paired[starts + length - 1]] - count[paired[starts]] >= need]
             for a in range(0, len(starts), 1 << 16):
                 some = starts[a : a + (1 << 16)]
                 found = set()
