@@ -243,8 +243,9 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFrame
     tables = Tables(docs.sparkSession, "windows")
     # Written down so that the strings' shuffle is over before the texts are dealt by doc_id.
     found = tables.put(repeated_ranges(docs, k, m))
-    # Spark deletes a shuffle's files once nothing refers to it; a collection here frees them before the next shuffle.
+    cuts = tables.put(found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("cuts")))
+    # Spark deletes a shuffle's files once nothing refers to it. Its last action is still referred to, so a collection
+    # frees the strings' shuffle only now that the cuts were written after it.
     docs.sparkSession._jvm.System.gc()
-    cuts = found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return texts.join(cuts, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
