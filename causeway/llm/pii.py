@@ -3,18 +3,17 @@ r"""Personal data: fixed kinds by pattern, and terms that give protected values
 Base kinds are e-mail addresses, IP addresses, card numbers and phone numbers. Their values are the protected entities.
 A term discloses an entity by their pointwise mutual information as a share of the entity's information content:
 
-    disclosure(e, t) = log(n_et N / (n_e n_t)) / log(N / n_e)
+    disclosure(e, t) = log(p(e | t) / p(e)) / -log p(e),   p(e | t) = n_et / n_t
 
-with N documents, n_e and n_t of them holding the entity and the term, and n_et in which the term stands on a line with
-the entity. Terms that reach DISCLOSURE with at least SUPPORT common documents are spans of kind term in every document
-that shows the pair on one line. All counts are over all documents. `sanitise` generalises base values to their kind and
-removes terms.
+with n_e, n_t and n_et of N documents that hold the entity, the term, and both, p(e) = n_e / N. Terms that
+stand on a line with the entity somewhere, share at least SUPPORT documents with it and reach DISCLOSURE are spans of kind term in every document that holds them, with the entity or without. All counts are over
+all documents. `sanitise` generalises base values to their kind and removes terms.
 
 Places are code points. A pattern's matches and the text between them give the places: lengths add up.
 
 Nulls and odd rows: a null text counts as empty; a null doc_id is searched for base kinds and lends its counts, but takes
-no terms; rows that repeat a doc_id are searched each and count once among documents; extra columns are ignored; no
-documents, no rows.
+no terms; rows that repeat a doc_id are searched and counted each, and take each other's terms; extra columns are ignored;
+no documents, no rows.
 """
 
 from __future__ import annotations
@@ -97,21 +96,24 @@ def _words(text: Column) -> Column:
 def disclosing_terms(docs: DataFrame, tables: Tables, support: int = SUPPORT, least: float = DISCLOSURE) -> DataFrame:
     """(doc_id, terms): the terms to take out of each document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     held = rows.withColumn("values", F.array_distinct(F.transform(base_spans(F.col("text")), lambda s: s["value"]))).where(F.size("values") > 0)
-    near = held.select("doc_id", "values", F.explode(F.split("text", "\n")).alias("line"))
-    near = near.select("doc_id", "line", F.explode(F.filter("values", lambda v: F.instr(F.col("line"), v) > 0)).alias("entity"))
-    near = tables.put(near.select("doc_id", "entity", F.array_distinct(_words(F.col("line"))).alias("words")))
-    entities = near.groupBy("entity", "doc_id").agg(F.lit(1)).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = near.join(entities, "entity").select("doc_id", "entity", "n_e", F.explode("words").alias("term"))
-    pairs = tables.put(pairs.where(F.instr("term", F.col("entity")) == 0).groupBy("doc_id", "entity", "term").agg(F.first("n_e").alias("n_e")))
-    joint = tables.put(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("n_et") >= support))
-    terms = rows.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    held = tables.put(held.select("text", F.explode("values").alias("entity")))
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    lines = F.array_join(F.filter(F.split("text", "\n"), lambda x: F.instr(x, F.col("entity")) > 0), "\n")
+    held = held.select("entity", F.array_distinct(_words(lines)).alias("beside"), F.array_distinct(_words(F.col("text"))).alias("words"))
+    named = lambda c, beside: F.transform(c, lambda w: F.struct(w.alias("term"), F.lit(beside).alias("beside")))
+    pairs = held.select("entity", F.explode(F.concat(named(F.col("beside"), 1), named(F.array_except("words", "beside"), 0))).alias("w"))
+    joint = pairs.groupBy("entity", "w.term").agg(F.count("*").alias("n_et"), F.max("w.beside").alias("beside"))
+    joint = tables.put(joint.where((F.col("n_et") >= support) & (F.col("beside") == 1) & (F.instr("term", F.col("entity")) == 0)).drop("beside"))
+    holds = rows.select("doc_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    terms = holds.groupBy("term").agg(F.count("*").alias("n_t"))
     n = float(max(docs.count(), 2))
-    content = F.log(F.lit(n) / F.col("n_e"))
-    known = joint.join(terms, "term").withColumn("share", F.when(content > 0, F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / content).otherwise(0.0))
-    told = tables.put(known.where(F.col("share") >= least).select("entity", "term"))
-    return pairs.join(told, ["entity", "term"]).groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    share = F.col("n_e") / n
+    given = F.col("n_et") / F.col("n_t")
+    known = joint.join(entities, "entity").join(terms, "term").withColumn("share", F.when(share < 1, F.log(given / share) / -F.log(share)).otherwise(0.0))
+    told = tables.put(known.where(F.col("share") >= least).select("term").distinct())
+    return holds.where("doc_id is not null").join(told, "term").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
 def _term_pattern(terms: Column) -> Column:
