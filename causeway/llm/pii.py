@@ -3,10 +3,12 @@ r"""Personal data: fixed kinds by pattern, and terms that give protected values
 Base kinds are e-mail addresses, IP addresses, card numbers and phone numbers. Their values are the protected entities.
 A term discloses an entity by their pointwise mutual information as a share of the entity's information content:
 
-    disclosure(e, t) = log(p(e | t) / p(e)) / -log p(e),   p(e | t) = n_et / n_t
+    disclosure(e, t) = log(p(e | t) / p(e)) / -log p(e),   p(e | t) = (n_et + PRIOR p(e)) / (n_t + PRIOR)
 
-with n_e, n_t and n_et of N documents that hold the entity, the term, and both, p(e) = n_e / N. Terms that
-stand on a line with the entity somewhere, share at least SUPPORT documents with it and reach DISCLOSURE are spans of kind term in every document that holds them, with the entity or without. All counts are over
+with n_e, n_t and n_et of N documents that hold the entity, the term, and both, p(e) = n_e / N. The estimate is drawn
+towards independence by PRIOR documents, so that a value of one document is estimated like any other and a term needs
+more than its own rarity the fewer documents there are. Terms that stand on a line with the entity somewhere and reach
+DISCLOSURE are spans of kind term in every document that holds them, with the entity or without. All counts are over
 all documents. `sanitise` generalises base values to their kind and removes terms.
 
 Places are code points. A pattern's matches and the text between them give the places: lengths add up.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm._common import Tables
 
-SUPPORT, DISCLOSURE = 3, 0.8
+PRIOR, DISCLOSURE = 1.0, 0.8
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns of the base kinds, with possessive repeats where what follows cannot match inside them.
 PATTERNS = {
@@ -93,24 +95,24 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, f"{_SPACE}+"), lambda w: w != "")
 
 
-def disclosing_terms(docs: DataFrame, tables: Tables, support: int = SUPPORT, least: float = DISCLOSURE) -> DataFrame:
+def disclosing_terms(docs: DataFrame, tables: Tables, prior: float = PRIOR, least: float = DISCLOSURE) -> DataFrame:
     """(doc_id, terms): the terms to take out of each document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     held = rows.withColumn("values", F.array_distinct(F.transform(base_spans(F.col("text")), lambda s: s["value"]))).where(F.size("values") > 0)
     held = tables.put(held.select("text", F.explode("values").alias("entity")))
-    entities = held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_e"))
     lines = F.array_join(F.filter(F.split("text", "\n"), lambda x: F.instr(x, F.col("entity")) > 0), "\n")
     held = held.select("entity", F.array_distinct(_words(lines)).alias("beside"), F.array_distinct(_words(F.col("text"))).alias("words"))
     named = lambda c, beside: F.transform(c, lambda w: F.struct(w.alias("term"), F.lit(beside).alias("beside")))
     pairs = held.select("entity", F.explode(F.concat(named(F.col("beside"), 1), named(F.array_except("words", "beside"), 0))).alias("w"))
     joint = pairs.groupBy("entity", "w.term").agg(F.count("*").alias("n_et"), F.max("w.beside").alias("beside"))
-    joint = tables.put(joint.where((F.col("n_et") >= support) & (F.col("beside") == 1) & (F.instr("term", F.col("entity")) == 0)).drop("beside"))
+    joint = tables.put(joint.where((F.col("beside") == 1) & (F.instr("term", F.col("entity")) == 0)).drop("beside"))
     holds = rows.select("doc_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     terms = holds.groupBy("term").agg(F.count("*").alias("n_t"))
     n = float(max(docs.count(), 2))
     share = F.col("n_e") / n
-    given = F.col("n_et") / F.col("n_t")
+    given = (F.col("n_et") + prior * share) / (F.col("n_t") + prior)
     known = joint.join(entities, "entity").join(terms, "term").withColumn("share", F.when(share < 1, F.log(given / share) / -F.log(share)).otherwise(0.0))
     told = tables.put(known.where(F.col("share") >= least).select("term").distinct())
     return holds.where("doc_id is not null").join(told, "term").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))

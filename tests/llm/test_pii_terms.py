@@ -15,6 +15,11 @@ def filler(at, n):
     return [(at + i, "mail today of agent number and so on") for i in range(n)]
 
 
+def test_a_value_of_one_document_is_estimated(spark):
+    got = added(spark, [(1, "mail ann@home.org of agent Quillon today"), *filler(10, 60)])
+    assert got[1] == {"Quillon"} and not any(got[d] for d in got if d != 1)
+
+
 def test_told_terms_go_wherever_they_stand_and_pairs_count_by_document(spark):
     docs = [(0, "mail bob@home.org of agent Zarquon today")]
     docs += [(1 + i, "mail of agent Zarquon today\nmail bob@home.org today") for i in range(3)]
