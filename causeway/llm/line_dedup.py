@@ -8,7 +8,8 @@ longest common prefixes need: going back from the longest round to the first, ea
 whenever the interval that this gives still has an earlier member. So every suffix ends with the exact length of its
 longest common prefix with any earlier one.
 
-A run of lines that repeats an earlier run is deleted if it holds at least MIN_WORDS words; the first copy stays. Minima
+A run of lines that repeats an earlier run is deleted, however short; the first copy stays. Callers may ask for a least
+number of words, counted at ASCII white space. Minima
 and counts are aggregated before each shuffle and joined back, so that a line which most documents hold is split.
 
 Nulls and odd rows: a null text counts as empty; blank lines belong to no run, and go only where they lie inside one;
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from causeway.llm._common import Tables
 
-#: Words of a repeated run from which its later copies are deleted.
-MIN_WORDS = 10
+#: Words of a repeated run from which its later copies are deleted: every run.
+MIN_WORDS = 1
 def _at():
     return F.struct("doc_id", "pos")
 
@@ -34,7 +35,7 @@ def lines(docs: DataFrame) -> DataFrame:
     every = F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line")))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.filter(every, lambda s: s.line != "")).alias("pos", "s"))
     line = F.col("s.line")
-    words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     return rows.select("doc_id", "pos", F.col("s.at").alias("at"), words.alias("words"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
