@@ -13,10 +13,12 @@ from causeway.functions import clocks as C
 
 
 def shared_path(spark, name: str) -> str:
-    """A new place in the folder that driver and executors share; a local one where none is set (tests)."""
+    """A new place in the folder that driver and executors share; a local one in local mode where none is set (tests)."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="causeway-"))
         at = sc.getCheckpointDir()
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

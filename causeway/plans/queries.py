@@ -15,6 +15,7 @@ from causeway.sources import wire
 from causeway.streaming import reader
 
 CAPACITY = 48
+SHORT_SPAN = 64
 #: Spreads event ids over 32-bit words and 16-bit epochs (Knuth's multiplier and a prime).
 SPREAD, STEP = 2654435761, 7919
 
@@ -165,8 +166,8 @@ def description_filled(spark, sf_dir):
     return S.script(spark, sf_dir).where("op = 'event_payload'").select("pos", W.filled(F.lit("value was {} cents"), F.col("payload_raw")).alias("said"))
 
 
-def _reports(spark, sf_dir) -> DataFrame:
-    return wire.with_header(S.reports(T.segments(S.script(spark, sf_dir))))
+def _reports(spark, sf_dir, span: int = S.REPORT_SPAN) -> DataFrame:
+    return wire.with_header(S.reports(T.segments(S.script(spark, sf_dir)), span))
 
 
 def report_header(spark, sf_dir):
@@ -209,8 +210,8 @@ def snapshot_codec(spark, sf_dir):
 
 
 def report_gap(spark, sf_dir):
-    """Gaps after every third report has been lost."""
-    return T.report_gaps(_reports(spark, sf_dir).where("(seq_num + probe_id) % 3 <> 0").select("probe_id", "seq_num"))
+    """Gaps after every third report has been lost; short reports, so that small tables have several a probe."""
+    return T.report_gaps(_reports(spark, sf_dir, SHORT_SPAN).where("(seq_num + probe_id) % 3 <> 0").select("probe_id", "seq_num"))
 
 
 def report_dedupe(spark, sf_dir):
@@ -317,7 +318,13 @@ en AS (SELECT probe_id, pos // {_BLOCK} AS seq_num, CASE op WHEN 'event_time' TH
     CASE WHEN {_TICKS} THEN 2 ELSE n_words END AS n_words, CASE WHEN {_TICKS} THEN NULL ELSE event_id END AS event_id, CASE WHEN op IN ('event_payload', 'event_payload_time') THEN payload_raw & {_MASK} END AS payload_raw,
     CASE WHEN {_TICKS} THEN probe_id END AS clock_probe_id, CASE WHEN {_TICKS} THEN {_packed('ticks')} END AS clock_word, CASE WHEN op IN ('event_time', 'event_payload_time') THEN time_ns END AS time_ns FROM seg
     UNION ALL SELECT dst_probe, pos // {_BLOCK}, 'clock', 2, NULL, NULL, src_probe, {_packed('src_ticks')}, NULL FROM edges)"""
-_REPORTS = f"rp AS (SELECT probe_id, pos // {_BLOCK} AS seq_num, max(ticks) AS ticks, CAST(sum(n_words) AS BIGINT) AS n FROM seg GROUP BY ALL)"
+
+
+def _report_rows(span: int) -> str:
+    return f"rp AS (SELECT probe_id, pos // {span} AS seq_num, max(ticks) AS ticks, CAST(sum(n_words) AS BIGINT) AS n FROM seg GROUP BY ALL)"
+
+
+_REPORTS = _report_rows(_BLOCK)
 _WORD = f"event_id * {SPREAD} % {1 << 32}"
 _RAW = f"r AS (SELECT event_id, ({_WORD}) & {0xBFFFFFFF} AS x FROM events)"
 
@@ -359,7 +366,7 @@ ORACLE_SQL: dict[str, str] = {
     "report_frontier": f"WITH {_SCRIPT}, {_REPORTS} SELECT seq_num, probe_id, {_epoch('ticks')} AS epoch, {_tick('ticks')} AS ticks FROM rp",
     "decoded_interactions": f"WITH {_SCRIPT} SELECT dst_probe, {_packed('dst_ticks')} AS dst_clock, src_probe, {_packed('src_ticks')} AS src_clock FROM edges",
     "snapshot_codec": f"WITH {_SCRIPT}, s AS (SELECT pos, probe_id, {_epoch('(ticks - 1)')} AS epoch, {_tick('(ticks - 1)')} AS ticks FROM seg WHERE op = 'produce') SELECT pos, {_le('probe_id', 4)} || {_le('ticks', 2)} || {_le('epoch', 2)} || '00000000' AS bytes, probe_id, epoch, ticks, CAST(NULL AS VARCHAR) AS error FROM s",
-    "report_gap": f"WITH {_SCRIPT}, {_REPORTS}, g AS (SELECT probe_id, seq_num, seq_num - lag(seq_num, 1, -1) OVER (PARTITION BY probe_id ORDER BY seq_num) - 1 AS missing FROM rp WHERE (seq_num + probe_id) % 3 <> 0) SELECT * FROM g WHERE missing > 0",
+    "report_gap": f"WITH {_SCRIPT}, {_report_rows(SHORT_SPAN)}, g AS (SELECT probe_id, seq_num, seq_num - lag(seq_num, 1, -1) OVER (PARTITION BY probe_id ORDER BY seq_num) - 1 AS missing FROM rp WHERE (seq_num + probe_id) % 3 <> 0) SELECT * FROM g WHERE missing > 0",
     "report_dedupe": "WITH r AS (SELECT user_id AS probe_id, event_id % 2 AS epoch, event_id % 7 AS seq_num, user_id % 2 = 0 AS persistent_epoch FROM events) SELECT DISTINCT * FROM r WHERE persistent_epoch UNION ALL SELECT * FROM r WHERE NOT persistent_epoch",
     "expectations": f"WITH {_SCRIPT}, t AS (SELECT event_id, CASE WHEN pos % 9 = 0 THEN 0 ELSE payload_raw END AS payload FROM script WHERE NOT {_TICKS}) SELECT CAST(event_id AS BIGINT) AS event_id, CASE event_id WHEN 5 THEN 'view has a value' ELSE 'error' END AS name, CASE event_id WHEN 5 THEN count(*) ELSE 0 END AS expected, CASE event_id WHEN 5 THEN count(*) FILTER (payload = 0) ELSE 0 END AS unmet, CASE event_id WHEN 5 THEN 0 ELSE count(*) END AS failures FROM t WHERE event_id IN (2, 5) GROUP BY event_id",
     "log_correlation": f"WITH {_SCRIPT} SELECT probe_id, ticks, event_count, 'error at ' || pos AS line, pos FROM tl WHERE op = 'event'",
