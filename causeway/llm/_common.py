@@ -15,10 +15,12 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode a local one where it is unset."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="causeway-"))
         at = sc.getCheckpointDir()
     return at.rstrip("/")
@@ -51,6 +53,24 @@ class Tables:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys with more than a share of 1 / HOT of all rows, fewer than HOT of them by that share, are dealt over SPREAD tasks.
+HOT, SPREAD = 2000, 64
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, deal: list[str]) -> DataFrame:
+    """Inner join to a right side of one row a key, without bringing a hot key's rows to one task.
+
+    Column n of right is the number of left rows that have the key, total a bound of their sum. A hot key's right row is
+    copied, and its left rows are dealt over the copies by the columns `deal`. The marks of hot keys are broadcast: by
+    their share there are fewer than HOT. n is left out of the result.
+    """
+    hot = F.col(n) > max(total // HOT, 1)
+    marks = F.broadcast(right.where(hot).select(*keys, F.lit(SPREAD).alias("_ways")))
+    dealt = left.join(marks, keys, "left").withColumn("_way", F.pmod(F.xxhash64(*deal), F.coalesce("_ways", F.lit(1)))).drop("_ways")
+    ways = F.explode(F.sequence(F.lit(0).cast("long"), F.when(hot, SPREAD - 1).otherwise(0).cast("long")))
+    return dealt.join(right.withColumn("_way", ways).drop(n), [*keys, "_way"]).drop("_way")
+
+
 def octets(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -1,59 +1,73 @@
-"""Removal of repeated line runs, by a suffix array over line sequences, in DataFrame operations only.
+r"""Removal of repeated line runs, by a suffix array over line sequences, in DataFrame operations only.
 
-A document is the sequence of its non-blank lines; a line's symbol is the 128-bit hash of its trimmed text. The suffixes
-are sorted by prefix doubling: in round k, suffixes that share their first 2^k lines form one interval, named by the
-place (doc_id, line) of its earliest suffix; pairs of names, of a suffix and of the one 2^k lines on, give the intervals
-of 2^(k+1) lines. Intervals of one suffix are done and leave. The array is kept as these intervals, which is all that
-longest common prefixes need: going back from the longest round to the first, each suffix adds 2^k lines to its prefix
-whenever the interval that this gives still has an earlier member. So every suffix ends with the exact length of its
-longest common prefix with any earlier one.
+A document is the sequence of its non-blank lines; a line's symbol is the 128-bit hash of its trimmed text. Suffixes are
+grouped by prefix doubling: in round k, suffixes that share their first 2^k lines form one interval of the suffix array,
+named by the place (doc_id, line) of its earliest suffix; pairs of names, of a suffix and of the one 2^k lines on, give
+the intervals of 2^(k+1) lines. Intervals of one suffix are done and leave. Names stand in for ranks: only which suffixes
+lie in one interval and which of them is earliest is needed, so the array is kept as its intervals and never put in
+order. Longest common prefixes come from them: going back from the longest round to the first, each suffix adds 2^k lines
+to its prefix whenever the interval that this gives still has an earlier member. So every suffix ends with the exact
+length of its longest common prefix with any earlier one.
 
 A run of lines that repeats an earlier run is deleted, however short; the first copy stays. Callers may ask for a least
-number of words, counted at ASCII white space. Minima
-and counts are aggregated before each shuffle and joined back, so that a line which most documents hold is split.
+number of words `[^\x20\x09-\x0D]+`; lines are trimmed of that white space too. Minima and counts are aggregated before
+each shuffle; where they are joined back, the rows of a line or interval that holds a large share of all are dealt over
+many tasks (`split_join`), so that a line which most documents hold is split.
 
 Nulls and odd rows: a null text counts as empty; blank lines belong to no run, and go only where they lie inside one;
 rows with a null doc_id take no part and stay whole; rows that repeat a doc_id are one document to the array, and what is
-found for it is cut from each. Ties do not arise: places differ. Extra columns pass through. Empty input, empty result.
+found for it is cut from each. Ties do not arise: places differ. Extra columns pass through, whatever their names; only
+n_removed gives way to the count of that name. Empty input, empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm._common import Tables
+from causeway.llm._common import Tables, split_join
 
 #: Words of a repeated run from which its later copies are deleted: every run.
 MIN_WORDS = 1
+# ASCII white space.
+SPACE = " \t\n\x0b\x0c\r"
+
+
 def _at():
     return F.struct("doc_id", "pos")
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(SPACE))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, at, words, a, b): non-blank lines, pos counting only those, at counting all; a and b are the symbol."""
-    every = F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line")))
+    every = F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("at"), _trimmed(x).alias("line")))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.filter(every, lambda s: s.line != "")).alias("pos", "s"))
     line = F.col("s.line")
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     return rows.select("doc_id", "pos", F.col("s.at").alias("at"), words.alias("words"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def _intervals(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def _intervals(pairs: DataFrame, keys: list[str], total: int) -> DataFrame:
     """(doc_id, pos, name) of the rows whose keys others share; the name is the earliest place."""
-    groups = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.min(_at()).alias("earliest")).where("n > 1").drop("n")
-    return pairs.join(groups, keys).select("doc_id", "pos", F.col("earliest").alias("name"))
+    groups = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.min(_at()).alias("earliest")).where("n > 1")
+    return split_join(pairs, groups, keys, "n", total, ["doc_id", "pos"]).select("doc_id", "pos", F.col("earliest").alias("name"))
 
 
 def repeated_prefixes(rows: DataFrame, tables: Tables) -> tuple[DataFrame | None, DataFrame]:
     """((doc_id, pos, size, name) of suffixes whose first size lines occur earlier, rows of lines that occur again)."""
-    often = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    again = tables.put(rows.join(often, ["a", "b"]).groupBy("doc_id", "pos").agg(F.max(F.struct("a", "b", "at", "words")).alias("s")).select("doc_id", "pos", "s.*"))
-    rounds = [tables.put(_intervals(again, ["a", "b"]))]
+    total = rows.count()
+    often = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b", "n")
+    shared = split_join(rows, often, ["a", "b"], "n", total, ["doc_id", "pos"])
+    again = tables.put(shared.groupBy("doc_id", "pos").agg(F.max(F.struct("a", "b", "at", "words")).alias("s")).select("doc_id", "pos", "s.*"))
+    total = again.count()
+    rounds = [tables.put(_intervals(again, ["a", "b"], total))]
     while not rounds[-1].isEmpty():
         now, step = rounds[-1], 1 << (len(rounds) - 1)
         after = now.select("doc_id", (F.col("pos") - step).alias("pos"), F.col("name").alias("next"))
-        rounds.append(tables.put(_intervals(now.join(after, ["doc_id", "pos"]), ["name", "next"])))
+        rounds.append(tables.put(_intervals(now.join(after, ["doc_id", "pos"]), ["name", "next"], total)))
     state = None
     for k in range(len(rounds) - 2, -1, -1):
         step, ranks = 1 << k, rounds[k]
@@ -66,8 +80,8 @@ def repeated_prefixes(rows: DataFrame, tables: Tables) -> tuple[DataFrame | None
         taking = state.unionByName(firsts)
         ahead = ranks.select("doc_id", F.col("pos").alias("on"), F.col("name").alias("next"))
         tried = taking.withColumn("on", F.col("pos") + F.col("size")).join(ahead, ["doc_id", "on"]).drop("on")
-        least = tried.groupBy("name", "size", "next").agg(F.min(_at()).alias("first"))
-        longer = tried.join(least, ["name", "size", "next"]).where(F.col("first") < _at())
+        least = tried.groupBy("name", "size", "next").agg(F.min(_at()).alias("first"), F.count("*").alias("n"))
+        longer = split_join(tried, least, ["name", "size", "next"], "n", 2 * total, ["doc_id", "pos"]).where(F.col("first") < _at())
         longer = longer.select("doc_id", "pos", (F.col("size") + step).alias("size"), F.col("first").alias("name"))
         merged = state.unionByName(longer).unionByName(enter)
         # A suffix's longest prefix so far wins; of equal sizes there is one.
@@ -98,21 +112,30 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return islands.groupBy("doc_id", "island").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).drop("island")
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with later copies of line runs cut from text, and n_removed, the number of non-blank lines cut."""
+def _cut(docs: DataFrame, min_words: int) -> DataFrame:
+    """(row, text, n): the rows of docs as structs, their text without later copies of runs, the lines cut."""
     tables = Tables(docs.sparkSession, "runs")
-    cuts = tables.put(repeated_runs(docs, min_words)).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("_cuts"), F.sum("n").alias("_n"))
-    cuts = cuts.withColumnRenamed("doc_id", "_doc")
+    cuts = tables.put(repeated_runs(docs, min_words)).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("cuts"), F.sum("n").alias("n"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
     # Cuts grow with the documents: the same merge join at every size.
-    joined = docs.join(cuts.hint("merge"), docs.doc_id.cast("long") == cuts._doc, "left")
-    kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.exists("_cuts", lambda c: (i >= c["first"]) & (i <= c["last"])))
-    text = F.when(F.col("_cuts").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
-    others = [c for c in docs.columns if c != "text"]
-    out = joined.select(*[docs[c] for c in others], text.alias("text"), F.coalesce("_n", F.lit(0)).alias("n_removed"))
-    return out.select(*docs.columns, "n_removed")
+    joined = rows.join(cuts.hint("merge"), "doc_id", "left")
+    text = F.col("row.text").cast("string")
+    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("cuts", lambda c: (i >= c["first"]) & (i <= c["last"])))
+    return joined.select("row", F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs out of `_cut`, text as cut."""
+    return [F.col("text") if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with later copies of line runs cut from text, and n_removed, the number of non-blank lines cut."""
+    docs = docs.drop("n_removed")
+    return _cut(docs, min_words).select(*_columns(docs), F.col("n").alias("n_removed"))
 
 
 def keep_first_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """remove_repeats in the columns of docs, without documents of which nothing is left."""
-    out = remove_repeats(docs, min_words)
-    return out.where((F.col("n_removed") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")).drop("n_removed")
+    out = _cut(docs, min_words).where((F.col("n") == 0) | (_trimmed(F.coalesce("text", F.lit(""))) != ""))
+    return out.select(*_columns(docs))

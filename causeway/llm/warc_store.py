@@ -10,7 +10,8 @@ records. Paths go through pyarrow's file systems: a local shared folder, HDFS or
 
 Nulls and odd rows: a null html is the empty payload; a null url is written as about:blank; a null page_id is kept and
 is never referred to unless all copies have none. Rows that repeat a page_id and its html are both responses if that
-page_id is the largest. Extra columns are ignored. No pages, no archives.
+page_id is the largest. Extra columns are ignored. No pages, no archives. A manifest is counted before it is read, so it
+should be a written table.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm._common import batches, bounded_batches, octets
+from causeway.llm._common import batches, bounded_batches, octets, split_join
 
 #: Payloads below this many bytes are never replaced by a revisit.
 REVISIT_FROM = 1000
 #: Bytes of records in one archive before compression; a task holds one archive's records in memory.
 ARCHIVE_BYTES = 16 << 20
+#: Archives are read by as many tasks as there are archives, up to this many.
+READ_TASKS = 20_000
 DICTIONARY_BYTES = 64 << 10
 #: Bytes of records, spread over the archive, that its dictionary is trained on.
 TRAIN_BYTES = 3 << 20
@@ -161,12 +164,13 @@ def _open(uri: str):
 def plan_revisits(pages: DataFrame, at_least: int = REVISIT_FROM) -> DataFrame:
     """pages with refers_to: the largest page_id with an equal payload, null for that page and for small payloads.
 
-    Only digests are grouped, with maxima taken map-side; payloads move once, by page, so that copies spread evenly.
+    Only digests are grouped, with maxima taken map-side; those that very many pages share are dealt over many tasks where
+    they are joined back. Payloads move once, by page, so that copies spread evenly.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     meta = pages.select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).alias("size")).where(F.col("size") >= at_least)
     keepers = meta.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1 and keeper is not null")
-    revisits = meta.join(keepers.select("digest", "keeper"), "digest").where("not (page_id <=> keeper)").groupBy("page_id", "digest").agg(F.max("keeper").alias("refers_to"))
+    revisits = split_join(meta, keepers, ["digest"], "copies", pages.count(), ["page_id"]).where("not (page_id <=> keeper)").groupBy("page_id", "digest").agg(F.max("keeper").alias("refers_to"))
     full = pages.select("page_id", "url", "html", F.sha1(body).alias("own"))
     return full.join(revisits, full.page_id.eqNullSafe(revisits.page_id) & (full.own == revisits.digest), "left").select(full.page_id, "url", "html", "refers_to")
 
@@ -226,4 +230,5 @@ def read(manifest: DataFrame) -> DataFrame:
                     yield batch(rows)
 
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    return manifest.select("path").repartition("path").mapInArrow(run, schema)
+    # A given number of partitions, which Spark does not fold together: paths are few bytes, what they name is not.
+    return manifest.select("path").repartition(min(max(manifest.count(), 1), READ_TASKS)).mapInArrow(run, schema)

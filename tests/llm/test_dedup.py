@@ -51,9 +51,12 @@ def test_substring_dedup_of_nothing_and_null_ids(spark):
     assert [r.n_words for r in rows] == [50, 50]
 
 
+WHITE = " \t\n\x0b\x0c\r"
+
+
 def brute_lines(docs, min_words):
     """Lines of every document that lie in a long enough run that starts earlier."""
-    every = {d: [(i, x.strip()) for i, x in enumerate((t or "").split("\n")) if x.strip()] for d, t in docs}
+    every = {d: [(i, x.strip(WHITE)) for i, x in enumerate((t or "").split("\n")) if x.strip(WHITE)] for d, t in docs}
     starts = [(d, p) for d in sorted(every) for p in range(len(every[d]))]
     gone = defaultdict(set)
     for n, (d, p) in enumerate(starts):

@@ -15,3 +15,24 @@ def test_short_runs_go_too(spark):
 def test_words_are_parted_by_any_white_space(spark):
     row = "\t".join("abcdefghij")
     assert cut(spark, [row, f"{row}\nown", "x y\nx y"], 10) == [row, "own", "x y\nx y"]
+
+
+def test_wide_gaps_are_no_words_and_white_lines_are_blank(spark):
+    gap = "x" + " " * 12 + "y"
+    assert cut(spark, [gap, gap, "\t\r\nz"], 10) == [gap, gap, "\t\r\nz"]
+    assert cut(spark, ["a\n\t", "b\n\t", " a\t\r\nc"]) == ["a\n\t", "b\n\t", "c"]
+
+
+def test_extra_columns_may_have_any_name(spark):
+    rows = [(i, 7, f"c{i}", "dot", 1, "same line") for i in range(3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "n_removed", "cuts", "a.b", "_way", "text"])
+    out = line_dedup.remove_repeats(docs).orderBy("doc_id").collect()
+    assert [tuple(r) for r in out] == [(0, "c0", "dot", 1, "same line", 0), (1, "c1", "dot", 1, "", 1), (2, "c2", "dot", 1, "", 1)]
+    kept = line_dedup.keep_first_runs(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [rows[0]]
+
+
+def test_a_line_of_most_documents_is_dealt_over_tasks(spark):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat('own ', id, '\nvery common', if(id % 3 = 0, '\nmore', '')) AS text")
+    out = line_dedup.remove_repeats(docs).groupBy("n_removed").count().collect()
+    assert {(r.n_removed, r["count"]) for r in out} == {(0, 1), (1, 6000), (2, 2999)}
