@@ -95,29 +95,75 @@ def test_model_beats_a_uniform_one_on_held_out_text(spark):
     assert bits < 4
 
 
-def test_mixture_equals_the_recursion():
-    depth, rng = 1, np.random.default_rng(2)
-    table = rng.integers(0, 4, (32, 256)) * (rng.random((32, 256)) < 0.02)
-    out = 10 ** context_tree.compile_model(table.reshape(-1), depth).reshape(32, 256).astype(float)
-    assert out.sum(1) == pytest.approx(np.ones(32), rel=1e-4)
-
-    def kt(a, b):
-        return math.exp(math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1)) / math.pi
-
-    def weighted(pairs):  # of a root with 32 leaves
-        a, b = sum(x for x, _ in pairs), sum(y for _, y in pairs)
-        return (kt(a, b) + math.prod(kt(x, y) for x, y in pairs)) / 2
-
-    for ctx, byte in ((0, 97), (5, 200), (31, 0)):
-        p = 1.0
-        for bit in range(8):
-            half = 256 >> (bit + 1)
-            lo = byte // (2 * half) * 2 * half
-            pairs = [(int(table[c, lo : lo + half].sum()), int(table[c, lo + half : lo + 2 * half].sum())) for c in range(32)]
-            one = byte >= lo + half
-            more = [(x + (c == ctx and not one), y + (c == ctx and one)) for c, (x, y) in enumerate(pairs)]
-            p *= weighted(more) / weighted(pairs)
-        assert out[ctx, byte] == pytest.approx(p, rel=1e-3)
+def slow_mixture(corpus, text, depth):
+    """log10 of the weighted chance of a text, by the recursion over whole trees before and after each bit."""
+    seen, children = Counter(), {}
+    context = lambda t, i: tuple(t[i - k] if i >= k else 0 for k in range(1, depth + 1))
+    bits = lambda b: [(b >> (8 - j) if j else 0, j, b >> (7 - j) & 1) for j in range(8)]
+    for t in corpus:
+        for i, b in enumerate(t):
+            ctx = context(t, i)
+            for prefix, j, bit in bits(b):
+                for d in range(depth + 1):
+                    seen[ctx[:d], prefix, j, bit] += 1
+                    if d < depth:
+                        children.setdefault((ctx[:d], prefix, j), set()).add(ctx[d])
+
+    def kt(z, o):
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+
+    def weight(ctx, prefix, j, path=(), bit=None):
+        on = bit is not None and path[: len(ctx)] == ctx
+        own = kt(*(seen[ctx, prefix, j, x] + (on and bit == x) for x in (0, 1)))
+        if len(ctx) == depth:
+            return own
+        below = children.get((ctx, prefix, j), set()) | ({path[len(ctx)]} if on else set())
+        rest = sum(weight((*ctx, c), prefix, j, path, bit) for c in below)
+        top = max(own, rest)
+        return top + math.log(math.exp(own - top) + math.exp(rest - top)) - math.log(2)
+
+    total = 0.0
+    for i, b in enumerate(text):
+        for prefix, j, bit in bits(b):
+            total += weight((), prefix, j, context(text, i), bit) - weight((), prefix, j)
+    return total / math.log(10)
+
+
+@pytest.mark.parametrize("depth", [2, 3, 4])
+def test_mixture_equals_the_recursion(spark, depth):
+    rng = random.Random(depth)
+    docs = [(i, "".join(rng.choice("aab bé\n") for _ in range(rng.randrange(30)))) for i in range(40)]
+    docs[3] = (3, "never seen: zq")
+    held = {d for d, _ in docs if zlib.crc32(str(d).encode()) % 7 == 2}
+    corpus = [t.encode() for d, t in docs if d not in held]
+    got = {r.doc_id: r.score for r in context_tree.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), depth).collect()}
+    for d, t in docs:
+        assert got[d] == pytest.approx(slow_mixture(corpus, t.encode(), depth), rel=1e-5, abs=1e-5)
+    assert held and any(got[d] for d in held)
+
+
+def test_a_deeper_model_needs_fewer_bits(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = {r.doc_id: len((r.text or "").encode()) for r in docs.collect()}
+    bits = []
+    for depth in (2, 5):
+        rows = context_tree.score(docs, depth).where("held_out").collect()
+        bits.append(sum(-r.score for r in rows) * math.log2(10) / sum(size[r.doc_id] for r in rows))
+    assert bits[1] < bits[0] < 4
+
+
+def test_stretches_cut_texts_anywhere_alike():
+    texts = [b"", b"abcdefghij" * 7, b"x", b"0123456789" * 3]
+    for size in (1, 7, 1000):
+        got = {i: [] for i in range(4)}
+        for held, grams in context_tree.stretches(texts, 3, size):
+            at = 0
+            for i, n in held:
+                got[i] += grams[at : at + n].tolist()
+                at += n
+        for i, t in enumerate(texts):
+            padded = bytes(3) + t
+            assert got[i] == [padded[k + 2] << 24 | padded[k + 1] << 16 | padded[k] << 8 | padded[k + 3] for k in range(len(t))]
 
 
 def test_language_model_of_odd_rows(spark, odd):
