@@ -11,11 +11,14 @@ more than its own rarity the fewer documents there are. Terms that stand on a li
 DISCLOSURE are spans of kind term in every document that holds them, with the entity or without. All counts are over
 all documents. `sanitise` generalises base values to their kind and removes terms.
 
-Places are code points. A pattern's matches and the text between them give the places: lengths add up.
+Places are code points. A pattern's matches and the text between them give the places: lengths add up. Patterns start
+only where no character of their first class stands before, or right behind the last match, so that a search looks at
+each character a bounded number of times; running sums and maxima go by blocks, and told terms meet a text's words in one
+sorted array, so that time follows the text.
 
 Nulls and odd rows: a null text counts as empty; a null doc_id is searched for base kinds and lends its counts, but takes
-no terms; rows that repeat a doc_id are searched and counted each, and take each other's terms; extra columns are ignored;
-no documents, no rows.
+no terms; rows count each as a document, those that repeat a doc_id too, and take each other's terms; extra columns are
+ignored; no documents, no rows.
 """
 
 from __future__ import annotations
@@ -23,35 +26,94 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm._common import Tables
+from causeway.llm._common import Tables, split_join
 
 PRIOR, DISCLOSURE = 1.0, 0.8
 KINDS = ("email", "ip", "card", "phone")
-# Fixed patterns of the base kinds, with possessive repeats where what follows cannot match inside them.
+# Fixed patterns of the base kinds, with possessive repeats where what follows cannot match inside them. A start within a
+# run of the first class fails where the run's own start fails, and is tried right behind a match only.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Cheap tests that any match implies; most texts are not searched further.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-_SPACE = r"[\x20\x09-\x0D]"
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
+#: Items of an array that are folded at once; running values of long arrays go by blocks of them.
+BLOCK = 128
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _prefixes(values: Column, fold) -> Column:
+    """The folds of every prefix of an array that is not empty, by appending."""
+    add = lambda out, x: F.concat(out, F.array(fold(F.element_at(out, -1), x)))
+    return F.aggregate(F.slice(values, 2, F.size(values)), F.slice(values, 1, 1), add)
+
+
+def running(values: Column, fold) -> Column:
+    """The folds of every prefix of an array: within blocks, and over the blocks' last ones."""
+
+    def blocks(v):
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        return F.transform(starts, lambda i: _prefixes(F.slice(v, i * BLOCK + 1, F.lit(BLOCK)), fold))
+
+    def joined(b):
+        before = _prefixes(F.transform(b, lambda x: F.element_at(x, -1)), fold)
+        rest = F.zip_with(F.slice(b, 2, F.size(b)), F.slice(before, F.lit(1), F.size(b) - 1), lambda x, o: F.transform(x, lambda y: fold(o, y)))
+        return F.flatten(F.concat(F.slice(b, 1, 1), rest))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(let(blocks(v), joined)))
+
+
 def matches(text: Column, pattern: Column) -> Column:
     """Leftmost matches that do not overlap, as spans (start, end, value)."""
-    between, values = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    steps = F.zip_with(between, values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
 
-    def add(s, x):
-        start = s["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.when(x["value"].isNull(), s).otherwise(F.struct(end.alias("at"), F.concat(s["out"], F.array(span)).alias("out")))
+    def spans(values):
+        steps = F.zip_with(F.split(text, pattern, -1), values, lambda g, v: F.length(g) + F.length(v))  # null behind the last match
+        ends = running(F.slice(steps, F.lit(1), F.size(values)), lambda a, x: a + x)
+        return F.zip_with(ends, values, lambda e, v: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), spans)
+
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), add, lambda s: s["out"])
+def _marked(rows: Column, mark, keep) -> Column:
+    """The (start, end, value) of sorted rows for which keep(row, the greatest mark up to it) holds."""
+
+    def kept(r):
+        latest = running(F.transform(r, mark), lambda a, x: F.greatest(a, x))
+        both = F.zip_with(r, latest, lambda x, m: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), keep(x, m).alias("ok")))
+        return F.transform(F.filter(both, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+
+    return let(F.array_sort(rows), kept)
+
+
+def _row(value, is_mark: bool, start, end) -> Column:
+    return F.struct(value.alias("value"), F.lit(0 if is_mark else 1).alias("order"), start.alias("start"), end.alias("end"))
+
+
+def told_spans(text: Column, terms: Column) -> Column:
+    """Spans of the words that are among the terms: sorted together, a word is told if the last term before it is the word."""
+    none = F.lit(0)
+    words = F.transform(matches(text, F.lit(WORD)), lambda w: _row(w["value"], False, w["start"], w["end"]))
+    rows = F.concat(words, F.transform(terms, lambda t: _row(t, True, none, none)))
+    found = _marked(rows, lambda r: F.when(r["order"] == 0, r["value"]), lambda r, m: (r["order"] == 1) & (r["value"] == F.coalesce(m, F.lit(""))))
+    return F.array_sort(found)
+
+
+def clear_of(spans: Column, base: Column) -> Column:
+    """Spans, disjoint and sorted, that overlap no base span: of those that begin before a span's end, none ends after its start."""
+    mine = F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    other = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("order"), b["start"].alias("start"), b["end"].alias("end"), b["value"].alias("value")))
+    return _marked(F.concat(mine, other), lambda r: F.when(r["order"] == 1, r["end"]), lambda r, m: (r["order"] == 0) & (F.coalesce(m, F.lit(0)) <= r["start"]))
 
 
 def _digits(value: Column) -> Column:
@@ -92,7 +154,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, f"{_SPACE}+"), lambda w: w != "")
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def disclosing_terms(docs: DataFrame, tables: Tables, prior: float = PRIOR, least: float = DISCLOSURE) -> DataFrame:
@@ -110,17 +172,19 @@ def disclosing_terms(docs: DataFrame, tables: Tables, prior: float = PRIOR, leas
     joint = tables.put(joint.where((F.col("beside") == 1) & (F.instr("term", F.col("entity")) == 0)).drop("beside"))
     holds = rows.select("doc_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     terms = holds.groupBy("term").agg(F.count("*").alias("n_t"))
+    # Entities and terms that stand in very many pairs are split in these joins.
+    total = joint.count()
+    entities = entities.join(joint.groupBy("entity").agg(F.count("*").alias("m")), "entity")
+    terms = terms.join(joint.groupBy("term").agg(F.count("*").alias("m")), "term")
+    known = split_join(joint, entities, ["entity"], "m", total, ["term"])
+    known = split_join(known, terms, ["term"], "m", total, ["entity"])
     n = float(max(docs.count(), 2))
     share = F.col("n_e") / n
     given = (F.col("n_et") + prior * share) / (F.col("n_t") + prior)
-    known = joint.join(entities, "entity").join(terms, "term").withColumn("share", F.when(share < 1, F.log(given / share) / -F.log(share)).otherwise(0.0))
-    told = tables.put(known.where(F.col("share") >= least).select("term").distinct())
-    return holds.where("doc_id is not null").join(told, "term").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-
-
-def _term_pattern(terms: Column) -> Column:
-    quoted = F.transform(terms, lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
-    return F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![^\x20\x09-\x0D])"))
+    known = known.withColumn("share", F.when(share < 1, F.log(given / share) / -F.log(share)).otherwise(0.0))
+    told = tables.put(known.where(F.col("share") >= least).groupBy("term").agg(F.max("n_t").alias("n_t")))
+    held = split_join(holds.where("doc_id is not null"), told, ["term"], "n_t", told.agg(F.coalesce(F.sum("n_t"), F.lit(0))).first()[0], ["doc_id"])
+    return held.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -130,19 +194,21 @@ def find(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(terms, "doc_id", "left")
     rows = rows.withColumn("base", base_spans(F.col("text")))
-    found = F.when(F.col("terms").isNotNull(), matches(F.col("text"), _term_pattern(F.col("terms")))).otherwise(F.array().cast(_SPANS))
-    clear = F.filter(found, lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    return rows.select("doc_id", "text", "base", _named("term", clear).alias("added"))
+    clear = clear_of(told_spans(F.col("text"), F.col("terms")), F.col("base"))
+    added = F.when(F.col("terms").isNotNull(), clear).otherwise(F.array().cast(_SPANS))
+    return rows.select("doc_id", "text", "base", _named("term", added).alias("added"))
 
 
 def sanitise(found: DataFrame) -> DataFrame:
-    """(doc_id, text) with base values generalised to [KIND] and terms removed; of overlapping spans the first stands."""
-    spans = F.array_sort(F.concat("base", "added"))
-
-    def step(s, x):
-        cut = F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.when(x["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
-        return F.when(x["start"] < s["at"], s).otherwise(F.struct(x["end"].alias("at"), cut.alias("out")))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return found.select("doc_id", text.alias("text"))
+    """(doc_id, text) with base values generalised to [KIND] and terms removed; overlapping spans go as one, under the first's kind."""
+    text, size = F.col("text"), F.length("text")
+
+    def cleaned(spans):
+        ends = running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        upto = F.concat(F.array(F.lit(0)), ends)
+        label = lambda s: F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        part = lambda s, b: F.when(s["start"] >= b, F.concat(F.substring(text, b + 1, s["start"] - b), label(s))).otherwise("")
+        parts = F.zip_with(spans, F.slice(upto, F.lit(1), F.size(spans)), part)
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(upto) + 1, size))
+
+    return found.select("doc_id", let(F.array_sort(F.concat("base", "added")), cleaned).alias("text"))
