@@ -1,14 +1,15 @@
 """Exact removal of repeated word windows by super-k-mer partitioning.
 
 A window is k consecutive words. Every window has a minimiser, the least hash among its m-word grams; consecutive
-windows with the same minimiser travel as one packed string (a super-k-mer, compressed with a common dictionary) to the
-minimiser's bucket. Equal windows
-have equal minimisers, so they meet in one bucket, where the windows of the strings are sorted and every occurrence but
-the first is marked. Marked ranges go back to their documents, whose words are then cut.
+windows with the same minimiser travel as one packed string (a super-k-mer) to the minimiser's bucket. Words that a sample
+of texts holds are packed as two bytes, others are spelt out. Equal windows have equal minimisers, so they meet in one
+bucket, where the windows of the strings are sorted and every occurrence but the first is marked. Marked ranges go back
+to their documents, whose words are then cut.
 
 Copies are folded before the shuffle: of equal packed strings within a block of a task only the first travels, the
-others are known to be later and leave as ranges. So a passage that a third of all documents share sends one string a
-block, not one a copy.
+others are known to be later and leave as ranges, dealt by document and place. So a passage that a third of all documents
+share sends one string a block, not one a copy. Of a bucket that holds more strings than a worker sorts at once, every
+window leaves as a digest; these are counted by Spark, digest by digest.
 
 Nulls and odd rows: a null text has no words. Rows with a null doc_id take no part and keep all words. Rows that repeat
 a doc_id stand at the same place: neither is earlier than the other, and ranges found for one hold for both, clipped to
@@ -18,31 +19,34 @@ its words. Extra columns are ignored. Empty input gives an empty result.
 from __future__ import annotations
 
 from array import array
-from itertools import accumulate
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm._common import Tables, batches, bounded_batches, octets
+from causeway.llm._common import Tables, batches, bounded_batches, octets, split_join
 
 WINDOW = 20
 #: Words of a minimiser gram. Four words seldom recur outside repeated passages, so no bucket grows hot by chance.
 GRAM = 4
 #: Windows of one packed string at most; bounds a row in texts that repeat themselves.
 LONGEST = 200  # under 256: see _pack
-#: Packed strings of a task among which equal ones are folded; about 350 bytes of memory each.
-FOLD = 400_000
+#: Packed strings of a task, and their bytes, among which equal ones are folded.
+FOLD, FOLD_BYTES = 400_000, 96 << 20
 #: Bits of a bucket's number; minimisers that share it meet for nothing, which costs a little time and no result.
 BUCKET_BITS = 44
-#: About as many windows are sorted at once; a bucket is never divided.
+#: About as many windows are sorted at once.
 SORT = 300_000
+#: Strings of a bucket, and their bytes, that are sorted by one worker; the windows of a larger bucket are counted by Spark.
+BUCKET, BUCKET_BYTES = 50_000, 24 << 20
 
-#: Texts, and bytes of each, that the dictionary for packed strings is trained on; it changes bytes on the way, never results.
-SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 8000, 64 << 10
+#: Texts, and bytes of each, whose words are packed as two bytes; which they are changes bytes on the way, never results.
+SAMPLE_TEXTS, SAMPLE_BYTES = 400, 8000
+#: No byte of a short word is SPELT, so there are 255 x 255 of them.
+SPELT, SHORT_WORDS = 0xFF, 255 * 255
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -85,33 +89,56 @@ def super_kmers(words: list[bytes], k: int = WINDOW, m: int = GRAM):
     return out
 
 
-def dictionary(docs: DataFrame) -> bytes:
-    """A Zstandard dictionary for packed strings, from a bounded sample of texts; too few texts serve as raw content."""
-    rows = docs.where(F.length("text") > 0).select(F.substring(F.col("text").cast("string"), 1, SAMPLE_BYTES).alias("t")).limit(SAMPLE_TEXTS).collect()
-    pieces = [t[i : i + 200] for t in (r.t.encode() for r in rows) for i in range(0, len(t), 200)]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(pieces)[:DICTIONARY_BYTES].ljust(8, b" ")
+def short_words(docs: DataFrame) -> dict[bytes, bytes]:
+    """Two bytes for each of the most frequent words of a bounded sample of texts."""
+    order = F.xxhash64("doc_id")
+    rows = docs.where(F.length("text") > 0).select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("t")).orderBy(order).limit(SAMPLE_TEXTS).select("t").collect()
+    counts = Counter(w for r in rows for w in r.t.encode().split())
+    return {w: bytes(divmod(i, 255)) for i, (w, _) in enumerate(counts.most_common(SHORT_WORDS))}
+
+
+def spelt(word: bytes) -> bytes:
+    """A word that is not short: a mark, its length, its bytes."""
+    n = len(word)
+    return bytes((SPELT, n)) + word if n < SPELT else bytes((SPELT, SPELT)) + n.to_bytes(8, "big") + word
+
+
+def ends_of(packed: bytes) -> list[int]:
+    """Where each word of a packed string ends."""
+    if SPELT not in packed:
+        return list(range(2, len(packed) + 1, 2))
+    out, at, size = [], 0, len(packed)
+    while at < size:
+        if packed[at] != SPELT:
+            at += 2
+        elif (n := packed[at + 1]) < SPELT:
+            at += 2 + n
+        else:
+            at += 10 + int.from_bytes(packed[at + 2 : at + 10], "big")
+        out.append(at)
+    return out
 
 
-def _pack(source, k: int, m: int, known: bytes):
+def _pack(source, k: int, m: int, short: dict[bytes, bytes]):
     """Rows (bucket, doc_id, start, packed): packed strings, start being twice the first window plus the flag.
 
-    Where packed is null, the windows are known to be later, and bucket is 256 times the first window plus their number.
+    Where packed is a single byte, the windows are known to be later: it is their number, start the first of them.
     """
-    words_known = zstandard.ZstdCompressionDict(known)
-    words_known.precompute_compress(level=1)
-    squeeze = zstandard.ZstdCompressor(dict_data=words_known, write_dict_id=False, write_checksum=False).compress
     held: dict[bytes, tuple[int, int, int, int]] = {}
     early: list[tuple[int, int, int]] = []
+    size = 0
+    get = short.get
 
     def rows():
-        rank = [(b, d, 2 * s + f, squeeze(p)) for p, (d, s, b, f) in held.items()] + [(s << 8 | n, d, 0, None) for d, s, n in early]
+        nonlocal size
+        spread = (1 << BUCKET_BITS) - 1
+        rank = [(b, d, 2 * s + f, p) for p, (d, s, b, f) in held.items()]
+        rank += [((d * 0x9E3779B97F4A7C15 + s * 0xC2B2AE3D27D4EB4F >> 7) & spread, d, s, bytes((n,))) for d, s, n in early]
         held.clear()
         early.clear()
+        size = 0
         cols = list(zip(*rank, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "doc_id", "start", "packed"])
 
     for b in batches(source):
@@ -120,45 +147,50 @@ def _pack(source, k: int, m: int, known: bytes):
             found = super_kmers(words, k, m)
             if not found:
                 continue
-            flat = b" ".join(words)
+            coded = [get(w) or spelt(w) for w in words]
+            flat = b"".join(coded)
             at = np.zeros(len(words) + 1, np.int64)
-            np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
+            np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)), out=at[1:])
             at = at.tolist()
             for v, s, n, flag in found:
-                packed = flat[at[s] : at[s + n + k - 1] - 1]
+                packed = flat[at[s] : at[s + n + k - 1]]
                 old = held.get(packed)
                 if old is None:
                     held[packed] = (doc, s, v, flag)
+                    size += len(packed)
                 elif old[:2] < (doc, s):
                     early.append((doc, s, n))
                 elif old[:2] > (doc, s):
                     early.append((old[0], old[1], n))
                     held[packed] = (doc, s, v, flag)
+                if size >= FOLD_BYTES:  # also within one long text
+                    yield rows()
             if len(held) + len(early) >= FOLD:
                 yield rows()
     yield rows()
 
 
-def _mark(rows: list[tuple[int, int, bytes]], k: int, expand):
-    """(doc_id, start, end) word ranges of later windows among the packed strings (doc_id, start, packed) of some buckets.
-
-    Each window is a 128-bit digest of its bytes; sorting digests by place puts the first occurrence at the front.
-    """
+def _windows(rows: list[tuple[int, int, bytes]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(128-bit digests, doc_ids, starts) of the windows of packed strings (doc_id, start, packed)."""
     digests, docs, starts = [], array("q"), array("q")
     digest = xxhash.xxh3_128_digest
-    for doc, start, squeezed in rows:
-        packed = expand(squeezed)
-        ends = [len(w) for w in packed.split()]
-        ends = list(accumulate(ends, lambda a, b: a + b + 1))
+    for doc, start, packed in rows:
+        ends = ends_of(packed)
         n = len(ends) - k + 1
-        begins = [0, *(e + 1 for e in ends[: n - 1])]
-        digests.append(b"".join([digest(packed[a:b]) for a, b in zip(begins, ends[k - 1 :], strict=True)]))
+        digests.append(b"".join([digest(packed[a:b]) for a, b in zip([0, *ends[: n - 1]], ends[k - 1 :], strict=True)]))
         docs.extend([doc] * n)
         starts.extend(range(start, start + n))
-    if not digests:
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), np.array(docs, np.int64), np.array(starts, np.int64)
+
+
+def _mark(rows: list[tuple[int, int, bytes]], k: int):
+    """(doc_id, start, end) word ranges of later windows among the packed strings (doc_id, start, packed) of some buckets.
+
+    Sorting digests by place puts the first occurrence at the front.
+    """
+    if not rows:
         return
-    d = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-    docs, starts = np.array(docs, np.int64), np.array(starts, np.int64)
+    d, docs, starts = _windows(rows, k)
     order = np.lexsort((starts, docs, d[:, 1], d[:, 0]))
     d, docs, starts = d[order], docs[order], starts[order]
     fresh = np.concatenate(([True], (d[1:] != d[:-1]).any(1)))
@@ -173,51 +205,77 @@ def _mark(rows: list[tuple[int, int, bytes]], k: int, expand):
         yield from zip(docs[a].tolist(), starts[a].tolist(), (starts[b] + k).tolist(), strict=True)
 
 
-def _ranges(source, k: int, known: bytes):
-    """Batches sorted by bucket: a string alone in its bucket holds no repeats unless it is flagged."""
-    names, kinds = ["doc_id", "begin", "end"], (pa.int64(), pa.int32(), pa.int32())
-    expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(known)).decompress
+FOUND = "doc_id long, begin long, end long, hi long, lo long"
+
+
+def _ranges(source, k: int, most: int = BUCKET):
+    """Rows sorted by bucket: ranges of later windows; of buckets beyond the limits, every window (begin) and its digest.
+
+    A string alone in its bucket holds no repeats unless it is flagged.
+    """
+    names = ["doc_id", "begin", "end", "hi", "lo"]
     out: list[tuple[int, int, int]] = []
     block: list[tuple[int, int, bytes]] = []
     group: list[tuple[int, int, bytes]] = []
-    now, flagged, size = None, 0, 0
+    now, flagged, size, weight, large = None, 0, 0, 0, False
 
     def flush():
-        cols = list(zip(*out, strict=True)) or [()] * 3
+        cols = [*(list(zip(*out, strict=True)) or [()] * 3), [None] * len(out), [None] * len(out)]
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    def opened():
+        """The windows of the group as they are."""
+        for at in range(0, len(group), 2000):
+            d, docs, starts = _windows(group[at : at + 2000], k)
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(starts), pa.nulls(len(docs), pa.int64()), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))], names=names)
 
     for b in batches(source):
         for bucket, doc, start, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if packed is None:
-                out.append((doc, bucket >> 8, (bucket >> 8) + (bucket & 255) + k - 1))
+            if len(packed) == 1:
+                out.append((doc, start, start + packed[0] + k - 1))
                 continue
             if bucket != now:
-                if flagged or len(group) > 1:
+                if large:
+                    yield from opened()
+                elif flagged or len(group) > 1:
                     block += group
                     if size >= SORT:
-                        out += _mark(block, k, expand)
+                        out += _mark(block, k)
                         block, size = [], 0
-                group, now, flagged = [], bucket, 0
+                group, now, flagged, weight, large = [], bucket, 0, 0, False
             group.append((doc, start >> 1, packed))
             flagged |= start & 1
+            weight += len(packed)
             size += (len(group) > 1) * (len(packed) // 8)
+            if len(group) >= most or weight >= BUCKET_BYTES:
+                yield from opened()
+                group, weight, large = [], 0, True
         if len(out) >= 50_000:
             yield flush()
-    if flagged or len(group) > 1:
+    if large:
+        yield from opened()
+    elif flagged or len(group) > 1:
         block += group
-    out += _mark(block, k, expand)
+    out += _mark(block, k)
     yield flush()
 
 
-def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFrame:
+def repeated_ranges(docs: DataFrame, tables: Tables, k: int = WINDOW, m: int = GRAM, most: int = BUCKET) -> DataFrame:
     """(doc_id, begin, end): word ranges, end exclusive, covered by windows that also start earlier; they may overlap."""
     bounded_batches(docs.sparkSession)
-    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    known = dictionary(named)
-    packed = named.mapInArrow(lambda source: _pack(source, k, m, known), "bucket long, doc_id long, start int, packed binary")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    short = short_words(named)
+    packed = named.mapInArrow(lambda source: _pack(source, k, m, short), "bucket long, doc_id long, start long, packed binary")
     met = packed.repartition("bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(lambda source: _ranges(source, k, known), "doc_id long, begin int, end int")
+    found = tables.put(met.mapInArrow(lambda source: _ranges(source, k, most), FOUND))
+    ranges, windows = found.where("hi is null").select("doc_id", "begin", "end"), found.where("hi is not null").drop("end")
+    if windows.isEmpty():
+        return ranges
+    place = F.struct("doc_id", "begin")
+    first = windows.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = split_join(windows, first, ["hi", "lo"], "n", windows.count(), ["doc_id", "begin"]).where(place > F.col("first"))
+    return ranges.unionByName(later.select("doc_id", "begin", (F.col("begin") + k).alias("end")))
 
 
 def _cut(source):
@@ -238,14 +296,10 @@ def _cut(source):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = GRAM, most: int = BUCKET) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): one row a document, kept holds the words left, joined by one space."""
     tables = Tables(docs.sparkSession, "windows")
-    # Written down so that the strings' shuffle is over before the texts are dealt by doc_id.
-    found = tables.put(repeated_ranges(docs, k, m))
+    found = repeated_ranges(docs, tables, k, m, most)
     cuts = tables.put(found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("cuts")))
-    # Spark deletes a shuffle's files once nothing refers to it. Its last action is still referred to, so a collection
-    # frees the strings' shuffle only now that the cuts were written after it.
-    docs.sparkSession._jvm.System.gc()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return texts.join(cuts, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")

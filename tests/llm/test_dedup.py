@@ -28,7 +28,8 @@ def passages(seed=3):
     return docs
 
 
-def test_substring_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [substring_dedup.BUCKET, 2])
+def test_substring_dedup_equals_brute_force(spark, most):
     docs = passages()
     first, want = {}, {}
     for d, text in sorted(docs):
@@ -40,11 +41,25 @@ def test_substring_dedup_equals_brute_force(spark):
                 gone.update(range(s, s + 20))
             first.setdefault(w, (d, s))
         want[d] = (len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone))
-    rows = substring_dedup.remove_repeats(spark.createDataFrame([(d, t, "x", 1) for d, t in docs], SCHEMA).repartition(5)).collect()
+    rows = substring_dedup.remove_repeats(spark.createDataFrame([(d, t, "x", 1) for d, t in docs], SCHEMA).repartition(5), most=most).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in rows} == want
     assert len(rows) == len(docs)
 
 
+def test_packed_words_end_where_they_should():
+    words = [b"ab", b"x" * 254, b"y" * 255, b"\xff" * 3, b"z" * 70_000, b"cd"]
+    coded = [b"\x01\x02", *map(substring_dedup.spelt, words[1:5]), b"\x00\xfe"]
+    ends = substring_dedup.ends_of(b"".join(coded))
+    assert ends == [sum(map(len, coded[: i + 1])) for i in range(6)]
+    assert substring_dedup.ends_of(b"\x01\x02" * 3) == [2, 4, 6]
+
+
+def test_substring_dedup_of_long_words(spark):
+    text = " ".join(chr(97 + i) * 30_000 for i in range(25))
+    rows = substring_dedup.remove_repeats(spark.createDataFrame([(1, text, "", 0), (2, "own " + text, "", 0)], SCHEMA)).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_removed, r.kept) for r in rows] == [(25, 0, text), (26, 25, "own")]
+
+
 def test_substring_dedup_of_nothing_and_null_ids(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = substring_dedup.remove_repeats(spark.createDataFrame([(None, "a " * 50, "", 0)] * 2, SCHEMA)).collect()
