@@ -36,7 +36,7 @@ def piece_model() -> str:
 def op4_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), piece_model())
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join("ids", ",")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join("ids", ",")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"), sha(F.array_join("ends", ",")).alias("ends_sha256"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

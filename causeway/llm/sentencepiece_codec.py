@@ -1,14 +1,16 @@
 """SentencePiece BPE encoding with byte offsets, and decoding.
 
-The normaliser walks the text by the longest prefix that the model's compiled character map holds and records, for each
-normalised byte, the original byte it came from. Pieces are then cut from the normalised text and projected back, so
-every id carries the span of original bytes it stands for; spans follow each other and cover the text.
+The normaliser replaces, from left to right, the longest prefix that the model's compiled character map holds and records,
+for each normalised byte, the original byte it came from; all models go through it, those with an empty map too. A pattern
+over the map's first two bytes finds where a prefix may start, so that what lies between is taken over in one piece.
+Pieces are then cut from the normalised text and projected back, so every id carries the span of original bytes it stands
+for; spans follow each other and cover the text but for white space that the model drops at its end.
 
 Normalised text is cut by the library's merges with its own normaliser switched off; vocabularies without byte pieces,
 whose unknown characters have no fixed size, are cut by `Codec.merge`.
 
-Nulls and odd rows: a null text counts as empty and has no ids; repeated rows are encoded alike; extra columns are
-ignored. Only BPE models with the usual white-space prefix are read; others are refused.
+Nulls and odd rows: a null text counts as empty and has no ids; bytes that are no UTF-8 become U+FFFD; repeated rows are
+encoded alike; extra columns are ignored. Only BPE models with the usual white-space prefix are read; others are refused.
 """
 
 from __future__ import annotations
@@ -35,13 +37,35 @@ class CharMap:
         size = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
         self.strings = blob[4 + size :] if blob else b""
+        self.start = self._start() if self.units else None
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    def _children(self, node: int) -> dict[int, int]:
+        """Byte to unit of the ways out of a node."""
+        at = ((b, node ^ b) for b in range(1, 256))
+        return {b: self.units[i] for b, i in at if i < len(self.units) and self.units[i] & 0x800000FF == b}
+
+    def _start(self) -> re.Pattern:
+        """Where a prefix may start: a byte that is one, or a byte and one that may follow it."""
+        one, two = [], {}
+        root = self._offset(self.units[0])
+        for b, unit in self._children(root).items():
+            if unit >> 8 & 1:
+                one.append(b)
+            else:
+                after = tuple(self._children(root ^ b ^ self._offset(unit)))
+                two.setdefault(after, []).append(b)
+        some = lambda bs: b"[" + b"".join(re.escape(bytes([b])) for b in bs) + b"]"
+        return re.compile(b"|".join(([some(one)] if one else []) + [some(bs) + b"(?=" + some(after) + b")" for after, bs in two.items()]), re.DOTALL)
 
     def longest(self, text: bytes, at: int) -> tuple[int, bytes] | None:
         """(length, replacement) of the longest prefix of text[at:] in the map."""
         if not self.units:
             return None
-        offset = lambda u: (u >> 10) << ((u & 512) >> 6)
-        node, found = offset(self.units[0]), None
+        node, found = self._offset(self.units[0]), None
         for i in range(at, len(text)):
             node ^= text[i]
             if node >= len(self.units):
@@ -49,12 +73,40 @@ class CharMap:
             unit = self.units[node]
             if unit & 0x800000FF != text[i]:
                 break
-            node ^= offset(unit)
+            node ^= self._offset(unit)
             if unit >> 8 & 1:
                 value = self.units[node] & 0x7FFFFFFF
                 found = (i + 1 - at, self.strings[value : self.strings.index(b"\0", value)])
         return found
 
+    def replacements(self, text: bytes) -> list[tuple[int, int, bytes]]:
+        """(place, length, replacement) of all that is replaced, from left to right."""
+        out, at = [], 0
+        while self.start and (m := self.start.search(text, at)):
+            at = m.start()
+            if hit := self.longest(text, at):
+                out.append((at, *hit))
+                at += hit[0]
+            else:
+                at += 1
+                while at < len(text) and text[at] & 0xC0 == 0x80:
+                    at += 1
+        return out
+
+
+def _original_ends(text: bytes, ends: np.ndarray) -> np.ndarray:
+    """Byte ends in a text with U+FFFD for what is no UTF-8, as ends in the text itself."""
+    places, at = [0], 0
+    while at < len(text):
+        try:
+            text[at:].decode()
+            good, bad = len(text), len(text)
+        except UnicodeDecodeError as e:
+            good, bad = at + e.start, at + e.end
+        places += [*range(at + 1, good + 1), *[bad] * (3 * (bad > good))]
+        at = max(bad, good)
+    return np.array(places, np.int32)[ends]
+
 
 class Codec:
     """One model, read once a worker."""
@@ -89,44 +141,39 @@ class Codec:
 
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised text, and for each of its bytes and its end the original byte where it starts."""
-        out, came = bytearray(), []
-
-        def put(piece: bytes, at: int):
-            out.extend(piece)
-            came.extend([at] * len(piece))
-
-        space = SPACE.encode() if self.escape else b" "
-        units, at = [], 0
-        while at < len(text):
-            hit = self.map.longest(text, at)
-            if hit is None:
-                n = 1
-                while at + n < len(text) and text[at + n] & 0xC0 == 0x80:
-                    n += 1
-                hit = (n, text[at : at + n])
-            units.append((hit[1], at))
-            at += hit[0]
-        end = len(text)
-        if self.squeeze:
-            while units and not units[0][0].strip(b" "):
-                units.pop(0)
-            while units and not units[-1][0].strip(b" "):
-                end = units.pop()[1]
-        if units and self.dummy:
-            put(space, units[0][1])
-        blank = self.squeeze
-        for piece, at in units:
-            if self.squeeze and blank:
-                piece = piece.lstrip(b" ")
-            for b in re.split(b"( )", piece):
-                if b == b" " and self.squeeze and out.endswith(space) and blank:
-                    continue
-                put(space if b == b" " else b, at)
-                blank = b == b" " if b else blank
+        here = np.arange(len(text), dtype=np.int32)
+        flat, came = np.frombuffer(text, np.uint8), here
+        if hits := self.map.replacements(text):
+            raw, origin, upto = [], [], 0
+            for at, size, new in hits:
+                raw += [text[upto:at], new]
+                origin += [here[upto:at], np.full(len(new), at, np.int32)]
+                upto = at + size
+            flat = np.frombuffer(b"".join([*raw, text[upto:]]), np.uint8)
+            came = np.concatenate([*origin, here[upto:]])
+        end, blank = len(text), flat == 32
         if self.squeeze:
-            while out.endswith(space):
-                del out[-len(space) :], came[-len(space) :]
-        return bytes(out), np.array([*came, end], np.int64)
+            # At the end a mark of the text's own goes like a space.
+            raw, last = flat.tobytes(), len(flat)
+            while last and (raw[last - 1] == 32 or (self.escape and raw.endswith(SPACE.encode(), max(0, last - 3), last))):
+                last -= 1 if raw[last - 1] == 32 else 3
+            first = int(np.argmin(blank)) if last else 0
+            if not last:
+                return b"", np.zeros(1, np.int32)
+            end = int(came[last]) if last < len(flat) else end
+            keep = ~blank
+            keep[1:] |= ~blank[:-1]
+            keep[:first], keep[last:] = False, False
+            flat, came, blank = flat[keep], came[keep], blank[keep]
+        if self.dummy and len(flat):
+            flat, came, blank = np.append(np.uint8(32), flat), np.append(came[:1], came), np.append(True, blank)
+        if self.escape:
+            wide = np.where(blank, 3, 1)
+            marks = (np.cumsum(wide) - wide)[blank]
+            flat, came = np.repeat(flat, wide), np.repeat(came, wide)
+            for i, b in enumerate(SPACE.encode()):
+                flat[marks + i] = b
+        return flat.tobytes(), np.append(came, np.int32(end))
 
     def merge(self, text: str) -> tuple[list[int], list[int]]:
         """Ids and byte lengths of the BPE pieces of a normalised text: the best scored pair first, the leftmost of equals."""
@@ -178,21 +225,16 @@ class Codec:
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the id at i stands for original bytes ends[i - 1] to ends[i]."""
-        if not text:
-            return np.empty(0, np.int32), np.empty(0, np.int32)
-        if self.map.units or self.squeeze or not self.escape:
-            flat, came = self.normalise(text)
-            ids, sizes = self.cut(flat.decode("utf-8", "replace"))
-            return ids, came[np.cumsum(sizes)].astype(np.int32)
-        # Without a map only spaces change: one byte becomes three, and the first mark stands for no byte.
-        plain = text.decode("utf-8", "replace")
-        ids, sizes = self.cut((SPACE if self.dummy else "") + plain.replace(" ", SPACE))
-        ends = np.cumsum(sizes)
-        flat = np.frombuffer(text, np.uint8)
-        wide = np.ones(len(flat), np.int64)
-        wide[flat == 32] = 3
-        starts = np.cumsum(wide) + (3 if self.dummy else 0)  # normalised end of each original byte
-        return ids, np.searchsorted(starts, ends, side="right").astype(np.int32)
+        none = np.empty(0, np.int32)
+        flat, came = self.normalise(text)
+        if not flat:
+            return none, none
+        try:
+            ids, sizes = self.cut(flat.decode())
+        except UnicodeDecodeError:  # no text that Spark makes of characters
+            ids, ends = self.encode(text.decode("utf-8", "replace").encode())
+            return ids, _original_ends(text, ends)
+        return ids, came[np.cumsum(sizes)]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
