@@ -15,7 +15,9 @@ words around it. WALKS x SAMPLES keys bring the chance of missing a window at th
 have several such windows.
 
 Nulls and odd rows: a null text has no words; items that are null or have no words match nothing; a null doc_id keeps
-its matches; equal items are reported each; extra columns are ignored; an empty benchmark gives no matches.
+its matches, but cannot be named by them, so `keep_clean` keeps rows without a doc_id; rows that repeat a doc_id report
+their matches each, and go together; equal items are reported each; extra columns are ignored; an empty benchmark gives no
+matches.
 """
 
 from __future__ import annotations
@@ -80,8 +82,16 @@ class Walks:
                 yield key
 
 
-def edit_match(item: list[bytes], masks: dict[bytes, int], words: list[bytes]) -> tuple[int, int]:
-    """(distance, end) of the stretch of words nearest to the item, any start; bit-parallel, over words."""
+def masks_of(item: list) -> dict:
+    """For each word of an item, the places where it stands, as bits."""
+    out: dict = {}
+    for i, w in enumerate(item):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def edit_match(item: list[bytes], masks: dict[bytes, int], words: list[bytes], from_first: bool = False) -> tuple[int, int]:
+    """(distance, end) of the stretch of words nearest to the item, at any start or from the first word on; bit-parallel, over words."""
     length = len(item)
     top, full = 1 << (length - 1), (1 << length) - 1
     plus, minus, d = full, 0, length
@@ -95,7 +105,7 @@ def edit_match(item: list[bytes], masks: dict[bytes, int], words: list[bytes]) -
             d += 1
         elif down & top:
             d -= 1
-        up, down = (up << 1) & full, (down << 1) & full
+        up, down = (up << 1 | from_first) & full, (down << 1) & full
         plus, minus = down | (full & ~(same | up)), up & same
         if d < best[0]:
             best = (d, end)
@@ -110,12 +120,7 @@ class Index:
         self.code = {w: i for i, w in enumerate(dict.fromkeys(w for _, x in items for w in x), 1)}
         coded = [np.array([self.code[w] for w in x], np.uint32) for _, x in items]
         self.pairs = np.unique(np.concatenate([x[:-1].astype(np.uint64) << np.uint64(32) | x[1:] for x in coded] or [np.empty(0, np.uint64)]))
-        self.masks: list[dict[bytes, int]] = []
-        for _, x in items:
-            m: dict[bytes, int] = {}
-            for i, w in enumerate(x):
-                m[w] = m.get(w, 0) | 1 << i
-            self.masks.append(m)
+        self.masks = [masks_of(x) for _, x in items]
         by = defaultdict(list)
         for i, x in enumerate(coded):
             by[len(x)].append(i)
@@ -203,7 +208,10 @@ class Index:
                     if d == 0:
                         break
             if best:
-                out.append((k, item, max(0, best[1] - length), best[1], best[0]))
+                d, end = best
+                # Backwards from its end, the stretch is the shortest that is as near.
+                back = words[max(0, end - length - t) : end][::-1]
+                out.append((k, item, end - edit_match(target[::-1], masks_of(target[::-1]), back, True)[1], end, d))
         return out
 
 

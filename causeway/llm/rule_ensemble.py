@@ -7,7 +7,8 @@ scores any table of statistics without Python.
 Nulls and odd rows: a null text counts as empty, whose statistics are zero; it gets a score like any other. Labels other
 than 0 and 1 and null keys are left out; a document with several labels counts as 1 if at least half of them say so.
 Repeated rows are scored each. With labels of one kind or none, the score is the smoothed share of ones, the same for
-all. Extra columns are ignored. Empty input gives an empty result.
+all. `keep_good` keeps rows without a doc_id, and drops rows that repeat a doc_id together if one of them is rejected.
+Extra columns are ignored. Empty input gives an empty result.
 """
 
 from __future__ import annotations

@@ -209,6 +209,25 @@ def test_decontamination_against_brute_force(spark):
     assert all(k in found for k, e in want.items() if e == 0)
 
 
+def test_decontamination_names_the_stretch(spark):
+    item = [f"i{k}" for k in range(20)]
+    edited = [*item[:5], "new", "newer", *item[5:12], *item[13:]]
+    docs = [(1, " ".join(["a", "b", *item, "c"])), (2, " ".join(["x"] * 7 + edited + ["y"] * 9)), (3, "word " * 60_000 + " ".join(item)), (None, " ".join(item)), (1, "clean"), (4, "clean")]
+    bench = spark.createDataFrame([(5, " ".join(item)), (6, " ".join(item))], "item_id long, text string")
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.begin_word, r.end_word, r.edits) for r in decontamination.contaminated(rows, bench).collect()}
+    assert got == {(d, i, a, b, e) for i in (5, 6) for d, a, b, e in ((1, 2, 22, 0), (2, 7, 28, 3), (3, 60_000, 60_020, 0), (None, 0, 20, 0))}
+    assert sorted((r.doc_id or 0) for r in decontamination.keep_clean(rows, bench).collect()) == [0, 4]
+
+
+def test_stages_keep_rows_without_a_doc_id(spark):
+    docs = spark.createDataFrame([(None, "spam !!! ||| $$$", "l", "s", 3), (1, "fine words stand here, quite plainly.", "l", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert rule_ensemble.keep_good(docs, labels).columns == docs.columns
+    for keep in (lambda d: rule_ensemble.keep_good(d, labels), lambda d: decontamination.keep_clean(d, spark.createDataFrame([(1, "spam")], "item_id long, text string"))):
+        assert None in {r.doc_id for r in keep(docs).collect()}
+
+
 def test_decontamination_of_nothing(spark, odd):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(odd, bench).collect() == []
