@@ -14,7 +14,7 @@ all documents. `sanitise` generalises base values to their kind and removes term
 Places are code points. A pattern's matches and the text between them give the places: lengths add up. Patterns start
 only where no character of their first class stands before, or right behind the last match, so that a search looks at
 each character a bounded number of times; running sums and maxima go by blocks, and told terms meet a text's words in one
-sorted array, so that time follows the text.
+sorted array where there are many, so that time follows the text.
 
 Nulls and odd rows: a null text counts as empty; a null doc_id is searched for base kinds and lends its counts, but takes
 no terms; rows count each as a document, those that repeat a doc_id too, and take each other's terms; extra columns are
@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 from causeway.llm._common import Tables, split_join
 
 PRIOR, DISCLOSURE = 1.0, 0.8
+#: Told terms go to all tasks while they are no more than this; beyond, they meet documents in a shuffled join.
+BROADCAST_BYTES = 8 << 20
+#: Terms of a document that one pattern looks for; more are sorted among its words.
+FEW = 24
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns of the base kinds, with possessive repeats where what follows cannot match inside them. A start within a
 # run of the first class fails where the run's own start fails, and is tried right behind a match only.
@@ -109,6 +113,13 @@ def told_spans(text: Column, terms: Column) -> Column:
     return F.array_sort(found)
 
 
+def few_spans(text: Column, terms: Column) -> Column:
+    """`told_spans` by one pattern, whose time is the text's length times the number of terms."""
+    quoted = F.transform(terms, lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![^\x20\x09-\x0D])"))
+    return matches(text, pattern)
+
+
 def clear_of(spans: Column, base: Column) -> Column:
     """Spans, disjoint and sorted, that overlap no base span: of those that begin before a span's end, none ends after its start."""
     mine = F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
@@ -157,7 +168,7 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def disclosing_terms(docs: DataFrame, tables: Tables, prior: float = PRIOR, least: float = DISCLOSURE) -> DataFrame:
+def disclosing_terms(docs: DataFrame, tables: Tables, prior: float = PRIOR, least: float = DISCLOSURE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, terms): the terms to take out of each document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -174,8 +185,8 @@ def disclosing_terms(docs: DataFrame, tables: Tables, prior: float = PRIOR, leas
     terms = holds.groupBy("term").agg(F.count("*").alias("n_t"))
     # Entities and terms that stand in very many pairs are split in these joins.
     total = joint.count()
-    entities = entities.join(joint.groupBy("entity").agg(F.count("*").alias("m")), "entity")
-    terms = terms.join(joint.groupBy("term").agg(F.count("*").alias("m")), "term")
+    entities = tables.put(entities.join(joint.groupBy("entity").agg(F.count("*").alias("m")), "entity"))
+    terms = tables.put(terms.join(joint.groupBy("term").agg(F.count("*").alias("m")), "term"))
     known = split_join(joint, entities, ["entity"], "m", total, ["term"])
     known = split_join(known, terms, ["term"], "m", total, ["entity"])
     n = float(max(docs.count(), 2))
@@ -183,18 +194,21 @@ def disclosing_terms(docs: DataFrame, tables: Tables, prior: float = PRIOR, leas
     given = (F.col("n_et") + prior * share) / (F.col("n_t") + prior)
     known = known.withColumn("share", F.when(share < 1, F.log(given / share) / -F.log(share)).otherwise(0.0))
     told = tables.put(known.where(F.col("share") >= least).groupBy("term").agg(F.max("n_t").alias("n_t")))
-    held = split_join(holds.where("doc_id is not null"), told, ["term"], "n_t", told.agg(F.coalesce(F.sum("n_t"), F.lit(0))).first()[0], ["doc_id"])
+    size, total = told.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0)), F.coalesce(F.sum("n_t"), F.lit(0))).first()
+    holds = holds.where("doc_id is not null")
+    held = holds.join(F.broadcast(told), "term") if size <= broadcast_bytes else split_join(holds, told, ["term"], "n_t", total, ["doc_id"])
     return held.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, few: int = FEW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, text, base, added): spans (start, end, value, kind) of the base kinds and of disclosing terms."""
     tables = Tables(docs.sparkSession, "pii")
-    terms = tables.put(disclosing_terms(docs, tables))
+    terms = tables.put(disclosing_terms(docs, tables, broadcast_bytes=broadcast_bytes))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(terms, "doc_id", "left")
     rows = rows.withColumn("base", base_spans(F.col("text")))
-    clear = clear_of(told_spans(F.col("text"), F.col("terms")), F.col("base"))
+    told = F.when(F.size("terms") <= few, few_spans(F.col("text"), F.col("terms"))).otherwise(told_spans(F.col("text"), F.col("terms")))
+    clear = clear_of(told, F.col("base"))
     added = F.when(F.col("terms").isNotNull(), clear).otherwise(F.array().cast(_SPANS))
     return rows.select("doc_id", "text", "base", _named("term", added).alias("added"))
 

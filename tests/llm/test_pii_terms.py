@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from causeway.llm import pii
@@ -60,6 +61,13 @@ def test_running_values(spark):
         assert row.m == seen and row.s == [sum(v or 0 for v in values[: i + 1]) for i in range(n)]
 
 
+def test_few_and_many_terms_give_the_same_spans(spark):
+    text = "a.b \\\\E+x (c a.b\\ta.bc \\Q [d] \\\\E+x"
+    row = spark.createDataFrame([(text, ["(c", "[d]", "\\\\E+x", "\\\\Q", "a.b"])], "t string, w array<string>")
+    few, many = row.select(pii.few_spans(F.col("t"), F.col("w")), pii.told_spans(F.col("t"), F.col("w"))).first()
+    assert few == many and len(few) == 5
+
+
 def slow_terms(docs):
     """Spans of kind term by the docstring's formula, one document at a time."""
     word = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,7 +91,8 @@ def slow_base(t):
     return [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
 
 
-def test_disclosure_equals_brute_force(spark):
+@pytest.mark.parametrize(("few", "broadcast_bytes"), [(pii.FEW, pii.BROADCAST_BYTES), (0, 0)])
+def test_disclosure_equals_brute_force(spark, few, broadcast_bytes):
     rng = random.Random(2)
     docs = []
     for i in range(150):
@@ -92,7 +101,7 @@ def test_disclosure_equals_brute_force(spark):
             who = rng.randrange(12)
             text += f" u{who}@site.org name{who} {'name%d' % who if rng.random() < 0.5 else ''} \nname{who} x"
         docs.append((i, text))
-    got = pii.find(spark.createDataFrame(docs, DOCS)).orderBy("doc_id").collect()
+    got = pii.find(spark.createDataFrame(docs, DOCS), few, broadcast_bytes).orderBy("doc_id").collect()
     want = slow_terms(docs)
     assert [[(s.start, s.end) for s in r.added] for r in got] == want
     assert sum(map(len, want)) > 20
