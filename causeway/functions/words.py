@@ -126,9 +126,19 @@ def whole(ns: Column, unit_ns: int) -> Column:
     return F.floor((ns - ns % F.lit(unit_ns).cast("long")) / F.lit(unit_ns)) if unit_ns == 1 else F.call_function("div", ns, F.lit(unit_ns).cast("long"))
 
 
+def unspecified(resolution_ns: Column) -> Column:
+    """The resolution of a probe's times is not known."""
+    return resolution_ns == 0
+
+
+def local_only(clock: Column) -> Column:
+    """The wall clock is the probe's own and not to be compared with others."""
+    return clock == 0
+
+
 def comparable(clock_a: Column, clock_b: Column, probe_a: Column, probe_b: Column) -> Column:
     """Times can be compared: the same wall clock that is not local, or the same probe."""
-    return ((clock_a == clock_b) & (clock_a != 0)) | (probe_a == probe_b)
+    return ((clock_a == clock_b) & ~local_only(clock_a)) | (probe_a == probe_b)
 
 
 def _signed(raw: Column, bits: int) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import clocks as C
+from causeway.functions import words as W
+from causeway.operators.timeline import running
 
 
 def shared_path(spark, name: str) -> str:
@@ -31,10 +33,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def interactions_of(entries: DataFrame) -> DataFrame:
-    """(dst_probe, dst_clock, src_probe, src_clock) of decoded entries: a self clock with a foreign clock right behind it."""
+    """(dst_probe, dst_clock, src_probe, src_clock) of decoded entries: a self clock with a foreign clock right behind it.
+
+    Logging the first may push an old clock out, and the recorder may tell between both that it has no room for that one.
+    """
     by = Window.partitionBy("probe_id", "seq_num").orderBy("entry_idx")
     ahead = {f"next_{c}": F.lead(c).over(by) for c in ("kind", "clock_probe_id", "clock_word")}
-    pairs = entries.withColumns(ahead).where("kind = 'clock' and next_kind = 'clock' and clock_probe_id = probe_id and next_clock_probe_id <> probe_id")
+    logged = entries.where(~F.coalesce(F.col("event_id") == W.INTERNAL_EVENTS["num_clocks_overflowed"], F.lit(False)))
+    pairs = logged.withColumns(ahead).where("kind = 'clock' and next_kind = 'clock' and clock_probe_id = probe_id and next_clock_probe_id <> probe_id")
     return pairs.select(F.col("probe_id").alias("dst_probe"), F.col("clock_word").alias("dst_clock"), F.col("next_clock_probe_id").alias("src_probe"), F.col("next_clock_word").alias("src_clock"))
 
 
@@ -102,13 +108,26 @@ def tracked_neighbours(clocks: DataFrame, capacity: int) -> DataFrame:
 
 
 def expectations(timeline: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(event_id, name, expected, unmet, failures): expectations are payload events that hold unless the payload is 0."""
+    """(event_id, name, expected, unmet, failures): expectations are payload events that hold unless the payload is 0.
+
+    tags of the manifest are a list, parted by semicolons; of an event that bears both tags both are counted.
+    """
     counted = timeline.groupBy("event_id").agg(F.count("*").alias("n"), F.count_if(F.col("payload_raw") == 0).alias("zero"))
-    named = counted.join(F.broadcast(manifest), counted.event_id == manifest.id).where("tags in ('expectation', 'failure')")
-    holds = F.col("tags") == "expectation"
-    return named.select("event_id", "name", F.when(holds, F.col("n")).otherwise(0).alias("expected"), F.when(holds, F.col("zero")).otherwise(0).alias("unmet"), F.when(holds, 0).otherwise(F.col("n")).alias("failures"))
+    tags = F.transform(F.split("tags", ";"), lambda t: F.lower(F.trim(t)))
+    holds, fails = F.array_contains(tags, "expectation"), F.array_contains(tags, "failure")
+    named = counted.join(manifest, counted.event_id == manifest.id).where(holds | fails)
+    return named.select("event_id", "name", F.when(holds, F.col("n")).otherwise(0).alias("expected"), F.when(holds, F.col("zero")).otherwise(0).alias("unmet"), F.when(fails, F.col("n")).otherwise(0).alias("failures"))
 
 
 def correlate(log: DataFrame, timeline: DataFrame) -> DataFrame:
     """log rows (probe_id, ticks, event_count, ...) with pos, the timeline's place of that instant."""
     return log.join(timeline.select("probe_id", "ticks", "event_count", "pos"), ["probe_id", "ticks", "event_count"], "left")
+
+
+def correlate_as_of(log: DataFrame, timeline: DataFrame) -> DataFrame:
+    """log rows with pos: the last place of their segment at or before their event_count; null if there is none."""
+    segment = F.struct("probe_id", "ticks").alias("segment")
+    places = timeline.select(segment, (F.col("event_count") * 2).alias("at"), "pos", F.lit(None).cast("struct<" + ",".join(f"`{c}`:{t}" for c, t in log.dtypes) + ">").alias("line"))
+    asks = log.select(segment, (F.col("event_count") * 2 + 1).alias("at"), F.lit(None).cast("long").alias("pos"), F.struct("*").alias("line"))
+    known = running(places.unionByName(asks), "segment", "at", F.col("pos"), "found", "max").where("line is not null")
+    return known.select("line.*", F.col("found").alias("pos"))

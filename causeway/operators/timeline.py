@@ -14,14 +14,14 @@ BLOCK = 1 << 16
 
 
 def running(df: DataFrame, key: str, pos: str, value: Column, name: str, how: str = "sum", block: int = BLOCK) -> DataFrame:
-    """df with name: the sum (or max) of value over the rows of the key up to and with this one, by pos."""
+    """df with name: the sum (or max) of value over the rows of the key up to and with this one, by pos; nulls add nothing."""
     fold = {"sum": F.sum, "max": F.max}[how]
     dealt = df.withColumn("_v", value).withColumn("_b", F.call_function("div", F.col(pos), F.lit(block).cast("long")))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy(key, "_b").agg(fold("_v").alias("_t")).select(key, "_b", fold("_t").over(before).alias("_t"))
     inside = Window.partitionBy(key, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     here = fold("_v").over(inside)
-    both = here + F.coalesce("_t", F.lit(0)) if how == "sum" else F.greatest(here, F.col("_t"))
+    both = F.coalesce(here, F.lit(0)) + F.coalesce("_t", F.lit(0)) if how == "sum" else F.greatest(here, F.col("_t"))
     return dealt.join(totals, [key, "_b"]).withColumn(name, both).drop("_v", "_b", "_t")
 
 

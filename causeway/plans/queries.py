@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import clocks as C
 from causeway.functions import words as W
+from causeway.operators import decoded as D
 from causeway.operators import entries as E
 from causeway.operators import graph as G
 from causeway.operators import timeline as T
@@ -156,8 +157,10 @@ def time_regressions(spark, sf_dir):
 
 
 def payload_typed(spark, sf_dir):
-    # The exponent's top bit is cleared, which leaves no infinity and no NaN.
-    raw = (F.col("event_id") * SPREAD % (1 << 32)).bitwiseAND(F.lit(0xBFFFFFFF).cast("long"))
+    word = F.col("event_id") * SPREAD % (1 << 32)
+    # All exponents; every eleventh is that of infinity, every other of these without a fraction.
+    high = word.bitwiseOR(F.lit(0x7F800000).cast("long"))
+    raw = F.when(F.col("event_id") % 22 == 0, high.bitwiseAND(F.lit(0xFF800000).cast("long"))).when(F.col("event_id") % 11 == 0, high).otherwise(word)
     kinds = ("i8", "u8", "i16", "u16", "i32", "u32", "f32", "bool")
     return _events(spark, sf_dir).select("event_id", *(W.payload(raw, k).alias(k) for k in kinds))
 
@@ -201,6 +204,20 @@ def decoded_interactions(spark, sf_dir):
     return G.interactions_of(_entries(spark, sf_dir))
 
 
+def decoded_timeline(spark, sf_dir):
+    """Segments and event counts from bytes alone, after every third report of each probe has been lost."""
+    whole = _written(spark, wire.with_payload(wire.with_header(S.reports(T.segments(S.script(spark, sf_dir)), SHORT_SPAN, True))).where("(seq_num + probe_id) % 3 <> 0").select("probe_id", "seq_num", "frontier", "words"))
+    rows = D.timeline(whole, _written(spark, E.parse(whole.select("probe_id", "seq_num", "words"), ["probe_id", "seq_num"])))
+    return rows.select("probe_id", "seq_num", "kind", "event_id", "payload_raw", "clock_probe_id", "clock_word", "time_ns", "clock_at", "event_count")
+
+
+def event_dedupe(spark, sf_dir):
+    """Every probe restarts once and records its first events again; even probes track restarts."""
+    rows = _written(spark, S.timeline(spark, sf_dir).where("op not in ('produce', 'merge')").select("probe_id", F.col("ticks").alias("clock_at"), "event_count", (F.col("probe_id") % 2 == 0).alias("persistent_epoch")))
+    rows = rows.withColumn("event_count", F.when(F.col("event_count") % 5 != 0, F.col("event_count")))
+    return D.distinct_events(rows.unionByName(rows.where("clock_at < 2")))
+
+
 def snapshot_codec(spark, sf_dir):
     """Every snapshot as its 12 bytes, and back."""
     rows = T.segments(S.script(spark, sf_dir)).where("op = 'produce'")
@@ -220,7 +237,7 @@ def report_dedupe(spark, sf_dir):
 
 
 def expectations(spark, sf_dir):
-    manifest = spark.createDataFrame([(5, "view has a value", "expectation"), (2, "error", "failure"), (1, "click", "")], "id long, name string, tags string")
+    manifest = spark.createDataFrame([(5, "view has a value", "producer;EXPECTATION"), (2, "error", "failure"), (1, "click", "producer; not an expectation"), (3, "sale", "expectation; failure"), (4, "none", None)], "id long, name string, tags string")
     rows = S.script(spark, sf_dir).where("op not in ('produce', 'merge')").withColumn("payload_raw", F.when(F.col("pos") % 9 == 0, 0).otherwise(F.col("payload_raw")))
     return G.expectations(rows, manifest).select("event_id", "name", *(F.col(c).cast("long").alias(c) for c in ("expected", "unmet", "failures")))
 
@@ -232,6 +249,20 @@ def log_correlation(spark, sf_dir):
     return G.correlate(log, rows)
 
 
+def log_as_of(spark, sf_dir):
+    """An external log whose instants lie between events, or behind the last of a segment."""
+    rows = _written(spark, S.timeline(spark, sf_dir).select("probe_id", "pos", "op", "ticks", "event_count"))
+    log = rows.where("op = 'event'").select("probe_id", "ticks", (F.col("event_count") - 3 + F.col("pos") % 7).alias("event_count"), F.concat(F.lit("error at "), F.col("pos")).alias("line"))
+    return G.correlate_as_of(log, rows)
+
+
+def time_domains(spark, sf_dir):
+    """Whether the times of two probes can be compared."""
+    e = F.col("event_id")
+    a, b, p, q, r = e % 3, e * STEP % 4, e % 5, e * STEP % 2, e % 4 * 250
+    return _events(spark, sf_dir).select("event_id", W.comparable(a, b, p, q).alias("comparable"), W.local_only(a).alias("local_only"), W.unspecified(r).alias("unspecified"))
+
+
 def restart_epochs(spark, sf_dir):
     """Signups as restarts; even probes are tracked, and a provider fails now and then."""
     rows = T.running(S.script(spark, sf_dir).where("op = 'produce'"), "probe_id", "pos", F.lit(1).cast("long"), "n")
@@ -260,7 +291,7 @@ NAMES = (
     "segment_summary segment_ticks event_count now ring_retention missed_words ring_index interactions dangling_edges happens_before frontier_fold "
     "frontier_of_interactions frontier_capacity clock_next_prev clock_unpack clock_compare word_classify word_encode id_validation time_units "
     "time_regressions payload_typed description_filled report_header report_errors entry_parse report_frontier decoded_interactions snapshot_codec "
-    "report_gap report_dedupe expectations log_correlation restart_epochs stream_entries"
+    "report_gap report_dedupe expectations log_correlation restart_epochs stream_entries decoded_timeline event_dedupe log_as_of time_domains"
 ).split()
 
 
@@ -326,7 +357,7 @@ def _report_rows(span: int) -> str:
 
 _REPORTS = _report_rows(_BLOCK)
 _WORD = f"event_id * {SPREAD} % {1 << 32}"
-_RAW = f"r AS (SELECT event_id, ({_WORD}) & {0xBFFFFFFF} AS x FROM events)"
+_RAW = f"r AS (SELECT event_id, CASE WHEN event_id % 22 = 0 THEN (({_WORD}) | {0x7F800000}) & {0xFF800000} WHEN event_id % 11 = 0 THEN ({_WORD}) | {0x7F800000} ELSE {_WORD} END AS x FROM events)"
 
 
 def _signed(bits: int) -> str:
@@ -358,17 +389,28 @@ ORACLE_SQL: dict[str, str] = {
     "id_validation": f"WITH x AS (SELECT event_id, event_id * {SPREAD} - {1 << 30} AS x, event_id % 4096 * {1 << 50} AS ns FROM events) SELECT event_id, CASE WHEN x BETWEEN 1 AND {W.MAX_ID} THEN x END AS probe_id, CASE WHEN x BETWEEN 1 AND {W.MAX_ID} THEN x END AS any_event_id, CASE WHEN x BETWEEN 1 AND {W.MAX_USER_EVENT} THEN x END AS user_event_id, CASE WHEN x NOT BETWEEN 1 AND {W.MAX_ID} THEN 'InvalidEventId' WHEN ns NOT BETWEEN 0 AND {W.MAX_NS} THEN 'InvalidWallClockTime' END AS error FROM x",
     "time_units": f"WITH {_SCRIPT} SELECT pos, time_ns, time_ns & {_MASK} AS low, time_ns >> 32 AS high, time_ns // 1000000000 AS secs, time_ns // 1000000 AS millis, time_ns // 1000 AS micros, CASE WHEN time_ns * 2 BETWEEN 0 AND {W.MAX_NS} THEN time_ns * 2 END AS doubled, (time_ns * 2) & {W.MAX_NS} AS doubled_truncated FROM ev",
     "time_regressions": f"WITH {_SCRIPT}, t AS (SELECT probe_id, pos, CASE WHEN pos % 10 = 0 THEN time_ns - 3600000000000 ELSE time_ns END AS time_ns FROM ev), m AS (SELECT *, max(time_ns) OVER (PARTITION BY probe_id ORDER BY pos) AS latest_ns FROM t) SELECT * FROM m WHERE time_ns < latest_ns",
-    "payload_typed": f"WITH {_RAW} SELECT event_id, {_signed(8)} AS i8, x & 255 AS u8, {_signed(16)} AS i16, x & 65535 AS u16, {_signed(32)} AS i32, x AS u32, x <> 0 AS bool, CASE WHEN x >= 2147483648 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN ((x >> 23) & 255) = 0 THEN (x & 8388607)::DOUBLE / 8388608.0::DOUBLE * pow(2.0::DOUBLE, -126.0::DOUBLE) ELSE ((x & 8388607)::DOUBLE / 8388608.0::DOUBLE + 1.0::DOUBLE) * pow(2.0::DOUBLE, ((x >> 23) & 255)::DOUBLE - 127.0::DOUBLE) END AS f32 FROM r",
+    "payload_typed": f"WITH {_RAW} SELECT event_id, {_signed(8)} AS i8, x & 255 AS u8, {_signed(16)} AS i16, x & 65535 AS u16, {_signed(32)} AS i32, x AS u32, x <> 0 AS bool, CASE WHEN x >= 2147483648 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN ((x >> 23) & 255) = 255 THEN CASE WHEN (x & 8388607) = 0 THEN 'inf'::DOUBLE ELSE 'nan'::DOUBLE END WHEN ((x >> 23) & 255) = 0 THEN (x & 8388607)::DOUBLE / 8388608.0::DOUBLE * pow(2.0::DOUBLE, -126.0::DOUBLE) ELSE ((x & 8388607)::DOUBLE / 8388608.0::DOUBLE + 1.0::DOUBLE) * pow(2.0::DOUBLE, ((x >> 23) & 255)::DOUBLE - 127.0::DOUBLE) END AS f32 FROM r",
     "description_filled": f"WITH {_SCRIPT} SELECT pos, 'value was ' || payload_raw || ' cents' AS said FROM script WHERE op = 'event_payload'",
     "report_header": f"WITH {_SCRIPT}, {_REPORTS} SELECT probe_id, {_packed('ticks')} AS clock_word, seq_num, false AS persistent_epoch, CAST(1000 AS BIGINT) AS time_resolution, CAST(1 AS BIGINT) AS wall_clock_id, CAST(1 AS BIGINT) AS n_clocks, n AS n_log_entries, 41 + 4 * n AS bytes, CAST(NULL AS VARCHAR) AS error FROM rp",
     "report_errors": f"WITH {_SCRIPT}, {_REPORTS} SELECT (seq_num + probe_id) % 5 AS damage, CASE (seq_num + probe_id) % 5 WHEN 0 THEN 'MissingHeader' WHEN 1 THEN 'IncompletePayload' WHEN 2 THEN 'InvalidFingerprint' WHEN 3 THEN 'InvalidProbeId' END AS error, count(*) AS n FROM rp GROUP BY ALL",
     "entry_parse": f"WITH {_SCRIPT}, {_ENTRIES} SELECT probe_id, seq_num, kind, CAST(n_words AS BIGINT) AS n_words, CAST(event_id AS BIGINT) AS event_id, payload_raw, clock_probe_id, CAST(clock_word AS BIGINT) AS clock_word, time_ns FROM en",
-    "report_frontier": f"WITH {_SCRIPT}, {_REPORTS} SELECT seq_num, probe_id, {_epoch('ticks')} AS epoch, {_tick('ticks')} AS ticks FROM rp",
+    "report_frontier": f"WITH {_SCRIPT}, rf AS (SELECT probe_id, pos // {_BLOCK} AS seq_num, min(ticks - CASE WHEN {_TICKS} THEN 1 ELSE 0 END) AS before FROM seg GROUP BY ALL) SELECT seq_num, probe_id, {_epoch('before')} AS epoch, {_tick('before')} AS ticks FROM rf",
     "decoded_interactions": f"WITH {_SCRIPT} SELECT dst_probe, {_packed('dst_ticks')} AS dst_clock, src_probe, {_packed('src_ticks')} AS src_clock FROM edges",
+    "decoded_timeline": f"""WITH {_SCRIPT}, nr AS (SELECT probe_id, pos // {SHORT_SPAN} AS stretch, row_number() OVER (PARTITION BY probe_id ORDER BY pos // {SHORT_SPAN}) - 1 AS seq_num, bool_or({_TICKS}) AS has_clock FROM seg GROUP BY probe_id, pos // {SHORT_SPAN}),
+        kept AS (SELECT *, seq_num - lag(seq_num, 1, -1) OVER (PARTITION BY probe_id ORDER BY seq_num) > 1 AS lost FROM nr WHERE (seq_num + probe_id) % 3 <> 0),
+        anchored AS (SELECT *, coalesce(last_value(CASE WHEN has_clock THEN true WHEN lost THEN false END IGNORE NULLS) OVER (PARTITION BY probe_id ORDER BY seq_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AND NOT lost AS carried FROM kept),
+        placed AS (SELECT tl.*, seq_num, carried OR max(CASE WHEN {_TICKS} THEN 1 ELSE 0 END) OVER (PARTITION BY tl.probe_id, seq_num ORDER BY pos) = 1 AS known FROM tl JOIN anchored a ON a.probe_id = tl.probe_id AND a.stretch = tl.pos // {SHORT_SPAN}),
+        decoded AS (SELECT probe_id, seq_num, CASE op WHEN 'event_time' THEN 'event' WHEN 'event_payload_time' THEN 'event_payload' WHEN 'produce' THEN 'clock' WHEN 'merge' THEN 'clock' ELSE op END AS kind, CASE WHEN NOT {_TICKS} THEN CAST(event_id AS BIGINT) END AS event_id,
+            CASE WHEN op IN ('event_payload', 'event_payload_time') THEN payload_raw & {_MASK} END AS payload_raw, CASE WHEN {_TICKS} THEN probe_id END AS clock_probe_id, CASE WHEN {_TICKS} THEN CAST({_packed('ticks')} AS BIGINT) END AS clock_word,
+            CASE WHEN op IN ('event_time', 'event_payload_time') THEN time_ns END AS time_ns, CAST({_packed('ticks')} AS BIGINT) AS clock_at, CASE WHEN known THEN event_count END AS event_count FROM placed
+            UNION ALL SELECT p.probe_id, seq_num, 'clock', NULL, NULL, src_probe, CAST({_packed('src_ticks')} AS BIGINT), NULL, CAST({_packed('p.ticks')} AS BIGINT), event_count FROM placed p JOIN edges e ON e.pos = p.pos) SELECT * FROM decoded""",
+    "event_dedupe": f"WITH {_SCRIPT}, e AS (SELECT probe_id, ticks AS clock_at, CASE WHEN event_count % 5 <> 0 THEN event_count END AS event_count, probe_id % 2 = 0 AS persistent_epoch FROM tl WHERE NOT {_TICKS}), d AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE clock_at < 2) SELECT * FROM d WHERE persistent_epoch OR event_count IS NULL UNION ALL SELECT DISTINCT * FROM d WHERE NOT persistent_epoch AND event_count IS NOT NULL",
+    "log_as_of": f"WITH {_SCRIPT}, l AS (SELECT probe_id, ticks, event_count - 3 + pos % 7 AS event_count, 'error at ' || pos AS line FROM tl WHERE op = 'event') SELECT l.probe_id, l.ticks, l.event_count, line, max(tl.pos) AS pos FROM l LEFT JOIN tl ON tl.probe_id = l.probe_id AND tl.ticks = l.ticks AND tl.event_count <= l.event_count GROUP BY ALL",
+    "time_domains": f"SELECT event_id, (event_id % 3 = event_id * {STEP} % 4 AND event_id % 3 <> 0) OR event_id % 5 = event_id * {STEP} % 2 AS comparable, event_id % 3 = 0 AS local_only, event_id % 4 = 0 AS unspecified FROM events",
     "snapshot_codec": f"WITH {_SCRIPT}, s AS (SELECT pos, probe_id, {_epoch('(ticks - 1)')} AS epoch, {_tick('(ticks - 1)')} AS ticks FROM seg WHERE op = 'produce') SELECT pos, {_le('probe_id', 4)} || {_le('ticks', 2)} || {_le('epoch', 2)} || '00000000' AS bytes, probe_id, epoch, ticks, CAST(NULL AS VARCHAR) AS error FROM s",
     "report_gap": f"WITH {_SCRIPT}, {_report_rows(SHORT_SPAN)}, g AS (SELECT probe_id, seq_num, seq_num - lag(seq_num, 1, -1) OVER (PARTITION BY probe_id ORDER BY seq_num) - 1 AS missing FROM rp WHERE (seq_num + probe_id) % 3 <> 0) SELECT * FROM g WHERE missing > 0",
     "report_dedupe": "WITH r AS (SELECT user_id AS probe_id, event_id % 2 AS epoch, event_id % 7 AS seq_num, user_id % 2 = 0 AS persistent_epoch FROM events) SELECT DISTINCT * FROM r WHERE persistent_epoch UNION ALL SELECT * FROM r WHERE NOT persistent_epoch",
-    "expectations": f"WITH {_SCRIPT}, t AS (SELECT event_id, CASE WHEN pos % 9 = 0 THEN 0 ELSE payload_raw END AS payload FROM script WHERE NOT {_TICKS}) SELECT CAST(event_id AS BIGINT) AS event_id, CASE event_id WHEN 5 THEN 'view has a value' ELSE 'error' END AS name, CASE event_id WHEN 5 THEN count(*) ELSE 0 END AS expected, CASE event_id WHEN 5 THEN count(*) FILTER (payload = 0) ELSE 0 END AS unmet, CASE event_id WHEN 5 THEN 0 ELSE count(*) END AS failures FROM t WHERE event_id IN (2, 5) GROUP BY event_id",
+    "expectations": f"WITH {_SCRIPT}, t AS (SELECT event_id, CASE WHEN pos % 9 = 0 THEN 0 ELSE payload_raw END AS payload FROM script WHERE NOT {_TICKS}) SELECT CAST(event_id AS BIGINT) AS event_id, CASE event_id WHEN 5 THEN 'view has a value' WHEN 3 THEN 'sale' ELSE 'error' END AS name, CASE event_id WHEN 2 THEN 0 ELSE count(*) END AS expected, CASE event_id WHEN 2 THEN 0 ELSE count(*) FILTER (payload = 0) END AS unmet, CASE event_id WHEN 5 THEN 0 ELSE count(*) END AS failures FROM t WHERE event_id IN (2, 3, 5) GROUP BY event_id",
     "log_correlation": f"WITH {_SCRIPT} SELECT probe_id, ticks, event_count, 'error at ' || pos AS line, pos FROM tl WHERE op = 'event'",
     "restart_epochs": f"WITH {_SCRIPT}, c AS (SELECT probe_id, pos, row_number() OVER (PARTITION BY probe_id ORDER BY pos) - 1 AS call_no FROM script WHERE op = 'produce') SELECT probe_id, call_no, CASE WHEN probe_id % 2 <> 0 THEN call_no % 65536 WHEN pos % 4 = 0 THEN 0 ELSE call_no + 100 END AS epoch, probe_id % 2 = 0 AND pos % 4 = 0 AS invalid FROM c",
     "stream_entries": f"WITH {_SCRIPT}, {_ENTRIES} SELECT probe_id, CAST(0 AS BIGINT) AS missed, kind, CAST(n_words AS BIGINT) AS n_words, CAST(event_id AS BIGINT) AS event_id, payload_raw, clock_probe_id, CAST(clock_word AS BIGINT) AS clock_word, time_ns FROM en",

@@ -75,14 +75,19 @@ def with_words(segmented: DataFrame) -> DataFrame:
     return rows.withColumn("words", words)
 
 
-def reports(segmented: DataFrame, span: int = REPORT_SPAN) -> DataFrame:
+def reports(segmented: DataFrame, span: int = REPORT_SPAN, numbered: bool = False) -> DataFrame:
     """(content): one binary report for each stretch of span positions of a probe that holds entries.
 
-    A report's size is bounded by the span, so no group grows with the input.
+    Its clock is the probe's at the end, its frontier the probe's before. Numbers are those of stretches, or, numbered, of
+    the probe's reports. A report's size is bounded by the span, so no group grows with the input.
     """
     rows = with_words(segmented).withColumn("seq_num", F.call_function("div", F.col("pos"), F.lit(span).cast("long")))
-    grouped = rows.groupBy("probe_id", "seq_num").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("log"), F.max("ticks").alias("ticks"))
+    before = F.col("ticks") - F.col("op").isin("produce", "merge").cast("long")
+    grouped = rows.groupBy("probe_id", "seq_num").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("log"), F.max("ticks").alias("ticks"), F.min(before).alias("before"))
+    if numbered:
+        grouped = T.running(grouped, "probe_id", "seq_num", F.lit(1).cast("long"), "nth").withColumn("seq_num", F.col("nth") - 1)
     epoch, ticks = C.at_ordinal(F.col("ticks"))
-    own = F.array(F.struct(F.col("probe_id").alias("probe_id"), epoch.alias("epoch"), ticks.alias("ticks")))
+    first, past = C.at_ordinal(F.col("before"))
+    own = F.array(F.struct(F.col("probe_id").alias("probe_id"), first.alias("epoch"), past.alias("ticks")))
     header = {"probe_id": F.col("probe_id"), "clock_word": C.pack(epoch, ticks), "seq_num": F.col("seq_num"), "time_resolution": F.lit(1000), "wall_clock_id": F.lit(1)}
     return grouped.select(wire.encoded_report(header, own, F.flatten(F.transform("log", lambda x: x["words"]))).alias("content"))
