@@ -169,8 +169,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     prints = tables.put(fingerprints(docs))
     nodes = tables.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     n = nodes.count()
-    # The sample is a bounded number of fingerprints in an arbitrary order; it only steers the plan.
-    sample = np.array([r.fp for r in nodes.orderBy(F.xxhash64("fp")).limit(PLAN_SAMPLE).collect()], np.int64)
+    # The sample is a bounded number of fingerprints; it only steers the plan.
+    some = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, -(-n // PLAN_SAMPLE)))) == 0).limit(2 * PLAN_SAMPLE)
+    sample = np.array([r.fp for r in some.collect()], np.int64)
     plan = plan_parts(bit_counts(nodes), sample, n, max_bits) if n > 1 else []
     if plan:
         found = tables.put(links(nodes, plan, max_bits))
