@@ -2,7 +2,7 @@
 
 A window is k consecutive words. Every window has a minimiser, the least hash among its m-word grams; consecutive
 windows with the same minimiser travel as one packed string (a super-k-mer) to the minimiser's bucket. Words that a sample
-of texts holds are packed as two bytes, others are spelt out. Equal windows have equal minimisers, so they meet in one
+of texts holds are packed as one to three bytes by their frequency, others are spelt out. Equal windows have equal minimisers, so they meet in one
 bucket, where the windows of the strings are sorted and every occurrence but the first is marked. Marked ranges go back
 to their documents, whose words are then cut.
 
@@ -43,10 +43,13 @@ SORT = 300_000
 #: Strings of a bucket, and their bytes, that are sorted by one worker; the windows of a larger bucket are counted by Spark.
 BUCKET, BUCKET_BYTES = 50_000, 24 << 20
 
-#: Texts, and bytes of each, whose words are packed as two bytes; which they are changes bytes on the way, never results.
-SAMPLE_TEXTS, SAMPLE_BYTES = 400, 8000
-#: No byte of a short word is SPELT, so there are 255 x 255 of them.
-SPELT, SHORT_WORDS = 0xFF, 255 * 255
+#: Texts at most, and bytes of each, whose words are packed short; which they are changes bytes on the way, never results.
+#: They are sought among one in SOUGHT documents, so that they are spread over the table.
+SAMPLE_TEXTS, SAMPLE_BYTES, SOUGHT = 2000, 4000, 16
+#: The first byte of a short word tells its bytes: below ONE it is the only one, below TWO there is another, then two more.
+#: SPELT begins a word that is spelt out.
+ONE, TWO, SPELT = 150, 250, 0xFF
+SIZES = [1] * ONE + [2] * (TWO - ONE) + [3] * (SPELT - TWO)
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -89,12 +92,23 @@ def super_kmers(words: list[bytes], k: int = WINDOW, m: int = GRAM):
     return out
 
 
+def short_word(i: int) -> bytes | None:
+    """The packed form of the i-th most frequent word; none beyond what three bytes hold."""
+    if i < ONE:
+        return bytes((i,))
+    if (i := i - ONE) < (TWO - ONE) << 8:
+        return bytes((ONE + (i >> 8), i & 255))
+    if (i := i - ((TWO - ONE) << 8)) < (SPELT - TWO) << 16:
+        return bytes((TWO + (i >> 16), i >> 8 & 255, i & 255))
+    return None
+
+
 def short_words(docs: DataFrame) -> dict[bytes, bytes]:
-    """Two bytes for each of the most frequent words of a bounded sample of texts."""
-    order = F.xxhash64("doc_id")
-    rows = docs.where(F.length("text") > 0).select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("t")).orderBy(order).limit(SAMPLE_TEXTS).select("t").collect()
+    """Short forms for the words of a bounded sample of texts."""
+    some = docs.where((F.length("text") > 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(SOUGHT)) == 0))
+    rows = some.select(F.substring("text", 1, SAMPLE_BYTES).alias("t")).limit(SAMPLE_TEXTS).collect()
     counts = Counter(w for r in rows for w in r.t.encode().split())
-    return {w: bytes(divmod(i, 255)) for i, (w, _) in enumerate(counts.most_common(SHORT_WORDS))}
+    return {w: form for i, (w, _) in enumerate(counts.most_common()) if (form := short_word(i))}
 
 
 def spelt(word: bytes) -> bytes:
@@ -105,12 +119,11 @@ def spelt(word: bytes) -> bytes:
 
 def ends_of(packed: bytes) -> list[int]:
     """Where each word of a packed string ends."""
-    if SPELT not in packed:
-        return list(range(2, len(packed) + 1, 2))
     out, at, size = [], 0, len(packed)
     while at < size:
-        if packed[at] != SPELT:
-            at += 2
+        lead = packed[at]
+        if lead < SPELT:
+            at += SIZES[lead]
         elif (n := packed[at + 1]) < SPELT:
             at += 2 + n
         else:
@@ -301,5 +314,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = GRAM, most: int =
     tables = Tables(docs.sparkSession, "windows")
     found = repeated_ranges(docs, tables, k, m, most)
     cuts = tables.put(found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("cuts")))
+    # The strings' shuffle is of no more use; a collection on the driver lets Spark delete its files now, not later.
+    docs.sparkSession._jvm.System.gc()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return texts.join(cuts, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")

@@ -47,11 +47,16 @@ def test_substring_dedup_equals_brute_force(spark, most):
 
 
 def test_packed_words_end_where_they_should():
-    words = [b"ab", b"x" * 254, b"y" * 255, b"\xff" * 3, b"z" * 70_000, b"cd"]
-    coded = [b"\x01\x02", *map(substring_dedup.spelt, words[1:5]), b"\x00\xfe"]
-    ends = substring_dedup.ends_of(b"".join(coded))
-    assert ends == [sum(map(len, coded[: i + 1])) for i in range(6)]
-    assert substring_dedup.ends_of(b"\x01\x02" * 3) == [2, 4, 6]
+    spelt = [substring_dedup.spelt(w) for w in (b"x" * 254, b"y" * 255, b"\xff" * 3, b"z" * 70_000)]
+    coded = [substring_dedup.short_word(0), *spelt[:2], substring_dedup.short_word(200), *spelt[2:], substring_dedup.short_word(99_999)]
+    assert substring_dedup.ends_of(b"".join(coded)) == [sum(map(len, coded[: i + 1])) for i in range(7)]
+
+
+def test_short_words_differ_and_are_told_by_their_first_byte():
+    forms = [substring_dedup.short_word(i) for i in (*range(26_000), *range(353_000, 353_500))]
+    known = [f for f in forms if f]
+    assert len(set(known)) == len(known) and forms[-1] is None
+    assert all(len(f) == substring_dedup.SIZES[f[0]] for f in known)
 
 
 def test_substring_dedup_of_long_words(spark):
