@@ -47,13 +47,15 @@ def timeline(reports: DataFrame, entries: DataFrame) -> DataFrame:
     # An own clock right behind the overflow that announced it goes on with the segment that is open already.
     told = F.lag(overflow, 1, False).over(by) | (F.lag(invalid, 1, False).over(by) & F.lag(overflow, 2, False).over(by))
     counts = F.col("kind").isin("event", "event_payload", "time") & ~F.coalesce(F.col("meaning").isin(*OUTSIDE), F.lit(False))
-    rows = rows.withColumn("_own", own).withColumn("_told", told).withColumn("_counts", counts.cast("long"))
+    # It may head the next report, with or without the other event that an overflow can bring.
+    heads = own & ((F.col("entry_idx") == 0) | ((F.col("entry_idx") == 1) & F.lag(invalid, 1, False).over(by)))
+    rows = rows.withColumn("_own", own).withColumn("_heads", heads).withColumn("_told", told).withColumn("_counts", counts.cast("long"))
     opened = F.when(overflow, F.col("payload_raw").bitwiseAND(F.lit(65535).cast("long")) * 65536 + 1).when(F.col("_own") & ~F.col("_told"), F.col("clock_word"))
     rows = rows.withColumn("_opens", opened).withColumn("_n", F.sum("_counts").over(upto))
     rows = rows.withColumn("_clock", F.last("_opens", True).over(upto)).withColumn("_base", F.last(F.when(F.col("_opens").isNotNull(), F.col("_n") - F.col("_counts")), True).over(upto))
 
     tail = F.max(F.struct("entry_idx", "_clock", "_base", "_n", (overflow | (invalid & F.col("_told"))).alias("told"))).alias("s")
-    ends = rows.groupBy("probe_id", "seq_num").agg(tail, F.max(_is("items_missed")).alias("missed"), F.min(F.struct("entry_idx", "_own", "clock_word")).alias("first"))
+    ends = rows.groupBy("probe_id", "seq_num").agg(tail, F.max(_is("items_missed")).alias("missed"), F.max(F.when(F.col("_heads"), F.col("clock_word"))).alias("first"))
     self_clock = F.filter("frontier", lambda c: c["probe_id"] == F.col("probe_id"))
     start = F.when(F.size(self_clock) > 0, F.element_at(self_clock, 1)["epoch"].cast("long") * 65536 + F.element_at(self_clock, 1)["ticks"])
     # Reports without entries hold a place in the sequence.
@@ -63,9 +65,9 @@ def timeline(reports: DataFrame, entries: DataFrame) -> DataFrame:
     adjoins = F.coalesce(F.col("_prior.seq_num"), F.lit(-1).cast("long")) == F.col("seq_num") - 1
     ends = ends.withColumn("_lost", ~adjoins | F.col("missed"))
     # An overflow at the end of the last report has announced the clock at the head of this one.
-    goes_on = ~F.col("_lost") & F.coalesce(F.col("_prior.told") & F.col("first._own") & (F.col("first.clock_word") == F.col("_prior._last")), F.lit(False))
+    goes_on = ~F.col("_lost") & F.coalesce(F.col("_prior.told") & (F.col("first") == F.col("_prior._last")), F.lit(False))
     ends = ends.withColumn("_goes_on", goes_on)
-    only_that = F.col("_goes_on") & (F.col("_last") == F.col("first.clock_word"))
+    only_that = F.col("_goes_on") & (F.col("_last") == F.col("first"))
     # What a report leaves open: events since its last clock, known or not; reports without a clock add to it.
     anchor = F.when(F.col("_last").isNotNull() & ~only_that, F.struct(F.col("seq_num").alias("seq"), F.lit(True).alias("known"), F.col("_tail").alias("n")))
     anchor = anchor.when(F.col("_lost"), F.struct(F.col("seq_num").alias("seq"), F.lit(False).alias("known"), F.lit(0).cast("long").alias("n")))
@@ -74,7 +76,7 @@ def timeline(reports: DataFrame, entries: DataFrame) -> DataFrame:
     ends = _before(ends, F.when(F.col("_anchor").isNotNull(), at), "_open", "max")
     carried = F.when(F.col("_open").isNull(), F.coalesce("_sum", F.lit(0))).when(F.col("_open.known"), F.col("_open.n") + F.col("_sum") - F.col("_open.sum"))
     ends = ends.withColumn("_carried", F.when(~F.col("_lost"), carried))
-    placed = rows.join(ends.select("probe_id", "seq_num", "_start", "_carried", "_goes_on", "_prior", F.col("first.clock_word").alias("_first")), ["probe_id", "seq_num"])
+    placed = rows.join(ends.select("probe_id", "seq_num", "_start", "_carried", "_goes_on", "_prior", F.col("first").alias("_first")), ["probe_id", "seq_num"])
     still = F.col("_clock").isNull() | (F.col("_goes_on") & (F.col("_clock") == F.col("_first")))
     count = F.when(still, F.col("_carried") + F.col("_n")).otherwise(F.col("_n") - F.col("_base"))
     clock = F.coalesce("_clock", F.when(F.col("_carried").isNotNull() & F.col("_prior.told"), F.col("_prior._last")), "_start")

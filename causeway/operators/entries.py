@@ -13,7 +13,10 @@ FIELDS = "n_words int, kind string, event_id long, payload_raw long, clock_probe
 
 
 def entry_at(words: list[int], i: int) -> Entry | None:
-    """The whole entry that starts at a place; None if words are missing. A paired time needs what it times behind it."""
+    """The whole entry that starts at a place; None if words are missing. A paired time needs what it times behind it.
+
+    An id of 0 is none: such an event keeps its place with a null event_id.
+    """
     start, ns, left = i, None, len(words) - i
     if words[i] >> 29 == 7:
         if left < 3:
@@ -22,12 +25,12 @@ def entry_at(words: list[int], i: int) -> Entry | None:
     head = words[i]
     tag = head >> 30
     if tag == 0:
-        return i + 1 - start, "event", head, None, None, None, ns
+        return i + 1 - start, "event", head or None, None, None, None, ns
     if i + 1 >= len(words):
         return None
     size, low = i + 2 - start, words[i + 1]
     if tag == 1:
-        return size, "event_payload", head & 0x3FFFFFFF, low, None, None, ns
+        return size, "event_payload", head & 0x3FFFFFFF or None, low, None, None, ns
     if tag == 2:
         return size, "clock", None, None, head & 0x7FFFFFFF, low, ns
     return size, "time", None, None, None, None, (head & 0x1FFFFFFF) << 32 | low

@@ -272,17 +272,28 @@ def restart_epochs(spark, sf_dir):
 
 
 def stream_entries(spark, sf_dir):
-    """Entries that the streaming reader puts together from each report's words, cut in two chunks inside an entry."""
-    whole = wire.with_payload(_reports(spark, sf_dir)).select((F.col("seq_num") * (1 << 31) + F.col("probe_id")).alias("probe_id"), "words")
-    half = F.greatest(F.floor(F.size("words") / 2), F.lit(1)).cast("int")
-    first = F.struct(F.lit(0).cast("long").alias("start"), F.slice("words", F.lit(1), half).alias("words"))
-    second = F.struct(half.cast("long").alias("start"), F.slice("words", half + 1, F.size("words")).alias("words"))
-    chunks = whole.select("probe_id", F.explode(F.array(first, second)).alias("c")).select("probe_id", "c.start", "c.words")
+    """Entries that the streaming reader puts together from each report's words, in three runs of one stream.
+
+    Every report is a log of its own, cut within an entry and before another one. Of every four probes, one log lacks the
+    middle, of one the last chunk starts too early, and of one the middle comes again.
+    """
+    whole = wire.with_payload(_reports(spark, sf_dir)).select((F.col("seq_num") * (1 << 31) + F.col("probe_id")).alias("log"), "words")
+    whole = _written(spark, whole.withColumn("n", F.size("words")))
+    third = F.greatest(F.floor(F.col("n") / 3), F.lit(1)).cast("int")
+    later = E.parse(whole.select("log", "n", "words"), ["log", "n"]).where("3 * word_off >= 2 * n").groupBy("log").agg(F.min("word_off").alias("second"))
+    cut = whole.join(later, "log", "left").select("log", "words", "n", third.alias("first"), F.coalesce("second", "n").alias("second"))
+    piece = lambda run, a, b: F.struct(F.lit(run).alias("run"), a.cast("long").alias("start"), F.slice("words", a + 1, b - a).alias("words"))
+    none, first, second, n = F.lit(0), F.col("first"), F.col("second"), F.col("n")
+    middle, mode = piece(1, first, second), F.col("log") % 4
+    pieces = F.when(mode == 1, F.array(piece(0, none, first), piece(2, second, n))).when(mode == 2, F.array(piece(0, none, first), middle, piece(2, first, n)))
+    pieces = pieces.when(mode == 3, F.array(piece(0, none, first), middle, piece(2, first, second), piece(2, second, n))).otherwise(F.array(piece(0, none, first), middle, piece(2, second, n)))
+    chunks = _written(spark, cut.select(F.col("log").alias("probe_id"), F.explode(pieces).alias("c")).select("probe_id", "c.*"))
     root = G.shared_path(spark, "stream")
-    chunks.write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(chunks.schema).parquet(f"{root}/in")
-    out = reader.read_entries(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
-    out.awaitTermination()
+    for run in range(3):
+        chunks.where(F.col("run") == run).drop("run").write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(chunks.drop("run").schema).parquet(f"{root}/in")
+        out = reader.read_entries(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
+        out.awaitTermination()
     rows = spark.read.parquet(f"{root}/out")
     return rows.select((F.col("probe_id") % (1 << 31)).alias("probe_id"), "missed", "kind", F.col("n_words").cast("long").alias("n_words"), "event_id", "payload_raw", "clock_probe_id", "clock_word", "time_ns")
 
@@ -413,5 +424,13 @@ ORACLE_SQL: dict[str, str] = {
     "expectations": f"WITH {_SCRIPT}, t AS (SELECT event_id, CASE WHEN pos % 9 = 0 THEN 0 ELSE payload_raw END AS payload FROM script WHERE NOT {_TICKS}) SELECT CAST(event_id AS BIGINT) AS event_id, CASE event_id WHEN 5 THEN 'view has a value' WHEN 3 THEN 'sale' ELSE 'error' END AS name, CASE event_id WHEN 2 THEN 0 ELSE count(*) END AS expected, CASE event_id WHEN 2 THEN 0 ELSE count(*) FILTER (payload = 0) END AS unmet, CASE event_id WHEN 5 THEN 0 ELSE count(*) END AS failures FROM t WHERE event_id IN (2, 3, 5) GROUP BY event_id",
     "log_correlation": f"WITH {_SCRIPT} SELECT probe_id, ticks, event_count, 'error at ' || pos AS line, pos FROM tl WHERE op = 'event'",
     "restart_epochs": f"WITH {_SCRIPT}, c AS (SELECT probe_id, pos, row_number() OVER (PARTITION BY probe_id ORDER BY pos) - 1 AS call_no FROM script WHERE op = 'produce') SELECT probe_id, call_no, CASE WHEN probe_id % 2 <> 0 THEN call_no % 65536 WHEN pos % 4 = 0 THEN 0 ELSE call_no + 100 END AS epoch, probe_id % 2 = 0 AND pos % 4 = 0 AS invalid FROM c",
-    "stream_entries": f"WITH {_SCRIPT}, {_ENTRIES} SELECT probe_id, CAST(0 AS BIGINT) AS missed, kind, CAST(n_words AS BIGINT) AS n_words, CAST(event_id AS BIGINT) AS event_id, payload_raw, clock_probe_id, CAST(clock_word AS BIGINT) AS clock_word, time_ns FROM en",
+    "stream_entries": f"""WITH {_SCRIPT}, r AS (SELECT *, pos // {_BLOCK} AS seq_num, sum(n_words) OVER (PARTITION BY probe_id, pos // {_BLOCK} ORDER BY pos) - n_words AS off, sum(n_words) OVER (PARTITION BY probe_id, pos // {_BLOCK}) AS n FROM seg),
+        e AS (SELECT probe_id, seq_num, off, n, CASE WHEN {_TICKS} THEN 2 ELSE n_words END AS size, CASE op WHEN 'event_time' THEN 'event' WHEN 'event_payload_time' THEN 'event_payload' WHEN 'produce' THEN 'clock' WHEN 'merge' THEN 'clock' ELSE op END AS kind,
+            CASE WHEN NOT {_TICKS} THEN event_id END AS event_id, CASE WHEN op IN ('event_payload', 'event_payload_time') THEN payload_raw & {_MASK} END AS payload_raw, CASE WHEN {_TICKS} THEN probe_id END AS clock_probe_id,
+            CASE WHEN {_TICKS} THEN {_packed('ticks')} END AS clock_word, CASE WHEN op IN ('event_time', 'event_payload_time') THEN time_ns END AS time_ns FROM r
+            UNION ALL SELECT r.probe_id, r.seq_num, off + 2, n, 2, 'clock', NULL, NULL, src_probe, {_packed('src_ticks')}, NULL FROM r JOIN edges ON edges.pos = r.pos),
+        h AS (SELECT probe_id, seq_num, greatest(n // 3, 1) AS h1, coalesce(min(off) FILTER (3 * off >= 2 * n), n) AS h2 FROM e GROUP BY probe_id, seq_num, n),
+        c AS (SELECT e.*, h1, h2 FROM e JOIN h USING (probe_id, seq_num))
+        SELECT probe_id, CAST(0 AS BIGINT) AS missed, kind, CAST(size AS BIGINT) AS n_words, CAST(event_id AS BIGINT) AS event_id, payload_raw, clock_probe_id, CAST(clock_word AS BIGINT) AS clock_word, time_ns FROM c WHERE probe_id % 4 <> 1 OR off + size <= h1 OR off >= h2
+        UNION ALL SELECT probe_id, CAST(h2 - coalesce(max(off + size) FILTER (off + size <= h1), 0) AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM c WHERE probe_id % 4 = 1 AND h2 > h1 GROUP BY probe_id, seq_num, h1, h2""",
 }
