@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from causeway.functions import words as W
 
@@ -55,6 +58,21 @@ def _numbers(b: Column, at: Column, n: Column) -> Column:
     return F.when(n > 0, read).otherwise(F.array().cast("array<long>"))
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def words_at(content: pa.Array, at: pa.Array, n: pa.Array) -> pa.Array:
+    """n words of content from a byte on; null where they are not all there."""
+    sizes, parts = [], []
+    for b, start, count in zip(content.to_pylist(), at.to_pylist(), n.to_pylist(), strict=True):
+        if b is None or start is None or count is None or start + count * WORD_BYTES > len(b):
+            sizes.append(None)
+            continue
+        sizes.append(count)
+        parts.append(np.frombuffer(b, "<u4", count, start))
+    ends = np.cumsum([0, *(s or 0 for s in sizes)])
+    offsets = pa.array(ends.astype(np.int32), mask=np.array([*(s is None for s in sizes), False]))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, "<u4"), *parts]).astype(np.int64)))
+
+
 def with_payload(reports: DataFrame, content: str = "content") -> DataFrame:
     """Adds frontier, an array of (probe_id, epoch, ticks), and words, an array of longs; both null where the payload is not whole."""
     b, whole = F.col(content), F.col("error").isNull() | (F.col("error") == "InvalidProbeId")
@@ -65,7 +83,7 @@ def with_payload(reports: DataFrame, content: str = "content") -> DataFrame:
         pairs[i * 2 + 1].bitwiseAND(F.lit(65535).cast("long")).cast("int").alias("ticks"),
     )
     frontier = F.when(F.col("n_clocks") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_clocks"), F.lit(1)).cast("int") - 1), clock))
-    log = _numbers(b, (F.lit(HEADER_BYTES) + F.col("n_clocks") * CLOCK_BYTES).cast("int"), F.col("n_log_entries"))
+    log = words_at(b, HEADER_BYTES + F.col("n_clocks") * CLOCK_BYTES, F.col("n_log_entries"))
     empty = F.array().cast("array<struct<probe_id:long,epoch:int,ticks:int>>")
     return reports.withColumn("frontier", F.when(whole, F.coalesce(frontier, empty))).withColumn("words", F.when(whole, log))
 

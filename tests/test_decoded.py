@@ -100,6 +100,21 @@ def test_malformed_and_orphaned_words(spark):
     ]
 
 
+def test_all_logs_of_a_batch_parse_like_one_by_one(spark):
+    rng = random.Random(8)
+    words = [0, 1, 5, 0x40000000, 0x40000009, 0x80000003, 0xC0000001, 0xE0000002, 0xFFFFFFFF, 0x7FFFFFFF]
+    logs = [[rng.choice(words) for _ in range(rng.randrange(40))] for _ in range(400)] + [None, [], [0xE0000000] * 4099]
+    got = {}
+    for r in entries.parse(spark.createDataFrame(list(enumerate(logs)), "i int, words array<long>").repartition(3), ["i"]).orderBy("i", "entry_idx").collect():
+        got.setdefault(r.i, []).append((r.entry_idx, r.word_off, r.n_words, r.kind, r.event_id, r.payload_raw, r.clock_probe_id, r.clock_word, r.time_ns))
+    for i, log in enumerate(logs):
+        want, off = [], 0
+        for k, e in enumerate(entries.entries_of(log or [])[0]):
+            want.append((k, off, *e))
+            off += e[0]
+        assert got.get(i, []) == want
+
+
 def test_report_files_and_manifests_end_to_end(spark, tmp_path):
     golden = bytes.fromhex("5450524d01000000020000000800000000000000" "00ff000000010002000300000001000000020000000300000004000000050000000600000007000000")
     (tmp_path / "r").mkdir()
