@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +33,29 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
+_scopes: list[list[Tables]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Drops at its end what operators have written within; results that are still wanted must be written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for tables in _scopes.pop():
+            tables.clear()
+
+
 class Tables:
-    """Written tables that cut lineage; they outlive a lost executor and are dropped when no longer needed."""
+    """Written tables that cut lineage; they outlive a lost executor. An operator drops what its own steps are done with; what
+    its result reads stays until the caller's `scratch` ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        if _scopes:
+            _scopes[-1].append(self)
 
     def put(self, df: DataFrame, by: list[str] | None = None) -> DataFrame:
         self.n += 1
@@ -47,10 +65,16 @@ class Tables:
         out._table_path = path
         return out
 
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._table_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._table_path)
+
+    def clear(self) -> None:
+        self._delete(self.root)
 
 
 #: Keys with more than a share of 1 / HOT of all rows, fewer than HOT of them by that share, are dealt over SPREAD tasks.

@@ -88,6 +88,7 @@ def repeated_prefixes(rows: DataFrame, tables: Tables) -> tuple[DataFrame | None
         after = tables.put(merged.groupBy("doc_id", "pos").agg(F.max(F.struct("size", "name")).alias("s")).select("doc_id", "pos", "s.*"))
         tables.drop(state)
         state = after
+    tables.drop(*rounds)
     return state, again
 
 
@@ -96,7 +97,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     from pyspark.sql import Window
 
     tables = Tables(docs.sparkSession, "lines")
-    state, again = repeated_prefixes(tables.put(lines(docs)), tables)
+    rows = tables.put(lines(docs))
+    state, again = repeated_prefixes(rows, tables)
+    tables.drop(rows)
     if state is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, first int, last int, n long")
     by = Window.partitionBy("doc_id").orderBy("pos")

@@ -82,3 +82,17 @@ def test_pipeline_of_odd_tables(spark, tmp_path, empty):
     assert out.columns == ["doc_id", "ids", "ends"]
     # Nothing is rejected without labels; of copies the smallest doc_id stays once, rows without one stay.
     assert sorted((r.doc_id or 0) for r in out.collect()) == ([] if empty else [0, 0, 1, 2, 4])
+
+
+def test_what_operators_write_is_dropped(spark):
+    from causeway.llm._common import Tables, scratch
+
+    kept = Tables(spark, "kept")
+    docs = kept.put(spark.createDataFrame([(1, "a line\nb"), (2, "a line\nc")], "doc_id long, text string"))
+    with scratch():
+        inner = Tables(spark, "inner")
+        table = inner.put(docs)
+        out = kept.put(table)
+    assert out.count() == docs.count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(table._table_path).count()
