@@ -139,41 +139,43 @@ class Codec:
         model.normalizer_spec.precompiled_charsmap = b""
         self.cutter = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString()) if self.bytes else None
 
-    def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
-        """The normalised text, and for each of its bytes and its end the original byte where it starts."""
-        here = np.arange(len(text), dtype=np.int32)
-        flat, came = np.frombuffer(text, np.uint8), here
-        if hits := self.map.replacements(text):
-            raw, origin, upto = [], [], 0
-            for at, size, new in hits:
-                raw += [text[upto:at], new]
-                origin += [here[upto:at], np.full(len(new), at, np.int32)]
-                upto = at + size
-            flat = np.frombuffer(b"".join([*raw, text[upto:]]), np.uint8)
-            came = np.concatenate([*origin, here[upto:]])
-        end, blank = len(text), flat == 32
+    def _plain(self, text: bytes) -> tuple[bytes, np.ndarray | None]:
+        """The normalised text with its spaces as they are, and the original byte of each byte and of the end.
+
+        None: the bytes are the text's own, but for a space in front where the model wants one.
+        """
+        hits = self.map.replacements(text)
+        if not hits and not self.squeeze:
+            return (b" " + text if self.dummy and text else text), None
+        here = np.arange(len(text) + 1, dtype=np.int32)
+        raw, origin, upto = [], [], 0
+        for at, size, new in hits:
+            raw += [text[upto:at], new]
+            origin += [here[upto:at], np.full(len(new), at, np.int32)]
+            upto = at + size
+        flat, came = b"".join([*raw, text[upto:]]), np.concatenate([*origin, here[upto:]])
         if self.squeeze:
             # At the end a mark of the text's own goes like a space.
-            raw, last = flat.tobytes(), len(flat)
-            while last and (raw[last - 1] == 32 or (self.escape and raw.endswith(SPACE.encode(), max(0, last - 3), last))):
-                last -= 1 if raw[last - 1] == 32 else 3
-            first = int(np.argmin(blank)) if last else 0
-            if not last:
-                return b"", np.zeros(1, np.int32)
-            end = int(came[last]) if last < len(flat) else end
-            keep = ~blank
-            keep[1:] |= ~blank[:-1]
-            keep[:first], keep[last:] = False, False
-            flat, came, blank = flat[keep], came[keep], blank[keep]
-        if self.dummy and len(flat):
-            flat, came, blank = np.append(np.uint8(32), flat), np.append(came[:1], came), np.append(True, blank)
-        if self.escape:
-            wide = np.where(blank, 3, 1)
-            marks = (np.cumsum(wide) - wide)[blank]
-            flat, came = np.repeat(flat, wide), np.repeat(came, wide)
-            for i, b in enumerate(SPACE.encode()):
-                flat[marks + i] = b
-        return flat.tobytes(), np.append(came, np.int32(end))
+            last = len(flat)
+            while last and (flat[last - 1] == 32 or (self.escape and flat.endswith(SPACE.encode(), max(0, last - 3), last))):
+                last -= 1 if flat[last - 1] == 32 else 3
+            solid = np.frombuffer(flat, np.uint8)[:last] != 32
+            keep = solid.copy()
+            keep[1:] |= solid[:-1]
+            flat, came = np.frombuffer(flat, np.uint8)[:last][keep].tobytes(), np.append(came[:last][keep], came[last])
+        if self.dummy and flat:
+            flat, came = b" " + flat, np.append(came[:1], came)
+        return flat, came
+
+    def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
+        """The normalised text, and for each of its bytes and its end the original byte where it starts."""
+        flat, came = self._plain(text)
+        if came is None:
+            came = np.maximum(np.arange(len(flat) + 1) - (len(flat) - len(text)), 0)
+        if not self.escape:
+            return flat, came
+        wide = np.where(np.frombuffer(flat + b"x", np.uint8) == 32, 3, 1)
+        return flat.replace(b" ", SPACE.encode()), np.repeat(came, wide)
 
     def merge(self, text: str) -> tuple[list[int], list[int]]:
         """Ids and byte lengths of the BPE pieces of a normalised text: the best scored pair first, the leftmost of equals."""
@@ -226,15 +228,19 @@ class Codec:
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the id at i stands for original bytes ends[i - 1] to ends[i]."""
         none = np.empty(0, np.int32)
-        flat, came = self.normalise(text)
+        flat, came = self._plain(text)
         if not flat:
             return none, none
         try:
-            ids, sizes = self.cut(flat.decode())
+            ids, sizes = self.cut((flat.replace(b" ", SPACE.encode()) if self.escape else flat).decode())
         except UnicodeDecodeError:  # no text that Spark makes of characters
             ids, ends = self.encode(text.decode("utf-8", "replace").encode())
             return ids, _original_ends(text, ends)
-        return ids, came[np.cumsum(sizes)]
+        ends = np.cumsum(sizes)
+        if self.escape:  # back to where a space is one byte: two less for every mark before
+            spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
+            ends -= 2 * np.searchsorted(spaces + 2 * np.arange(len(spaces)), ends)
+        return ids, (ends - (len(flat) - len(text)) if came is None else came[ends]).astype(np.int32)
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
