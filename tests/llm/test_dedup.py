@@ -146,6 +146,12 @@ def test_simhash_equals_brute_force(spark):
     assert {r.doc_id: r.component_id for r in rows} == components(fps, 3)
 
 
+def test_simhash_of_a_very_long_text():
+    rng = random.Random(7)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(100_000))
+    assert simhash_dedup.fingerprint(text.encode()) % (1 << 64) == slow_fingerprint(text)
+
+
 def test_simhash_of_nothing(spark):
     assert simhash_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = simhash_dedup.keep_one(spark.createDataFrame([(1, "a b c d", "", 0), (2, "a b c d", "", 0), (None, "a b c d", "", 0)], SCHEMA)).collect()

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from causeway.llm import context_tree, decontamination, nn_descent, pii, queries, rule_ensemble, sentencepiece_codec, warc_store
@@ -42,6 +43,25 @@ def test_classifier_on_held_out_rows(spark):
     assert (both.predicted == both.quality).mean() > 0.9
 
 
+def test_compiled_rules_equal_plain_evaluation(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    stats = rule_ensemble.with_statistics(docs)
+    model = rule_ensemble.fit(stats.join(labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id").drop("doc_id"))
+    assert any(len(rule.bounds) > 1 for _, rule in model.weighted)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in stats.select("*", model.score().alias("score")).collect():
+        values = dict(zip(rule_ensemble.STATISTICS, rule_ensemble.statistics(texts[r.doc_id]), strict=True))
+        total = model.intercept + sum(w for w, rule in model.weighted if all(low < values[k] <= high for k, low, high in rule.bounds))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_statistics_of_a_text():
+    got = dict(zip(rule_ensemble.STATISTICS, rule_ensemble.statistics(b"Ab ab ab 12!\nAb ab ab 12!"), strict=True))
+    assert got["log_words"] == math.log1p(8) and got["word_bytes"] == 18 / 8 and got["upper_share"] == 2 / 12
+    assert got["digit_share"] == 4 / 25 and got["distinct_words"] == 3 / 8 and got["top_word"] == 0.5 and got["same_as_last"] == 2 / 7 * 7 / 8
+    assert got["distinct_lines"] == 0.5 and got["line_words"] == 4 and got["bang_share"] == 2 / 25
+
+
 def test_classifier_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, 7, 0)], "doc_id long, quality int, toxic int")
     rows = rule_ensemble.classify(odd, labels).collect()
@@ -316,6 +336,15 @@ def test_archives_round_trip(spark):
         assert int.from_bytes(f.read(4), "little") == warc_store.DICTIONARY_MAGIC
 
 
+def test_archives_of_no_pages_and_of_long_ones(spark):
+    schema = "page_id long, url string, html string, n int"
+    for pages in ([], [(1, None, None, 0), (2, "u", "é" * 3_000_000, 0), (3, "v", "é" * 3_000_000, 0), (3, "v", "é" * 3_000_000, 0)]):
+        tables = Tables(spark, "w")
+        manifest = tables.put(warc_store.write(spark.createDataFrame(pages, schema), f"{tables.root}/a"))
+        rows = warc_store.read(manifest).collect()
+        assert sorted((r.page_id, r.record_type, r.payload_bytes, r.refers_to) for r in rows) == ([] if not pages else [(1, "response", 0, None), (2, "revisit", 6_000_000, 3), (3, "response", 6_000_000, None), (3, "response", 6_000_000, None)])
+
+
 def test_pipeline_keeps_clean_documents(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "ids", "ends"]
