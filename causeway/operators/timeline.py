@@ -30,15 +30,25 @@ def segments(script: DataFrame) -> DataFrame:
     return running(script, "probe_id", "pos", F.col("op").isin("produce", "merge").cast("long"), "ticks")
 
 
-def instants(timeline: DataFrame) -> DataFrame:
-    """timeline with event_count: events in the segment up to and with each row, 0 at its opening.
+def instants(script: DataFrame, block: int = BLOCK) -> DataFrame:
+    """script with ticks, as `segments` gives them, and event_count: events in the segment up to and with each row, 0 at its
+    opening.
 
-    The count restarts with the segment, so it is the running count of events less that at the boundary.
+    Rows are dealt once. Within a block the counts and the events at the last opening are running values; from the blocks'
+    ends comes what is open before each block.
     """
-    ticks = F.col("op").isin("produce", "merge")
-    counted = running(timeline, "probe_id", "pos", (~ticks).cast("long"), "_events")
-    marked = running(counted, "probe_id", "pos", F.when(ticks, F.col("_events")), "_base", "max")
-    return marked.withColumn("event_count", F.col("_events") - F.coalesce("_base", F.lit(0))).drop("_events", "_base")
+    opens = F.col("op").isin("produce", "merge")
+    inside = Window.partitionBy("probe_id", "_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = script.withColumn("_b", F.call_function("div", F.col("pos"), F.lit(block).cast("long")))
+    rows = rows.withColumn("_ticks", F.sum(opens.cast("long")).over(inside)).withColumn("_n", F.sum((~opens).cast("long")).over(inside))
+    rows = rows.withColumn("_base", F.max(F.when(opens, F.col("_n"))).over(inside))
+    before = Window.partitionBy("probe_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("probe_id", "_b").agg(F.max(F.struct("pos", "_ticks", "_n", "_base")).alias("_end"))
+    ends = ends.withColumn("_past", F.coalesce(F.sum("_end._n").over(before), F.lit(0)))
+    opened = F.max(F.col("_past") + F.col("_end._base")).over(before)
+    ends = ends.select("probe_id", "_b", F.coalesce(F.sum("_end._ticks").over(before), F.lit(0)).alias("_told"), (F.col("_past") - F.coalesce(opened, F.lit(0))).alias("_open"))
+    placed = rows.join(ends, ["probe_id", "_b"]).withColumn("ticks", F.col("_told") + F.col("_ticks"))
+    return placed.withColumn("event_count", F.col("_n") - F.coalesce("_base", -F.col("_open"))).drop("_b", "_ticks", "_n", "_base", "_told", "_open")
 
 
 def retained(script: DataFrame, capacity: int) -> DataFrame:

@@ -53,7 +53,7 @@ def script(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """script with ticks and event_count."""
-    return T.instants(T.segments(script(spark, sf_dir)))
+    return T.instants(script(spark, sf_dir))
 
 
 def interactions(segmented: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway.functions import words as W
-from causeway.operators import decoded, entries, graph
+from causeway.operators import decoded, entries, graph, timeline
 from causeway.sources import wire
 from causeway.streaming import reader
 
@@ -167,3 +167,18 @@ def test_reader_equals_a_parse_of_what_arrived():
             sent = max(sent, end)
         assert sum(e[0] for _, e in out) + lost + len(held) == len(log)
         assert all(entries.entry_at(log, p) == e for p, e in out)
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_instants_do_not_hang_on_blocks(spark, block):
+    rng = random.Random(2)
+    script = [(rng.randrange(3), pos, rng.choice(["event", "event", "event", "produce", "merge"])) for pos in range(300)]
+    ticks, counts, want = {}, {}, {}
+    for probe, pos, op in script:
+        if op == "event":
+            counts[probe] = counts.get(probe, 0) + 1
+        else:
+            ticks[probe], counts[probe] = ticks.get(probe, 0) + 1, 0
+        want[pos] = (ticks.get(probe, 0), counts[probe])
+    rows = timeline.instants(spark.createDataFrame(script, "probe_id long, pos long, op string"), block).collect()
+    assert {r.pos: (r.ticks, r.event_count) for r in rows} == want
