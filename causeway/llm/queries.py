@@ -1,11 +1,11 @@
-"""The ten operators as registered queries, with production parameters over whole tables, and SQL where it can say the same."""
+"""The operators as registered queries, with production parameters over whole tables, and SQL where it can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import context_tree, decontamination, line_dedup, nn_descent, pii, rule_ensemble, sentencepiece_codec, simhash_dedup, substring_dedup, warc_store
+from causeway.llm import context_tree, decontamination, line_dedup, nn_descent, pii, rule_ensemble, sentencepiece_codec, simhash_dedup, substring_dedup, token_store, warc_store
 from causeway.llm._common import Tables
 
 
@@ -69,6 +69,19 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def byte_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op13_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = Tables(spark, "ids")
+    manifest = tables.put(token_store.write(_table(spark, sf_dir, "documents"), f"{tables.root}/files", byte_model()))
+    ids = F.col("ids")
+    return token_store.read(manifest).select("doc_id", "start", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
