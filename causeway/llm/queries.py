@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import context_tree, decontamination, line_dedup, nn_descent, pii, prefix_trie, rule_ensemble, sentencepiece_codec, simhash_dedup, substring_dedup, token_store, warc_store
+from causeway.llm import context_tree, decontamination, line_dedup, nn_descent, pii, prefix_trie, rule_ensemble, sentencepiece_codec, simhash_dedup, spelling, substring_dedup, token_store, warc_store
 from causeway.llm._common import Tables
 
 
@@ -69,6 +69,10 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def byte_model() -> str:
     import public_tokenizers
 
