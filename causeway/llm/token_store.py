@@ -41,10 +41,10 @@ BLOCK_IDS, FILE_IDS = 1 << 20, 1 << 24
 #: Occurrences from which a pair is replaced, rounds at most, and pairs of one round at most.
 LEAST, ROUNDS, PER_ROUND = 4, 10, 4096
 #: A round that shortens the sequence by less than this share is the last.
-GAIN = 0.01
+GAIN = 0.02
 END_ID = 0
 #: Bytes, about, of the pieces that a worker remembers, and what one takes besides its characters.
-CACHE, ENTRY = 160 << 20, 130
+CACHE, ENTRY = 256 << 20, 150
 READ_TASKS = 4096
 #: Symbols that fit 16 bits; ids up to which a table numbers them.
 _FEW, _TABLE = 1 << 16, 1 << 22
@@ -267,9 +267,9 @@ class Reader:
 
 # --- encoding ----------------------------------------------------------------------------------------------------------
 
-#: The space between two characters that are not white space begins a piece: no token of a byte-level tokenizer reaches
+#: A space between two characters that are not white space begins a piece: no token of a byte-level tokenizer reaches
 #: across it, and what stands before and after it has no part in how a piece is cut further.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+_CUT = re.compile(r" (?=\S)(?<=\S )")
 _tokenizers: dict = {}
 
 
@@ -286,29 +286,38 @@ def _encoder(model: str):
         _tokenizers[model] = (tokenizer, sizes, {}, [0])
     tokenizer, sizes, known, held = _tokenizers[model]
 
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def learn(pieces: list[str]) -> None:
-        """Encodes pieces as one text and tells from the tokens' bytes where each one ends."""
-        ids = np.array(tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(p.encode()) for p in pieces])
+        """Encodes pieces, with the space before each, as one text and tells from the tokens' bytes where each one ends."""
+        ids = ids_of(" " + " ".join(pieces))
+        ends = np.cumsum([len(p) + 1 if p.isascii() else len(p.encode()) + 1 for p in pieces])
         at = 4 * np.searchsorted(np.cumsum(sizes[ids]), ends, "left") + 4
         raw, start = ids.tobytes(), 0
         for p, end in zip(pieces, at.tolist(), strict=True):
             known[p] = raw[start:end]
             start = end
+        held[0] += ENTRY * len(pieces) + int(ends[-1])
 
     def encode(text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        pieces = _CUT.split(text)
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if held[0] > CACHE:
-            known.clear()
-            held[0], new = 0, list(dict.fromkeys(pieces))
-        held[0] += ENTRY * len(new) + sum(map(len, new))
-        # The first piece of a text does not begin with a space and must stand first.
-        for some in (new[i : i + 65536] for i in range(0, len(new), 65536)):
-            learn(some)
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+        first, *pieces = _CUT.split(text)
+        parts = list(map(known.get, pieces))
+        if None in parts:
+            if held[0] > CACHE:
+                known.clear()
+                held[0] = 0
+            new = [p for p in dict.fromkeys(pieces) if p not in known]
+            for at in range(0, len(new), 65536):
+                learn(new[at : at + 65536])
+            parts = [known[p] if x is None else x for p, x in zip(pieces, parts, strict=True)]
+        # What a text begins with has no space before it; the mark keeps it apart from such pieces.
+        if (start := known.get((first,))) is None:
+            start = known[(first,)] = ids_of(first).tobytes()
+            held[0] += ENTRY + len(first) + len(start)
+        return np.frombuffer(start + b"".join(parts), "<u4")
 
     return encode
 
