@@ -10,6 +10,7 @@ from causeway.functions import words as W
 from causeway.operators import decoded as D
 from causeway.operators import entries as E
 from causeway.operators import graph as G
+from causeway.operators import order as O
 from causeway.operators import timeline as T
 from causeway.plans import script as S
 from causeway.sources import wire
@@ -79,6 +80,21 @@ def happens_before(spark, sf_dir):
     return G.happens_after(S.interactions(T.segments(S.script(spark, sf_dir))), 1, 0)
 
 
+def causal_order(spark, sf_dir):
+    """How each event relates to another one, by the index of the causal order."""
+    rows = _written(spark, T.segments(S.script(spark, sf_dir)).select("probe_id", "pos", "op", "ticks", "peer", "src_pos"))
+    n = rows.agg((F.max("pos") + 1).alias("n"))  # one row
+    a = rows.join(F.broadcast(n)).select(F.col("pos"), F.col("probe_id").alias("probe_a"), F.col("ticks").alias("ticks_a"), ((F.col("pos") * STEP + 1) % F.col("n")).alias("other"))
+    b = rows.select(F.col("pos").alias("other"), F.col("probe_id").alias("probe_b"), F.col("ticks").alias("ticks_b"))
+    return O.relations(O.causal_index(S.interactions(rows)), a.join(b, "other")).select("pos", "other", "relation")
+
+
+def causal_reach(spark, sf_dir):
+    """How many other probes have heard of each segment in the end."""
+    rows = _written(spark, T.segments(S.script(spark, sf_dir)).select("probe_id", "pos", "op", "ticks", "peer", "src_pos"))
+    return O.reach(O.causal_index(S.interactions(rows)), rows.select("probe_id", "ticks").distinct()).select("probe_id", "ticks", F.coalesce("n_heard", F.lit(0)).alias("n_heard"))
+
+
 def _wrapping(spark, sf_dir) -> DataFrame:
     e = F.col("event_id")
     epoch = F.when(e % 3 == 0, 65530 + e % 6).when(e % 3 == 1, e * STEP % 9).otherwise(e % 65536)
@@ -302,7 +318,8 @@ NAMES = (
     "segment_summary segment_ticks event_count now ring_retention missed_words ring_index interactions dangling_edges happens_before frontier_fold "
     "frontier_of_interactions frontier_capacity clock_next_prev clock_unpack clock_compare word_classify word_encode id_validation time_units "
     "time_regressions payload_typed description_filled report_header report_errors entry_parse report_frontier decoded_interactions snapshot_codec "
-    "report_gap report_dedupe expectations log_correlation restart_epochs stream_entries decoded_timeline event_dedupe log_as_of time_domains"
+    "report_gap report_dedupe expectations log_correlation restart_epochs stream_entries decoded_timeline event_dedupe log_as_of time_domains "
+    "causal_order causal_reach"
 ).split()
 
 
@@ -342,6 +359,10 @@ def _le(x: str, size: int) -> str:
     return " || ".join(f"printf('%02x', ({x}) >> {8 * i} & 255)" for i in range(size))
 
 
+# From each segment of interest the first segment of each other probe's that hears of it, hop by hop.
+_HEARD = """hops AS (SELECT src_probe, src_ticks, dst_probe, min(dst_ticks) AS dst_ticks FROM edges GROUP BY ALL),
+reach AS (SELECT DISTINCT probe_id AS probe_a, ticks AS ticks_a, probe_id, ticks FROM seg UNION SELECT probe_a, ticks_a, dst_probe, dst_ticks FROM reach JOIN hops ON src_probe = probe_id AND src_ticks >= ticks),
+told AS (SELECT probe_a, ticks_a, probe_id, min(ticks) AS ticks FROM reach WHERE probe_id <> probe_a GROUP BY ALL)"""
 _WRAPPING = f"""w AS (SELECT user_id + 1 AS probe_id, length(event_type) % 4 + 1000 AS neighbor_id, event_id AS pos,
     CASE event_id % 3 WHEN 0 THEN 65530 + event_id % 6 WHEN 1 THEN event_id * {STEP} % 9 ELSE event_id % 65536 END AS epoch, event_id * {STEP} % 65536 AS ticks FROM events)"""
 _PAIRS = f"""p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 65532 + event_id % 3 ELSE event_id * {STEP} % 65536 END AS epoch_a,
@@ -387,6 +408,10 @@ ORACLE_SQL: dict[str, str] = {
     "interactions": f"WITH {_SCRIPT} SELECT dst_probe, dst_ticks, src_probe, src_ticks FROM edges",
     "dangling_edges": f"WITH {_SCRIPT} SELECT dst_probe, dst_ticks, src_probe, src_ticks FROM edges WHERE src_probe % 7 = 0",
     "happens_before": f"WITH RECURSIVE {_SCRIPT}, reach AS (SELECT CAST(1 AS BIGINT) AS probe_id, CAST(0 AS BIGINT) AS ticks UNION SELECT dst_probe, dst_ticks FROM reach JOIN edges ON src_probe = probe_id AND src_ticks >= ticks) SELECT probe_id, min(ticks) AS ticks FROM reach GROUP BY probe_id",
+    "causal_order": f"""WITH RECURSIVE {_SCRIPT}, {_HEARD}, p AS (SELECT a.pos, b.pos AS other, a.probe_id AS pa, a.ticks AS ta, b.probe_id AS pb, b.ticks AS tb FROM seg a JOIN seg b ON b.pos = (a.pos * {STEP} + 1) % (SELECT max(pos) + 1 FROM seg))
+        SELECT pos, other, CASE WHEN pa = pb THEN CASE WHEN ta < tb THEN 'before' WHEN ta > tb THEN 'after' ELSE 'same' END WHEN x.ticks <= tb THEN 'before' WHEN y.ticks <= ta THEN 'after' ELSE 'concurrent' END AS relation
+        FROM p LEFT JOIN told x ON x.probe_a = pa AND x.ticks_a = ta AND x.probe_id = pb LEFT JOIN told y ON y.probe_a = pb AND y.ticks_a = tb AND y.probe_id = pa""",
+    "causal_reach": f"WITH RECURSIVE {_SCRIPT}, {_HEARD} SELECT s.probe_id, s.ticks, count(h.probe_id) AS n_heard FROM (SELECT DISTINCT probe_id, ticks FROM seg) s LEFT JOIN told h ON h.probe_a = s.probe_id AND h.ticks_a = s.ticks GROUP BY ALL",
     "frontier_fold": f"""WITH {_WRAPPING}, f AS (SELECT probe_id, neighbor_id, list_reduce(list({{'e': epoch, 't': ticks}} ORDER BY pos), lambda s, c:
         CASE WHEN c.e = s.e AND c.t = s.t THEN s WHEN s.e >= 65532 AND c.e <= 3 THEN c WHEN c.e * 65536 + c.t > s.e * 65536 + s.t THEN c ELSE s END) AS c FROM w GROUP BY probe_id, neighbor_id)
         SELECT probe_id, CAST(neighbor_id AS BIGINT) AS neighbor_id, c.e AS epoch, c.t AS ticks FROM f""",
