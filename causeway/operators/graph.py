@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import clocks as C
 from causeway.functions import words as W
+from causeway.operators.scan import BLOCK, frontier_scan
+from causeway.operators.tables import shared_path, written
 from causeway.operators.timeline import running
 
 
-def shared_path(spark, name: str) -> str:
-    """A new place in the folder that driver and executors share; a local one in local mode where none is set (tests)."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="causeway-"))
-        at = sc.getCheckpointDir()
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """df as a written table: its lineage is cut and a lost executor costs nothing of it."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def interactions_of(entries: DataFrame) -> DataFrame:
     """(dst_probe, dst_clock, src_probe, src_clock) of decoded entries: a self clock with a foreign clock right behind it.
 
@@ -69,35 +49,23 @@ def happens_after(edges: DataFrame, probe: int, ticks: int) -> DataFrame:
     return known
 
 
-def frontier(clocks: DataFrame) -> DataFrame:
+def frontier(clocks: DataFrame, block: int = BLOCK) -> DataFrame:
     """(probe_id, neighbor_id, epoch, ticks): the latest clock of each neighbour, folding clocks by pos.
 
     Later is not an order across the wrap of epochs, so a fold must follow pos there. Pairs that never come near the wrap
-    on both sides need no order and take a maximum, which aggregates before the shuffle; the others are sorted by pos and
-    folded as they stream by, with one clock in memory.
+    on both sides need no order and take a maximum, which aggregates before the shuffle; the others are folded in blocks of
+    positions (`frontier_scan`), so that one pair with most rows is many tasks.
     """
     keys = ["probe_id", "neighbor_id"]
-    wraps = clocks.groupBy(*keys).agg((F.max("epoch") >= C.NEAR_MAX).alias("high"), (F.min("epoch") <= C.NEAR_MIN).alias("low"), F.max(F.struct("epoch", "ticks")).alias("c"))
-    plain = wraps.where("not (high and low)").select(*keys, F.col("c.epoch").alias("epoch"), F.col("c.ticks").alias("ticks"))
-    ordered = clocks.join(wraps.where("high and low").select(*keys), keys, "left_semi").select(*keys, "pos", "epoch", "ticks")
-    ordered = ordered.repartition(*keys).sortWithinPartitions(*keys, "pos")
-
-    def fold(source):
-        at, state, out = None, None, []
-        for b in source:
-            for p, n, _, e, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (p, n) != at:
-                    if at:
-                        out.append((*at, *state))
-                    at, state = (p, n), (e, t)
-                elif (e, t) != state and ((e, t) > state or (state[0] >= C.NEAR_MAX and e <= C.NEAR_MIN)):
-                    state = (e, t)
-        if at:
-            out.append((*at, *state))
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["probe_id", "neighbor_id", "epoch", "ticks"])
-
-    return plain.unionByName(ordered.mapInArrow(fold, "probe_id long, neighbor_id long, epoch long, ticks long"))
+    part = F.call_function("div", F.col("pos"), F.lit(block).cast("long"))
+    rows = clocks.withColumn("_part", part)
+    parts = rows.groupBy(*keys, "_part").agg((F.max("epoch") >= C.NEAR_MAX).alias("high"), (F.min("epoch") <= C.NEAR_MIN).alias("low"), F.max(F.struct("epoch", "ticks")).alias("c"))
+    pairs = parts.groupBy(*keys).agg(F.bool_or("high").alias("high"), F.bool_or("low").alias("low"), F.max("c").alias("c"))
+    plain = pairs.where("not (high and low)").select(*keys, F.col("c.epoch").alias("epoch"), F.col("c.ticks").alias("ticks"))
+    # Rows are told by pair and block, of which a hot pair has many.
+    needed = parts.select(*keys, "_part").join(pairs.where("high and low").select(*keys), keys)
+    ordered = rows.join(needed, [*keys, "_part"], "left_semi").select(*keys, "pos", "epoch", "ticks")
+    return plain.unionByName(frontier_scan(ordered, block))
 
 
 def tracked_neighbours(clocks: DataFrame, capacity: int) -> DataFrame:

@@ -18,7 +18,7 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.operators.graph import shared_path, written
+from causeway.operators.tables import shared_path, written
 from causeway.operators.timeline import running
 
 log = logging.getLogger(__name__)

@@ -11,6 +11,7 @@ from causeway.operators import decoded as D
 from causeway.operators import entries as E
 from causeway.operators import graph as G
 from causeway.operators import order as O
+from causeway.operators import scan as X
 from causeway.operators import timeline as T
 from causeway.plans import script as S
 from causeway.sources import wire
@@ -80,6 +81,17 @@ def happens_before(spark, sf_dir):
     return G.happens_after(S.interactions(T.segments(S.script(spark, sf_dir))), 1, 0)
 
 
+def chunk_entries(spark, sf_dir):
+    """Entries of each probe's whole log out of chunks of one to seven words, which cut entries anywhere."""
+    words = T.running(S.with_words(T.segments(S.script(spark, sf_dir))), "probe_id", "pos", F.col("n_words"), "upto")
+    each = words.select("probe_id", (F.col("upto") - F.col("n_words")).alias("from"), F.posexplode("words").alias("i", "word")).select("probe_id", (F.col("from") + F.col("i")).alias("at"), "word")
+    size = F.col("probe_id") % 7 + 1
+    chunk = F.call_function("div", F.col("at"), size).alias("chunk")
+    chunks = each.groupBy("probe_id", chunk).agg(F.min("at").alias("start"), F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("words"))
+    rows = X.parse_chunks(chunks.select("probe_id", "start", "words"))
+    return rows.select("probe_id", "word_pos", "missed", "kind", F.col("n_words").cast("long").alias("n_words"), "event_id", "payload_raw", "clock_probe_id", "clock_word", "time_ns")
+
+
 def causal_order(spark, sf_dir):
     """How each event relates to another one, by the index of the causal order."""
     rows = _written(spark, T.segments(S.script(spark, sf_dir)).select("probe_id", "pos", "op", "ticks", "peer", "src_pos"))
@@ -319,7 +331,7 @@ NAMES = (
     "frontier_of_interactions frontier_capacity clock_next_prev clock_unpack clock_compare word_classify word_encode id_validation time_units "
     "time_regressions payload_typed description_filled report_header report_errors entry_parse report_frontier decoded_interactions snapshot_codec "
     "report_gap report_dedupe expectations log_correlation restart_epochs stream_entries decoded_timeline event_dedupe log_as_of time_domains "
-    "causal_order causal_reach"
+    "causal_order causal_reach chunk_entries"
 ).split()
 
 
@@ -408,6 +420,11 @@ ORACLE_SQL: dict[str, str] = {
     "interactions": f"WITH {_SCRIPT} SELECT dst_probe, dst_ticks, src_probe, src_ticks FROM edges",
     "dangling_edges": f"WITH {_SCRIPT} SELECT dst_probe, dst_ticks, src_probe, src_ticks FROM edges WHERE src_probe % 7 = 0",
     "happens_before": f"WITH RECURSIVE {_SCRIPT}, reach AS (SELECT CAST(1 AS BIGINT) AS probe_id, CAST(0 AS BIGINT) AS ticks UNION SELECT dst_probe, dst_ticks FROM reach JOIN edges ON src_probe = probe_id AND src_ticks >= ticks) SELECT probe_id, min(ticks) AS ticks FROM reach GROUP BY probe_id",
+    "chunk_entries": f"""WITH {_SCRIPT}, o AS (SELECT *, CAST(sum(n_words) OVER (PARTITION BY probe_id ORDER BY pos) AS BIGINT) - n_words AS off FROM seg)
+        SELECT probe_id, off AS word_pos, CAST(0 AS BIGINT) AS missed, CASE op WHEN 'event_time' THEN 'event' WHEN 'event_payload_time' THEN 'event_payload' WHEN 'produce' THEN 'clock' WHEN 'merge' THEN 'clock' ELSE op END AS kind,
+            CAST(CASE WHEN {_TICKS} THEN 2 ELSE n_words END AS BIGINT) AS n_words, CASE WHEN NOT {_TICKS} THEN CAST(event_id AS BIGINT) END AS event_id, CASE WHEN op IN ('event_payload', 'event_payload_time') THEN payload_raw & {_MASK} END AS payload_raw,
+            CASE WHEN {_TICKS} THEN probe_id END AS clock_probe_id, CASE WHEN {_TICKS} THEN CAST({_packed('ticks')} AS BIGINT) END AS clock_word, CASE WHEN op IN ('event_time', 'event_payload_time') THEN time_ns END AS time_ns FROM o
+        UNION ALL SELECT o.probe_id, off + 2, 0, 'clock', 2, NULL, NULL, src_probe, CAST({_packed('src_ticks')} AS BIGINT), NULL FROM o JOIN edges ON edges.pos = o.pos""",
     "causal_order": f"""WITH RECURSIVE {_SCRIPT}, {_HEARD}, p AS (SELECT a.pos, b.pos AS other, a.probe_id AS pa, a.ticks AS ta, b.probe_id AS pb, b.ticks AS tb FROM seg a JOIN seg b ON b.pos = (a.pos * {STEP} + 1) % (SELECT max(pos) + 1 FROM seg))
         SELECT pos, other, CASE WHEN pa = pb THEN CASE WHEN ta < tb THEN 'before' WHEN ta > tb THEN 'after' ELSE 'same' END WHEN x.ticks <= tb THEN 'before' WHEN y.ticks <= ta THEN 'after' ELSE 'concurrent' END AS relation
         FROM p LEFT JOIN told x ON x.probe_a = pa AND x.ticks_a = ta AND x.probe_id = pb LEFT JOIN told y ON y.probe_a = pb AND y.ticks_a = tb AND y.probe_id = pa""",
