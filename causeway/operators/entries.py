@@ -78,6 +78,18 @@ def places_of(w: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return at, size[at]
 
 
+def columns_of(w: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[pa.Array]:
+    """The columns of FIELDS of the entries at these places."""
+    timed = w[at] >> 29 == 7
+    head = at + 2 * timed
+    low = w[np.minimum(head + 1, len(w) - 1)] if len(w) else head
+    tag, given = w[head] >> 30, w[head]
+    event = np.where(tag == 0, given, given & 0x3FFFFFFF)
+    ns = np.where(tag == 3, (given & 0x1FFFFFFF) << 32 | low, (w[at] & 0x1FFFFFFF) << 32 | w[np.minimum(at + 1, max(len(w) - 1, 0))])
+    some = lambda values, there: pa.array(values, pa.int64(), mask=~there)
+    return [pa.array(size.astype(np.int32)), KINDS.take(pa.array(tag)), some(event, (tag < 2) & (event > 0)), some(low, tag == 1), some(given & 0x7FFFFFFF, tag == 2), some(low, tag == 2), some(ns, timed | (tag == 3))]
+
+
 def parse(reports: DataFrame, keys: list[str], words: str = "words") -> DataFrame:
     """(*keys, entry_idx, word_off, n_words, kind, ...) of the entries in each row's words; an orphan at the end is left out."""
     reports.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -97,17 +109,7 @@ def parse(reports: DataFrame, keys: list[str], words: str = "words") -> DataFram
             row = np.searchsorted(begins, at, side="right") - 1  # empty logs begin where the next does
             first = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
             nth = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
-            timed = w[at] >> 29 == 7
-            head = at + 2 * timed
-            low = w[np.minimum(head + 1, len(w) - 1)]
-            tag, given = w[head] >> 30, w[head]
-            event = np.where(tag == 0, given, given & 0x3FFFFFFF)
-            ns = np.where(tag == 3, (given & 0x1FFFFFFF) << 32 | low, (w[at] & 0x1FFFFFFF) << 32 | w[np.minimum(at + 1, len(w) - 1)])
-            some = lambda values, there: pa.array(values, pa.int64(), mask=~there)
-            columns = [
-                pa.array(nth.astype(np.int32)), pa.array((at - begins[row]).astype(np.int32)), pa.array(size.astype(np.int32)), KINDS.take(pa.array(tag)), some(event, (tag < 2) & (event > 0)),
-                some(low, tag == 1), some(given & 0x7FFFFFFF, tag == 2), some(low, tag == 2), some(ns, timed | (tag == 3)),
-            ]
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(row)) for i in range(len(keys))), *columns], names=names)
+            places = [pa.array(nth.astype(np.int32)), pa.array((at - begins[row]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(row)) for i in range(len(keys))), *places, *columns_of(w, at, size)], names=names)
 
     return rows.mapInArrow(run, schema)

@@ -2,25 +2,38 @@
 
 A chunk (probe_id, start, words) carries the words from position start on. Chunks of a probe may overlap what was read
 (it is skipped) or leave a gap: the gap's words, and those of an entry that was begun before it, are missed.
+
+State lives in RocksDB, a probe's in three parts: how far it has been read, with the words of an entry that is not whole
+yet; chunks that came before their turn, one row each; and timers. A chunk that closes a gap lets the waiting ones go on,
+and a gap counts as lost only when the timer of the chunk behind it runs out. Chunks go into the state one by one, so that a
+probe with very many of them in one micro-batch needs no more memory than one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from causeway.operators.entries import FIELDS, entries_of
+from causeway.operators.entries import FIELDS, columns_of, entries_of, places_of
 
 SCHEMA = f"probe_id long, word_pos long, missed long, {FIELDS}"
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
-_PANDAS = {"kind": "object", "n_words": "Int32"}
+_KINDS = ["Int64", "Int64", "Int64", "Int32", "object", *["Int64"] * 5]
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_rocksdb(spark: SparkSession) -> None:
+    """State of transformWithState is kept in RocksDB; it must be set before a query starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
 
 
 def advance(at: int, held: list[int], start: int, words: list[int]) -> tuple[int, list[int], int, list[tuple]]:
-    """(next position, words held back, words missed, [(position, entry)]) after one more chunk."""
+    """(next position, words held back, words missed, [(position, entry)]) after one more chunk; one entry after the other."""
     lost = 0
     if start > at:
         lost, held, at = start - at + len(held), [], start
@@ -34,22 +47,117 @@ def advance(at: int, held: list[int], start: int, words: list[int]) -> tuple[int
     return at + len(fresh), rest, lost, out
 
 
-def read_entries(chunks: DataFrame) -> DataFrame:
-    """(probe_id, word_pos, missed, entry fields) of a stream of chunks; a row with a null kind tells of missed words."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, held = state.get if state.exists else (0, [])
-        held = list(held)
-        rows = []
-        for start, words in sorted((int(s), [int(w) for w in ws]) for f in frames for s, ws in zip(f["start"], f["words"], strict=True)):
-            at, held, lost, found = advance(at, held, start, words)
-            if lost:
-                rows.append((key[0], start, lost, *[None] * 7))
-            rows += [(key[0], pos, 0, *e) for pos, e in found]
-        state.update((at, held))
-        # Column by column: a frame of whole rows would turn long integers beside nulls into doubles.
-        columns = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
-        out = pd.DataFrame({n: pd.array(list(c), dtype=_PANDAS.get(n, "Int64")) for n, c in zip(_NAMES, columns, strict=True)})
-        yield out
-
-    return chunks.groupBy("probe_id").applyInPandasWithState(step, SCHEMA, "at long, held array<long>", "append", GroupStateTimeout.NoTimeout)
+def frame_of(probe: int, w: np.ndarray, first: int, lost: int, start: int) -> tuple[pd.DataFrame | None, np.ndarray]:
+    """(rows of the whole entries in w, whose first word is at `first`, and of what was lost before `start`; the words left)."""
+    at, size = places_of(w, np.array([0]), np.array([len(w)]))
+    end = int(at[-1] + size[-1]) if len(at) else 0
+    parts = []
+    if lost:
+        parts.append([[probe], [start], [lost], *[[None]] * 7])
+    if len(at):
+        fields = [c.to_pylist() for c in columns_of(w, at, size)]
+        parts.append([[probe] * len(at), (first + at).tolist(), [0] * len(at), *fields])
+    if not parts:
+        return None, w[end:]
+    columns = [sum(c, []) for c in zip(*parts, strict=True)]
+    # Column by column: a frame of whole rows would turn long integers beside nulls into doubles.
+    return pd.DataFrame({n: pd.array(c, dtype=k) for n, c, k in zip(_NAMES, columns, _KINDS, strict=True)}), w[end:]
+
+
+class EntryReader(StatefulProcessor):
+    """Folds chunks (probe_id, start, words[, deadline]) into entries; wait_ms None: a gap is lost at the end of a micro-batch."""
+
+    def __init__(self, wait_ms: int | None):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "at long, held array<long>, waiting long")
+        self.early = handle.getMapState("early", "start long", "words array<long>, deadline long")
+
+    def _fold(self, probe: int, state: list, start: int, words: np.ndarray) -> pd.DataFrame | None:
+        """One more chunk, with the loss before it."""
+        at, held = state[0], state[1]
+        lost = 0
+        if start > at:
+            lost, held, at = start - at + len(held), held[:0], start
+        fresh = words[at - start :]
+        out, rest = frame_of(probe, np.concatenate([held, fresh]), at - len(held), lost, start)
+        state[0], state[1] = at + len(fresh), rest
+        return out
+
+    def _drain(self, probe: int, state: list, upto: int | None) -> Iterator[pd.DataFrame]:
+        """Waiting chunks whose turn has come, or whose deadline has passed."""
+        if not state[2]:
+            return
+        starts = sorted((k[0], v[1]) for k, v in self.early.iterator())
+        due = [upto is not None and deadline <= upto for _, deadline in starts]
+        last_due = max((i for i, x in enumerate(due) if x), default=-1)
+        for i, (start, _) in enumerate(starts):
+            # All that lie before a chunk that waits no longer go with it.
+            if start > state[0] and i > last_due:
+                break
+            words = np.array(self.early.getValue((start,))[0], np.int64)
+            self.early.removeKey((start,))
+            state[2] -= 1
+            out = self._fold(probe, state, start, words)
+            if out is not None:
+                yield out
+
+    def _state(self) -> list:
+        if self.place.exists():
+            at, held, waiting = self.place.get()
+            return [at, np.array(held, np.int64), waiting]
+        return [0, np.zeros(0, np.int64), 0]
+
+    def _save(self, state: list) -> None:
+        self.place.update((int(state[0]), state[1].tolist(), int(state[2])))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        probe, state = int(key[0]), self._state()
+        for frame in rows:
+            deadlines = frame["deadline"] if self.wait_ms is not None else [0] * len(frame)
+            for start, words, deadline in sorted(zip(frame["start"], frame["words"], deadlines, strict=True), key=lambda c: (c[0], len(c[1]))):
+                start, words, deadline = int(start), np.array(words, np.int64), int(deadline)
+                if start + len(words) <= state[0]:
+                    continue
+                if start > state[0]:
+                    known = self.early.getValue((start,)) if self.early.containsKey((start,)) else None
+                    if known is None or len(known[0]) < len(words):
+                        state[2] += known is None
+                        self.early.updateValue((start,), (words.tolist(), deadline if known is None else known[1]))
+                    if self.wait_ms is not None:
+                        self.handle.registerTimer(deadline)
+                    continue
+                out = self._fold(probe, state, start, words)
+                if out is not None:
+                    yield out
+                yield from self._drain(probe, state, None)
+        if self.wait_ms is None:
+            yield from self._drain(probe, state, 1 << 62)
+        self._save(state)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self._state()
+        yield from self._drain(int(key[0]), state, expiredTimerInfo.getExpiryTimeInMs())
+        self._save(state)
+
+    def close(self) -> None:
+        pass
+
+
+def read_entries(chunks: DataFrame, wait: str | None = None, sent: str = "sent_at") -> DataFrame:
+    """(probe_id, word_pos, missed, entry fields) of a stream of chunks; a row with a null kind tells of missed words.
+
+    Without wait, what is missing at the end of a micro-batch is lost. With wait ("10 minutes"), the stream bears a watermark
+    on its timestamp `sent`, and a gap is lost when the watermark has passed the time of a chunk behind it by so much. Rows
+    with a null probe_id or start, or without words, take no part.
+    """
+    with_rocksdb(chunks.sparkSession)
+    rows = chunks.where(F.col("probe_id").isNotNull() & F.col("start").isNotNull() & (F.size("words") > 0))
+    if wait is None:
+        rows, wait_ms, mode = rows.select("probe_id", "start", "words"), None, "None"
+    else:
+        wait_ms, mode = int(pd.Timedelta(wait).total_seconds() * 1000), "EventTime"
+        rows = rows.select("probe_id", "start", "words", sent, (F.unix_millis(sent) + wait_ms).alias("deadline"))
+    return rows.groupBy("probe_id").transformWithStateInPandas(EntryReader(wait_ms), SCHEMA, "Append", mode)
