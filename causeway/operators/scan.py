@@ -213,7 +213,7 @@ def states(rows: DataFrame, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
 def _chunks(chunks: DataFrame, root: str) -> DataFrame:
     """(probe_id, start, words, lost): chunks without what earlier ones have brought already, and the words missing before."""
     size = F.size("words")
-    longest = chunks.where((size > 0) & F.col("probe_id").isNotNull() & F.col("start").isNotNull()).groupBy("probe_id", "start").agg(F.max(F.struct(size.alias("n"), "words")).alias("c"))
+    longest = chunks.where("probe_id is not null and start is not null and words is not null").groupBy("probe_id", "start").agg(F.max(F.struct(size.alias("n"), "words")).alias("c"))
     rows = written(longest.select("probe_id", "start", F.col("c.words").alias("words")), f"{root}/chunks")
     says = rows.select("probe_id", (2 * F.col("start") + 1).alias("at"), (F.col("start") + F.size("words")).alias("upto"), F.lit(None).cast("long").alias("asks"))
     asks = rows.select("probe_id", (2 * F.col("start")).alias("at"), F.lit(None).cast("long").alias("upto"), F.col("start").alias("asks"))
@@ -221,7 +221,7 @@ def _chunks(chunks: DataFrame, root: str) -> DataFrame:
     known = known.select("probe_id", F.col("asks").alias("start"), F.coalesce("had", F.lit(0)).alias("had"))
     rows = rows.join(known, ["probe_id", "start"])
     skip = F.greatest(F.col("had") - F.col("start"), F.lit(0)).cast("int")
-    fresh = rows.where(skip < F.size("words")).select("probe_id", (F.col("start") + skip).alias("start"), F.slice("words", skip + 1, F.size("words")).alias("words"), F.greatest(F.col("start") - F.col("had"), F.lit(0)).alias("lost"))
+    fresh = rows.where((skip < F.size("words")) | (F.col("start") > F.col("had"))).select("probe_id", (F.col("start") + skip).alias("start"), F.slice("words", skip + 1, F.size("words")).alias("words"), F.greatest(F.col("start") - F.col("had"), F.lit(0)).alias("lost"))
     return written(fresh, f"{root}/fresh")
 
 
@@ -231,7 +231,7 @@ def parse_chunks(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Chunks may overlap or come again; of those with one start the longest counts. Where words are missing a row with a null
     kind tells how many, with those of an entry that was begun before; the chunk behind starts anew. A partial entry at the
-    end of a log is left out. Rows with a null probe_id or start, or without words, take no part.
+    end of a log is left out. A chunk of no words tells that its probe has got so far; rows with a null take no part.
     """
     spark = chunks.sparkSession
     root = shared_path(spark, "entries")

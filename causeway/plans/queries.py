@@ -15,7 +15,7 @@ from causeway.operators import scan as X
 from causeway.operators import timeline as T
 from causeway.plans import script as S
 from causeway.sources import wire
-from causeway.streaming import reader
+from causeway.streaming import live, reader
 
 CAPACITY = 48
 SHORT_SPAN = 64
@@ -299,11 +299,24 @@ def restart_epochs(spark, sf_dir):
     return T.restart_epochs(rows).select("probe_id", "call_no", "epoch", "invalid")
 
 
-def stream_entries(spark, sf_dir):
-    """Entries that the streaming reader puts together from each report's words, in three runs of one stream.
+def _in_runs(spark, rows: DataFrame, make, mode: str = "append") -> DataFrame:
+    """What make(stream) gives of rows that arrive in runs (column run), one stream started anew for each; batch numbers them."""
+    root, rows = G.shared_path(spark, "stream"), _written(spark, rows)
+    given = rows.drop("run")
+    for run in range(rows.agg(F.coalesce(F.max("run"), F.lit(-1))).first()[0] + 1):
+        rows.where(F.col("run") == run).drop("run").write.mode("append").parquet(f"{root}/in")
+        out = make(spark.readStream.schema(given.schema).parquet(f"{root}/in"))
+        put = lambda df, batch: df.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
+        out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
+    schema = make(given).schema.add("batch", "integer")
+    return spark.read.schema(schema).parquet(f"{root}/out")
+
+
+def _cut_logs(spark, sf_dir) -> DataFrame:
+    """(run, probe_id, start, words): each report's words as a log of its own, in chunks of three runs.
 
-    Every report is a log of its own, cut within an entry and before another one. Of every four probes, one log lacks the
-    middle, of one the last chunk starts too early, and of one the middle comes again.
+    A log is cut within an entry and before another one. Of every four probes, one log lacks the middle, of one the last
+    chunk starts too early, and of one the middle comes again.
     """
     whole = wire.with_payload(_reports(spark, sf_dir)).select((F.col("seq_num") * (1 << 31) + F.col("probe_id")).alias("log"), "words")
     whole = _written(spark, whole.withColumn("n", F.size("words")))
@@ -315,15 +328,47 @@ def stream_entries(spark, sf_dir):
     middle, mode = piece(1, first, second), F.col("log") % 4
     pieces = F.when(mode == 1, F.array(piece(0, none, first), piece(2, second, n))).when(mode == 2, F.array(piece(0, none, first), middle, piece(2, first, n)))
     pieces = pieces.when(mode == 3, F.array(piece(0, none, first), middle, piece(2, first, second), piece(2, second, n))).otherwise(F.array(piece(0, none, first), middle, piece(2, second, n)))
-    chunks = _written(spark, cut.select(F.col("log").alias("probe_id"), F.explode(pieces).alias("c")).select("probe_id", "c.*"))
-    root = G.shared_path(spark, "stream")
-    for run in range(3):
-        chunks.where(F.col("run") == run).drop("run").write.mode("append").parquet(f"{root}/in")
-        stream = spark.readStream.schema(chunks.drop("run").schema).parquet(f"{root}/in")
-        out = reader.read_entries(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
-        out.awaitTermination()
-    rows = spark.read.parquet(f"{root}/out")
-    return rows.select((F.col("probe_id") % (1 << 31)).alias("probe_id"), "missed", "kind", F.col("n_words").cast("long").alias("n_words"), "event_id", "payload_raw", "clock_probe_id", "clock_word", "time_ns")
+    return cut.select(F.col("log").alias("probe_id"), F.explode(pieces).alias("c")).select("c.run", "probe_id", "c.start", "c.words")
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    return rows.where("probe_id > 0").select((F.col("probe_id") % (1 << 31)).alias("probe_id"), "missed", "kind", F.col("n_words").cast("long").alias("n_words"), "event_id", "payload_raw", "clock_probe_id", "clock_word", "time_ns")
+
+
+def stream_entries(spark, sf_dir):
+    """Entries that the streaming reader puts together from chunks of logs, in three runs of one stream."""
+    return _read(_in_runs(spark, _cut_logs(spark, sf_dir), reader.read_entries))
+
+
+def stream_reordered(spark, sf_dir):
+    """The same entries from chunks that come last first: they wait for those before them, and what never comes is lost when the
+    last run has moved the watermark beyond the time to wait."""
+    late = F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("run"))
+    chunks = _cut_logs(spark, sf_dir).withColumn("run", 2 - F.col("run")).withColumn("sent_at", late)
+    mark = spark.range(1).select(F.lit(3).alias("run"), F.lit(0).cast("long").alias("probe_id"), F.lit(0).cast("long").alias("start"), F.array(F.lit(1).cast("long")).alias("words"), F.timestamp_seconds(F.lit(1_700_003_600)).alias("sent_at"))
+    return _read(_in_runs(spark, chunks.unionByName(mark), lambda s: reader.read_entries(s.withWatermark("sent_at", "0 seconds") if s.isStreaming else s, "10 minutes")))
+
+
+def live_timeline(spark, sf_dir):
+    """The decoded timeline as reports arrive, in three runs; every third report of each probe never does."""
+    whole = wire.with_payload(wire.with_header(S.reports(T.segments(S.script(spark, sf_dir)), SHORT_SPAN, True))).where("(seq_num + probe_id) % 3 <> 0")
+    rows = whole.select(F.least(F.call_function("div", F.col("seq_num"), F.lit(4).cast("long")), F.lit(2)).cast("int").alias("run"), "probe_id", "seq_num", "frontier", "words")
+    return _in_runs(spark, rows, live.timeline).select("probe_id", "seq_num", "kind", "event_id", "payload_raw", "clock_probe_id", "clock_word", "time_ns", "clock_at", "event_count")
+
+
+def live_frontier(spark, sf_dir):
+    """Frontiers as clocks arrive, in three runs: the last change of each neighbour's clock is its latest."""
+    rows = _wrapping(spark, sf_dir)
+    n = rows.agg((F.max("pos") + 1).alias("n"))  # one row
+    changes = _in_runs(spark, rows.join(F.broadcast(n)).withColumn("run", F.floor(F.col("pos") * 3 / F.col("n")).cast("int")).drop("n"), live.frontier, "update")
+    return changes.groupBy("probe_id", "neighbor_id").agg(F.max(F.struct("batch", "epoch", "ticks")).alias("c")).select("probe_id", "neighbor_id", "c.epoch", "c.ticks")
+
+
+def stream_gaps(spark, sf_dir):
+    """Gaps after every third report has been lost, of reports that come out of order in three runs, some of them again."""
+    rows = _reports(spark, sf_dir, SHORT_SPAN).where("(seq_num + probe_id) % 3 <> 0").select("probe_id", "seq_num", ((F.col("seq_num") * 7 + F.col("probe_id")) % 3).cast("int").alias("run"))
+    again = rows.where("run = 0 and seq_num % 2 = 0").withColumn("run", F.lit(2))
+    return live.open_gaps(_in_runs(spark, rows.unionByName(again), live.report_changes)).select("probe_id", "seq_num", "missing")
 
 
 NAMES = (
@@ -331,7 +376,7 @@ NAMES = (
     "frontier_of_interactions frontier_capacity clock_next_prev clock_unpack clock_compare word_classify word_encode id_validation time_units "
     "time_regressions payload_typed description_filled report_header report_errors entry_parse report_frontier decoded_interactions snapshot_codec "
     "report_gap report_dedupe expectations log_correlation restart_epochs stream_entries decoded_timeline event_dedupe log_as_of time_domains "
-    "causal_order causal_reach chunk_entries"
+    "causal_order causal_reach chunk_entries stream_reordered live_timeline live_frontier stream_gaps"
 ).split()
 
 
@@ -476,3 +521,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT probe_id, CAST(0 AS BIGINT) AS missed, kind, CAST(size AS BIGINT) AS n_words, CAST(event_id AS BIGINT) AS event_id, payload_raw, clock_probe_id, CAST(clock_word AS BIGINT) AS clock_word, time_ns FROM c WHERE probe_id % 4 <> 1 OR off + size <= h1 OR off >= h2
         UNION ALL SELECT probe_id, CAST(h2 - coalesce(max(off + size) FILTER (off + size <= h1), 0) AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM c WHERE probe_id % 4 = 1 AND h2 > h1 GROUP BY probe_id, seq_num, h1, h2""",
 }
+
+# Streams end with the rows of what they follow.
+ORACLE_SQL |= {"stream_reordered": ORACLE_SQL["stream_entries"], "live_timeline": ORACLE_SQL["decoded_timeline"], "live_frontier": ORACLE_SQL["frontier_fold"], "stream_gaps": ORACLE_SQL["report_gap"]}

@@ -150,11 +150,11 @@ def read_entries(chunks: DataFrame, wait: str | None = None, sent: str = "sent_a
     """(probe_id, word_pos, missed, entry fields) of a stream of chunks; a row with a null kind tells of missed words.
 
     Without wait, what is missing at the end of a micro-batch is lost. With wait ("10 minutes"), the stream bears a watermark
-    on its timestamp `sent`, and a gap is lost when the watermark has passed the time of a chunk behind it by so much. Rows
-    with a null probe_id or start, or without words, take no part.
+    on its timestamp `sent`, and a gap is lost when the watermark has passed the time of a chunk behind it by so much. A chunk
+    of no words tells that its probe has got so far; rows with a null take no part.
     """
     with_rocksdb(chunks.sparkSession)
-    rows = chunks.where(F.col("probe_id").isNotNull() & F.col("start").isNotNull() & (F.size("words") > 0))
+    rows = chunks.where("probe_id is not null and start is not null and words is not null")
     if wait is None:
         rows, wait_ms, mode = rows.select("probe_id", "start", "words"), None, "None"
     else:
