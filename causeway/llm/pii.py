@@ -7,8 +7,8 @@ A term discloses an entity by their pointwise mutual information as a share of t
 
 with n_e, n_t and n_et of N documents that hold the entity, the term, and both, p(e) = n_e / N. The estimate is drawn
 towards independence by PRIOR documents, so that a value of one document is estimated like any other and a term needs
-more than its own rarity the fewer documents there are. Terms that stand on a line with the entity somewhere and reach
-DISCLOSURE are spans of kind term in every document that holds them, with the entity or without. All counts are over
+more than its own rarity the fewer documents there are. Terms that stand on a line with the entity, found there as a value,
+somewhere and reach DISCLOSURE are spans of kind term in every document that holds them, with the entity or without. All counts are over
 all documents. `sanitise` generalises base values to their kind and removes terms.
 
 Places are code points. A pattern's matches and the text between them give the places: lengths add up. Patterns start
@@ -168,20 +168,51 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def disclosing_terms(docs: DataFrame, tables: Tables, prior: float = PRIOR, least: float = DISCLOSURE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, terms): the terms to take out of each document."""
+def _read_once(docs: DataFrame, tables: Tables) -> DataFrame:
+    """(rid, doc_id, words, told): of every row its distinct words, and of each line with values those and the line's words.
+
+    No base kind reaches across lines, so the lines' values are the text's.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    values = lambda line: F.array_distinct(F.transform(base_spans(line), lambda s: s["value"]))
+    named = lambda line: let(values(line), lambda v: F.struct(v.alias("values"), F.when(F.size(v) > 0, F.array_distinct(_words(line))).alias("words")))
+    told = F.filter(F.transform(F.split(F.col("text"), "\n"), named), lambda x: F.size(x["values"]) > 0)
+    hint = F.col("text").rlike("|".join(HINTS.values()))
+    none = F.array().cast("array<struct<values:array<string>,words:array<string>>>")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    held = rows.withColumn("values", F.array_distinct(F.transform(base_spans(F.col("text")), lambda s: s["value"]))).where(F.size("values") > 0)
-    held = tables.put(held.select("text", F.explode("values").alias("entity")))
+    return tables.put(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.array_distinct(_words(F.col("text"))).alias("words"), F.when(hint, told).otherwise(none).alias("told")))
+
+
+def _together(read: DataFrame, held: DataFrame, beside: DataFrame, tables: Tables) -> DataFrame:
+    """(entity, term, n_et) of the pairs beside: in how many rows both stand.
+
+    held: (rid, entity, size), size being the row's number of words. A row's entity meets either the terms beside it anywhere
+    or the row's words, whichever are fewer; so a list of very many values costs what stands on their lines.
+    """
+    candidates = beside.groupBy("entity").agg(F.count("*").alias("k"), F.collect_list("term").alias("terms"))
+    sizes = held.groupBy("entity").agg(F.count("*").alias("m"))
+    total = held.count()
+    known = split_join(held, candidates.select("entity", "k").join(sizes, "entity"), ["entity"], "m", total, ["rid"])
+    known = tables.put(known)
+    few, many = known.where("k <= size"), known.where("k > size")
+    words = read.where(F.size("told") > 0).select("rid", "words")
+    by_entity = split_join(few, candidates.select("entity", "terms").join(few.groupBy("entity").agg(F.count("*").alias("m")), "entity"), ["entity"], "m", total, ["rid"])
+    by_entity = by_entity.select("rid", "entity", F.explode("terms").alias("term")).join(words.select("rid", F.explode("words").alias("term")), ["rid", "term"]).select("entity", "term")
+    by_row = split_join(many, words.join(many.groupBy("rid").agg(F.count("*").alias("m")), "rid"), ["rid"], "m", total, ["entity"])
+    by_row = by_row.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n")).join(beside, ["entity", "term"])
+    counted = by_entity.groupBy("entity", "term").agg(F.count("*").alias("n"))
+    return counted.unionByName(by_row).groupBy("entity", "term").agg(F.sum("n").alias("n_et"))
+
+
+def disclosing_terms(docs: DataFrame, tables: Tables, prior: float = PRIOR, least: float = DISCLOSURE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, terms): the terms to take out of each document."""
+    read = _read_once(docs, tables)
+    held = read.where(F.size("told") > 0).select("rid", F.size("words").alias("size"), F.explode(F.array_distinct(F.flatten(F.col("told.values")))).alias("entity"))
     entities = held.groupBy("entity").agg(F.count("*").alias("n_e"))
-    lines = F.array_join(F.filter(F.split("text", "\n"), lambda x: F.instr(x, F.col("entity")) > 0), "\n")
-    held = held.select("entity", F.array_distinct(_words(lines)).alias("beside"), F.array_distinct(_words(F.col("text"))).alias("words"))
-    named = lambda c, beside: F.transform(c, lambda w: F.struct(w.alias("term"), F.lit(beside).alias("beside")))
-    pairs = held.select("entity", F.explode(F.concat(named(F.col("beside"), 1), named(F.array_except("words", "beside"), 0))).alias("w"))
-    joint = pairs.groupBy("entity", "w.term").agg(F.count("*").alias("n_et"), F.max("w.beside").alias("beside"))
-    joint = tables.put(joint.where((F.col("beside") == 1) & (F.instr("term", F.col("entity")) == 0)).drop("beside"))
-    holds = rows.select("doc_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    lines = read.select(F.explode("told").alias("line")).select(F.explode("line.values").alias("entity"), F.col("line.words").alias("words"))
+    beside = lines.select("entity", F.explode("words").alias("term")).where(F.instr("term", F.col("entity")) == 0).distinct()
+    joint = tables.put(_together(read, held, tables.put(beside), tables))
+    holds = read.select("doc_id", F.explode("words").alias("term"))
     terms = holds.groupBy("term").agg(F.count("*").alias("n_t"))
     # Entities and terms that stand in very many pairs are split in these joins.
     total = joint.count()
@@ -189,7 +220,7 @@ def disclosing_terms(docs: DataFrame, tables: Tables, prior: float = PRIOR, leas
     terms = tables.put(terms.join(joint.groupBy("term").agg(F.count("*").alias("m")), "term"))
     known = split_join(joint, entities, ["entity"], "m", total, ["term"])
     known = split_join(known, terms, ["term"], "m", total, ["entity"])
-    n = float(max(docs.count(), 2))
+    n = float(max(read.count(), 2))
     share = F.col("n_e") / n
     given = (F.col("n_et") + prior * share) / (F.col("n_t") + prior)
     known = known.withColumn("share", F.when(share < 1, F.log(given / share) / -F.log(share)).otherwise(0.0))

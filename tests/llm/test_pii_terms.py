@@ -111,3 +111,12 @@ def test_overlapping_spans_go_as_one(spark):
     docs = [(1, "call +49 1.2.3.4 now"), (2, "x 4111 1111 1111 1111 y")]
     got = {r.doc_id: r.text for r in pii.sanitise(pii.find(spark.createDataFrame(docs, DOCS))).collect()}
     assert got == {1: "call +49 [IP] now", 2: "x [CARD] y"}
+
+
+def test_a_long_list_of_values_takes_time_by_its_lines(spark):
+    n = 40_000
+    text = "\n".join(f"name{i} other user{i}@site.org" for i in range(n))
+    start = time.monotonic()
+    got = added(spark, [(1, text), *filler(10, 60)])
+    assert time.monotonic() - start < 90
+    assert got[1] >= {f"name{i}" for i in range(0, n, 997)} and not got[10]
