@@ -123,8 +123,19 @@ def _cut(docs: DataFrame, min_words: int) -> DataFrame:
     # Cuts grow with the documents: the same merge join at every size.
     joined = rows.join(cuts.hint("merge"), "doc_id", "left")
     text = F.col("row.text").cast("string")
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("cuts", lambda c: (i >= c["first"]) & (i <= c["last"])))
-    return joined.select("row", F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text"), F.coalesce("n", F.lit(0)).alias("n"))
+    return joined.select("row", F.when(F.col("cuts").isNull(), text).otherwise(_without(text, F.col("cuts"))).alias("text"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _without(text: Column, cuts: Column) -> Column:
+    """text without the lines of cuts, disjoint (first, last): the stretches between sorted cuts, each line looked at once."""
+
+    def between(x):
+        stretch = lambda c, i: F.slice(x["lines"], F.when(i == 0, 1).otherwise(F.get(x["cuts"], i - 1)["last"] + 2), F.greatest(c["first"] - F.when(i == 0, 0).otherwise(F.get(x["cuts"], i - 1)["last"] + 1), F.lit(0)))
+        rest = F.slice(x["lines"], F.element_at(x["cuts"], -1)["last"] + 2, F.size(x["lines"]))
+        return F.array_join(F.concat(F.flatten(F.transform(x["cuts"], stretch)), rest), "\n")
+
+    # Both arrays are made once, then walked together.
+    return F.transform(F.array(F.struct(F.split(text, "\n").alias("lines"), F.array_sort(cuts).alias("cuts"))), between)[0]
 
 
 def _columns(docs: DataFrame) -> list[Column]:

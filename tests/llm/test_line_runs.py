@@ -36,3 +36,17 @@ def test_a_line_of_most_documents_is_dealt_over_tasks(spark):
     docs = spark.range(9000).selectExpr("id AS doc_id", "concat('own ', id, '\nvery common', if(id % 3 = 0, '\nmore', '')) AS text")
     out = line_dedup.remove_repeats(docs).groupBy("n_removed").count().collect()
     assert {(r.n_removed, r["count"]) for r in out} == {(0, 1), (1, 6000), (2, 2999)}
+
+
+def test_a_long_text_with_very_many_cuts_takes_linear_time(spark):
+    import time
+
+    n = 100_000
+    text = "\n".join(f"again and again\nnew line {i}" for i in range(n))
+    docs = spark.createDataFrame([(1, "again and again"), (2, text)], "doc_id long, text string")
+    start = time.monotonic()
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.remove_repeats(docs).collect()}
+    assert time.monotonic() - start < 120
+    assert got == {1: ("again and again", 0), 2: ("\n".join(f"new line {i}" for i in range(n)), n)}
+    kept = {r.doc_id: r.text for r in line_dedup.keep_first_runs(docs).collect()}
+    assert kept[2] == got[2][0]
