@@ -9,7 +9,7 @@ from causeway.functions import clocks as C
 from causeway.functions import words as W
 from causeway.operators.scan import BLOCK, frontier_scan
 from causeway.operators.tables import shared_path, written
-from causeway.operators.timeline import running
+from causeway.operators.timeline import previous, running
 
 
 def interactions_of(entries: DataFrame) -> DataFrame:
@@ -24,6 +24,29 @@ def interactions_of(entries: DataFrame) -> DataFrame:
     return pairs.select(F.col("probe_id").alias("dst_probe"), F.col("clock_word").alias("dst_clock"), F.col("next_clock_probe_id").alias("src_probe"), F.col("next_clock_word").alias("src_clock"))
 
 
+def marked_interactions(entries: DataFrame) -> DataFrame:
+    """(dst_probe, dst_clock, src_probe, src_clock, adjacent) of every foreign clock in decoded entries (probe_id, seq_num, ...).
+
+    A merge logs the probe's own clock and the foreign one behind it. The recorder may log events of its own between both, and a
+    report may end there: such an interaction is whole but not adjacent. Where something else lies between, where a report
+    is missing, or where the own clock has been pushed out, the interaction is broken: dst_clock and adjacent are null. So it
+    is where a whole report of nothing but the recorder's own events lies between.
+    """
+    here = Window.partitionBy("probe_id", "seq_num").orderBy("entry_idx").rowsBetween(Window.unboundedPreceding, -1)
+    own = (F.col("kind") == "clock") & (F.col("clock_probe_id") == F.col("probe_id"))
+    told = F.coalesce(W.is_internal(F.col("event_id")), F.lit(False))
+    # The last entry that is not the recorder's own: its clock if it is one of the probe itself, null if it is something else.
+    said = F.when(~told, F.struct(F.when(own, F.col("clock_word")).alias("clock"), F.col("entry_idx").alias("at")))
+    rows = entries.withColumn("_said", said).withColumn("_last", F.last("_said", True).over(here))
+    ends = rows.groupBy("probe_id", "seq_num").agg(F.max(F.when(F.col("_said").isNotNull(), F.struct("entry_idx", "_said"))).alias("_end"))
+    ends = previous(ends, "probe_id", "seq_num", F.struct(F.col("seq_num").alias("seq"), F.col("_end._said.clock").alias("clock")), "_prior")
+    past = ends.select("probe_id", "seq_num", F.when(F.col("_prior.seq") == F.col("seq_num") - 1, F.col("_prior.clock")).alias("_before"))
+    heard = rows.where(F.coalesce(F.col("clock_probe_id") != F.col("probe_id"), F.lit(False))).join(past, ["probe_id", "seq_num"], "left")
+    clock = F.when(F.col("_last").isNotNull(), F.col("_last.clock")).otherwise(F.col("_before"))
+    adjacent = F.when(clock.isNotNull(), F.coalesce(F.col("_last.at") == F.col("entry_idx") - 1, F.lit(False)))
+    return heard.select(F.col("probe_id").alias("dst_probe"), clock.alias("dst_clock"), F.col("clock_probe_id").alias("src_probe"), F.col("clock_word").alias("src_clock"), adjacent.alias("adjacent"))
+
+
 def dangling(edges: DataFrame, known: DataFrame) -> DataFrame:
     """Edges whose source segment (probe_id, ticks) is not known."""
     return edges.join(known.select(F.col("probe_id").alias("src_probe"), F.col("ticks").alias("src_ticks")).distinct(), ["src_probe", "src_ticks"], "left_anti")

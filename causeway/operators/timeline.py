@@ -25,6 +25,16 @@ def running(df: DataFrame, key: str, pos: str, value: Column, name: str, how: st
     return dealt.join(totals, [key, "_b"]).withColumn(name, both).drop("_v", "_b", "_t")
 
 
+def previous(df: DataFrame, key: str, pos: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+    """df with name: the value in the key's row before this one by pos, null in its first; in blocks, like `running`."""
+    dealt = df.withColumn("_v", value).withColumn("_b", F.call_function("div", F.col(pos), F.lit(block).cast("long")))
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy(key, "_b").agg(F.max(F.struct(F.col(pos).alias("pos"), "_v")).alias("_end")).select(key, "_b", F.max("_end").over(earlier)["_v"].alias("_past"))
+    inside = Window.partitionBy(key, "_b").orderBy(pos)
+    rows = dealt.withColumn("_nth", F.row_number().over(inside)).withColumn("_lag", F.lag("_v").over(inside)).join(ends, [key, "_b"])
+    return rows.withColumn(name, F.when(F.col("_nth") == 1, F.col("_past")).otherwise(F.col("_lag"))).drop("_v", "_b", "_past", "_nth", "_lag")
+
+
 def segments(script: DataFrame) -> DataFrame:
     """script with ticks: boundaries (rows that tick) up to and with each row; the row that ticks opens its segment."""
     return running(script, "probe_id", "pos", F.col("op").isin("produce", "merge").cast("long"), "ticks")
@@ -95,6 +105,34 @@ def restart_epochs(restarts: DataFrame) -> DataFrame:
     return restarts.withColumn("epoch", F.when(tracked, F.coalesce("next_epoch", F.lit(0))).otherwise(F.col("call_no") % 65536)).withColumn("invalid", tracked & F.col("next_epoch").isNull())
 
 
+def report_restarts(reports: DataFrame) -> DataFrame:
+    """reports (probe_id, nth, seq_num) with restart_no: how often their probe had started again, counted in order of arrival nth.
+
+    A recorder numbers its reports from 0, so a number that is not greater than the one before tells of a restart; a report
+    that comes again right away does not. Reports lost around a restart do not hide it while what is left steps back.
+    """
+    steps = previous(reports, "probe_id", "nth", F.col("seq_num"), "_before")
+    return running(steps, "probe_id", "nth", F.coalesce(F.col("seq_num") < F.col("_before"), F.lit(False)).cast("long"), "restart_no").drop("_before")
+
+
+def restart_ranges(reports: DataFrame) -> DataFrame:
+    """(probe_id, restart_no, from_nth, epoch): from which arrival on each start of a probe holds, with the epoch it began in, as
+    headers tell; reports: what `report_restarts` gives, with epoch."""
+    first = F.min(F.struct("nth", "epoch")).alias("s")
+    return reports.groupBy("probe_id", "restart_no").agg(first).select("probe_id", "restart_no", F.col("s.nth").alias("from_nth"), F.col("s.epoch").alias("epoch"))
+
+
+def at_restart(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """rows (probe_id, nth, ...) with restart_no and start_epoch of the range that holds at nth, null before the first: one sort of
+    both, in blocks, and the last range so far."""
+    given = [c for c in rows.columns if c not in ("probe_id", "nth")]
+    mark = F.struct(F.col("from_nth").alias("nth"), "restart_no", F.col("epoch").alias("start_epoch"))
+    marks = ranges.select("probe_id", (2 * F.col("from_nth")).alias("at"), mark.alias("mark"))
+    asks = rows.select("probe_id", (2 * F.col("nth") + 1).alias("at"), "nth", F.struct(F.lit(True).alias("is_row"), *given).alias("row"))
+    known = running(marks.unionByName(asks, allowMissingColumns=True), "probe_id", "at", F.col("mark"), "range", "max").where("row.is_row")
+    return known.select("probe_id", "nth", *(F.col("row").getField(c).alias(c) for c in given), "range.restart_no", "range.start_epoch")
+
+
 def ring_index(seq: Column, capacity: int, power_of_two: bool = False) -> Column:
     """Slot of a sequence number; a power-of-two ring uses the largest power that fits its capacity."""
     if power_of_two:

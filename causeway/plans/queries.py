@@ -13,8 +13,9 @@ from causeway.operators import graph as G
 from causeway.operators import order as O
 from causeway.operators import scan as X
 from causeway.operators import timeline as T
+from causeway.operators import wallclock as V
 from causeway.plans import script as S
-from causeway.sources import wire
+from causeway.sources import capture, wire
 from causeway.streaming import live, reader
 
 CAPACITY = 48
@@ -284,11 +285,89 @@ def log_as_of(spark, sf_dir):
     return G.correlate_as_of(log, rows)
 
 
+def _clocked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(decoded reports, script) of probes whose headers name four wall clocks, 0 among them, and three resolutions; the clock of
+    every fifth probe is five days slow."""
+    late = F.when(F.col("probe_id") % 5 == 0, F.col("time_ns") - 432000 * 10**9).otherwise(F.col("time_ns"))
+    rows = _written(spark, S.script(spark, sf_dir).withColumn("time_ns", late))
+    clock = F.call_function("div", F.col("probe_id"), F.lit(2).cast("long")) % 4
+    whole = S.reports(T.segments(rows), fields={"wall_clock_id": clock, "time_resolution": F.col("probe_id") % 3 * 1000})
+    return _written(spark, wire.with_payload(wire.with_header(whole)).drop("content")), rows
+
+
 def time_domains(spark, sf_dir):
-    """Whether the times of two probes can be compared."""
+    """Of probes that hear from each other, whether their times can be compared, as their reports' headers tell."""
+    whole, _ = _clocked(spark, sf_dir)
+    edges = G.interactions_of(E.parse(whole.select("probe_id", "seq_num", "words"), ["probe_id", "seq_num"])).select("dst_probe", "src_probe").distinct()
+    heads = whole.groupBy("probe_id").agg(F.max("wall_clock_id").alias("clock"), F.max("time_resolution").alias("res"))
+    dst, src = (heads.select(F.col("probe_id").alias(f"{x}_probe"), F.col("clock").alias(f"{x}_clock"), F.col("res").alias(f"{x}_res")) for x in ("dst", "src"))
+    a, b = F.col("dst_clock"), F.col("src_clock")
+    return edges.join(dst, "dst_probe").join(src, "src_probe").select("dst_probe", "src_probe", W.comparable(a, b, F.col("dst_probe"), F.col("src_probe")).alias("comparable"), W.local_only(a).alias("local_only"), W.unspecified(F.col("dst_res")).alias("unspecified"))
+
+
+def time_contradictions(spark, sf_dir):
+    """Interactions that the times of their segments deny, where these can be compared."""
+    whole, _ = _clocked(spark, sf_dir)
+    entries = _written(spark, E.parse(whole.select("probe_id", "seq_num", "words"), ["probe_id", "seq_num"]))
+    rows = V.timed(D.timeline(whole, entries), whole)
+    return V.contradictions(G.interactions_of(entries), rows)
+
+
+def close_times(spark, sf_dir):
+    """Events of different probes within ten minutes by the same wall clock."""
+    whole, rows = _clocked(spark, sf_dir)
+    at = rows.where("op in ('event_time', 'event_payload_time')").select("probe_id", F.call_function("div", F.col("pos"), F.lit(S.REPORT_SPAN).cast("long")).alias("seq_num"), "time_ns", F.col("pos").alias("id"))
+    return V.close_pairs(V.timed(at, whole), 600 * 10**9)
+
+
+def report_restarts(spark, sf_dir):
+    """Which start of its probe each report belongs to, by steps back in the numbers, after every third report has been lost."""
+    whole = wire.with_header(S.reports(T.segments(S.script(spark, sf_dir)), SHORT_SPAN, True)).where("(seq_num + probe_id) % 3 <> 0")
+    n, each = F.col("seq_num"), 4 + F.col("probe_id") % 3
+    rows = _written(spark, whole.select("probe_id", n.alias("nth"), (n % each).alias("seq_num"), (F.call_function("div", n, each) + F.col("probe_id")).alias("epoch")))
+    told = T.report_restarts(rows)
+    return T.at_restart(rows.select("probe_id", "nth", "seq_num"), T.restart_ranges(told))
+
+
+def marked_interactions(spark, sf_dir):
+    """Interactions with the recorder's own events between both clocks, and some whose own clock is gone."""
+    rows = S.with_words(T.segments(S.script(spark, sf_dir)))
+    w, pos = F.col("words"), F.col("pos")
+    event = lambda x: F.array(F.lit(x).cast("long"))
+    head = F.when(pos % 7 == 0, event(9)).otherwise(F.slice(w, 1, 2))
+    between = F.when(pos % 3 == 0, event(W.INTERNAL_EVENTS["num_clocks_overflowed"])).otherwise(F.array().cast("array<long>"))
+    rows = rows.withColumn("words", F.when(F.col("op") == "merge", F.concat(head, between, F.slice(w, 3, 2))).otherwise(w))
+    logs = rows.groupBy("probe_id", F.call_function("div", pos, F.lit(S.REPORT_SPAN).cast("long")).alias("seq_num")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"])).alias("words"))
+    return G.marked_interactions(_written(spark, E.parse(logs, ["probe_id", "seq_num"])))
+
+
+def internal_events(spark, sf_dir):
+    """What the recorder's own events mean in decoded reports: how often each was logged, and the sum of what it carries."""
+    rows = S.with_words(T.segments(S.script(spark, sf_dir)))
+    pos, code = F.col("pos"), lambda name: F.lit(W.INTERNAL_EVENTS[name]).cast("long")
+    more = F.when(pos % 5 == 0, F.array(code("invalid_next_epoch"))).when(pos % 5 == 1, F.array(W.payload_word(code("items_missed")), pos % 1000)).when(pos % 5 == 2, F.array(code("time_only"))).otherwise(F.array().cast("array<long>"))
+    rows = rows.withColumn("words", F.concat("words", more))
+    logs = rows.groupBy("probe_id", F.call_function("div", pos, F.lit(S.REPORT_SPAN).cast("long")).alias("seq_num")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"])).alias("words"))
+    logs = _written(spark, logs.withColumn("frontier", F.array().cast("array<struct<probe_id:long,epoch:int,ticks:int>>")))
+    told = D.timeline(logs, _written(spark, E.parse(logs.select("probe_id", "seq_num", "words"), ["probe_id", "seq_num"])))
+    return told.where("meaning is not null").groupBy("probe_id", "meaning").agg(F.count("*").alias("n"), F.coalesce(F.sum("payload_raw"), F.lit(0)).alias("carried"))
+
+
+def le_numbers(spark, sf_dir):
+    """Little-endian numbers of 2, 4 and 8 bytes, also beyond 63 bits."""
     e = F.col("event_id")
-    a, b, p, q, r = e % 3, e * STEP % 4, e % 5, e * STEP % 2, e % 4 * 250
-    return _events(spark, sf_dir).select("event_id", W.comparable(a, b, p, q).alias("comparable"), W.local_only(a).alias("local_only"), W.unspecified(r).alias("unspecified"))
+    high, low = e * SPREAD % (1 << 32), e * STEP % (1 << 32)
+    raw = F.unhex(F.concat(wire.le_hex(low, 4), wire.le_hex(high, 4))).alias("b")
+    return _events(spark, sf_dir).select("event_id", raw).select("event_id", wire.read_le(F.col("b"), 4, 2).alias("u16"), wire.read_le(F.col("b"), 4, 4).alias("u32"), wire.read_u64(F.col("b"), 0).cast("string").alias("u64"))
+
+
+def capture_reports(spark, sf_dir):
+    """Reports written to captures, each once though some come twice, and read back in splits."""
+    at = G.shared_path(spark, "capture")
+    given = S.reports(T.segments(S.script(spark, sf_dir)))
+    capture.write_capture(given.unionByName(given.where("length(content) % 3 = 0")), at)
+    rows = capture.decoded(capture.read_capture(spark, at, True, 1 << 14))
+    return rows.select("probe_id", "clock_word", "seq_num", "persistent_epoch", "time_resolution", "wall_clock_id", "n_clocks", "n_log_entries", F.length("content").cast("long").alias("bytes"), "error")
 
 
 def restart_epochs(spark, sf_dir):
@@ -376,7 +455,8 @@ NAMES = (
     "frontier_of_interactions frontier_capacity clock_next_prev clock_unpack clock_compare word_classify word_encode id_validation time_units "
     "time_regressions payload_typed description_filled report_header report_errors entry_parse report_frontier decoded_interactions snapshot_codec "
     "report_gap report_dedupe expectations log_correlation restart_epochs stream_entries decoded_timeline event_dedupe log_as_of time_domains "
-    "causal_order causal_reach chunk_entries stream_reordered live_timeline live_frontier stream_gaps"
+    "causal_order causal_reach chunk_entries stream_reordered live_timeline live_frontier stream_gaps "
+    "time_contradictions close_times report_restarts marked_interactions internal_events le_numbers capture_reports"
 ).split()
 
 
@@ -431,6 +511,8 @@ def _later(a: str, b: str) -> str:
     return f"(NOT (epoch_{a} = epoch_{b} AND ticks_{a} = ticks_{b}) AND ((epoch_{b} >= 65532 AND epoch_{a} <= 3) OR epoch_{a} * 65536 + ticks_{a} > epoch_{b} * 65536 + ticks_{b}))"
 
 
+_TIMED = """td AS (SELECT probe_id, ticks, pos, CASE WHEN probe_id % 5 = 0 THEN time_ns - 432000000000000 ELSE time_ns END AS time_ns, CASE WHEN probe_id // 2 % 4 = 0 THEN -probe_id ELSE probe_id // 2 % 4 END AS domain
+    FROM seg WHERE op IN ('event_time', 'event_payload_time'))"""
 _MASK = (1 << 32) - 1
 _BLOCK = S.REPORT_SPAN
 _ENTRIES = f"""
@@ -504,7 +586,18 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT p.probe_id, seq_num, 'clock', NULL, NULL, src_probe, CAST({_packed('src_ticks')} AS BIGINT), NULL, CAST({_packed('p.ticks')} AS BIGINT), event_count FROM placed p JOIN edges e ON e.pos = p.pos) SELECT * FROM decoded""",
     "event_dedupe": f"WITH {_SCRIPT}, e AS (SELECT probe_id, ticks AS clock_at, CASE WHEN event_count % 5 <> 0 THEN event_count END AS event_count, probe_id % 2 = 0 AS persistent_epoch FROM tl WHERE NOT {_TICKS}), d AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE clock_at < 2) SELECT * FROM d WHERE persistent_epoch OR event_count IS NULL UNION ALL SELECT DISTINCT * FROM d WHERE NOT persistent_epoch AND event_count IS NOT NULL",
     "log_as_of": f"WITH {_SCRIPT}, l AS (SELECT probe_id, ticks, event_count - 3 + pos % 7 AS event_count, 'error at ' || pos AS line FROM tl WHERE op = 'event') SELECT l.probe_id, l.ticks, l.event_count, line, max(tl.pos) AS pos FROM l LEFT JOIN tl ON tl.probe_id = l.probe_id AND tl.ticks = l.ticks AND tl.event_count <= l.event_count GROUP BY ALL",
-    "time_domains": f"SELECT event_id, (event_id % 3 = event_id * {STEP} % 4 AND event_id % 3 <> 0) OR event_id % 5 = event_id * {STEP} % 2 AS comparable, event_id % 3 = 0 AS local_only, event_id % 4 = 0 AS unspecified FROM events",
+    "time_domains": f"WITH {_SCRIPT} SELECT DISTINCT dst_probe, src_probe, (dst_probe // 2 % 4 = src_probe // 2 % 4 AND dst_probe // 2 % 4 <> 0) OR dst_probe = src_probe AS comparable, dst_probe // 2 % 4 = 0 AS local_only, dst_probe % 3 = 0 AS unspecified FROM edges",
+    "time_contradictions": f"""WITH {_SCRIPT}, {_TIMED}, s AS (SELECT probe_id, ticks, domain, min(time_ns) AS lo, max(time_ns) AS hi, probe_id % 3 * 1000 AS res FROM td GROUP BY ALL)
+        SELECT dst_probe, {_packed('dst_ticks')} AS dst_clock, src_probe, {_packed('src_ticks')} AS src_clock, a.domain, a.hi AS src_ns, b.lo AS dst_ns FROM edges JOIN s a ON a.probe_id = src_probe AND a.ticks = src_ticks JOIN s b ON b.probe_id = dst_probe AND b.ticks = dst_ticks AND a.domain = b.domain WHERE a.hi > b.lo + a.res + b.res""",
+    "close_times": f"WITH {_SCRIPT}, {_TIMED} SELECT a.pos AS id_a, b.pos AS id_b, b.time_ns - a.time_ns AS apart_ns FROM td a JOIN td b ON a.domain = b.domain AND a.probe_id <> b.probe_id AND b.time_ns BETWEEN a.time_ns AND a.time_ns + 600000000000 AND (b.time_ns > a.time_ns OR a.pos < b.pos)",
+    "report_restarts": f"""WITH {_SCRIPT}, nr AS (SELECT probe_id, row_number() OVER (PARTITION BY probe_id ORDER BY pos // {SHORT_SPAN}) - 1 AS nth FROM seg GROUP BY probe_id, pos // {SHORT_SPAN}),
+        k AS (SELECT probe_id, nth, nth % (4 + probe_id % 3) AS seq_num, nth // (4 + probe_id % 3) + probe_id AS epoch FROM nr WHERE (nth + probe_id) % 3 <> 0),
+        c AS (SELECT *, CASE WHEN seq_num < lag(seq_num) OVER (PARTITION BY probe_id ORDER BY nth) THEN 1 ELSE 0 END AS again FROM k),
+        r AS (SELECT *, CAST(sum(again) OVER (PARTITION BY probe_id ORDER BY nth) AS BIGINT) AS restart_no FROM c)
+        SELECT probe_id, nth, seq_num, restart_no, first_value(epoch) OVER (PARTITION BY probe_id, restart_no ORDER BY nth) AS start_epoch FROM r""",
+    "marked_interactions": f"WITH {_SCRIPT} SELECT dst_probe, CASE WHEN pos % 7 <> 0 THEN {_packed('dst_ticks')} END AS dst_clock, src_probe, {_packed('src_ticks')} AS src_clock, CASE WHEN pos % 7 <> 0 THEN pos % 3 <> 0 END AS adjacent FROM edges",
+    "internal_events": f"WITH {_SCRIPT} SELECT probe_id, CASE pos % 5 WHEN 0 THEN 'invalid_next_epoch' WHEN 1 THEN 'items_missed' ELSE 'time_only' END AS meaning, count(*) AS n, CAST(sum(CASE WHEN pos % 5 = 1 THEN pos % 1000 ELSE 0 END) AS BIGINT) AS carried FROM seg WHERE pos % 5 < 3 GROUP BY ALL",
+    "le_numbers": f"SELECT event_id, {_WORD} & 65535 AS u16, {_WORD} AS u32, CAST(CAST({_WORD} AS HUGEINT) * {1 << 32} + event_id * {STEP} % {1 << 32} AS VARCHAR) AS u64 FROM events",
     "snapshot_codec": f"WITH {_SCRIPT}, s AS (SELECT pos, probe_id, {_epoch('(ticks - 1)')} AS epoch, {_tick('(ticks - 1)')} AS ticks FROM seg WHERE op = 'produce') SELECT pos, {_le('probe_id', 4)} || {_le('ticks', 2)} || {_le('epoch', 2)} || '00000000' AS bytes, probe_id, epoch, ticks, CAST(NULL AS VARCHAR) AS error FROM s",
     "report_gap": f"WITH {_SCRIPT}, {_report_rows(SHORT_SPAN)}, g AS (SELECT probe_id, seq_num, seq_num - lag(seq_num, 1, -1) OVER (PARTITION BY probe_id ORDER BY seq_num) - 1 AS missing FROM rp WHERE (seq_num + probe_id) % 3 <> 0) SELECT * FROM g WHERE missing > 0",
     "report_dedupe": "WITH r AS (SELECT user_id AS probe_id, event_id % 2 AS epoch, event_id % 7 AS seq_num, user_id % 2 = 0 AS persistent_epoch FROM events) SELECT DISTINCT * FROM r WHERE persistent_epoch UNION ALL SELECT * FROM r WHERE NOT persistent_epoch",
@@ -523,4 +616,4 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 # Streams end with the rows of what they follow.
-ORACLE_SQL |= {"stream_reordered": ORACLE_SQL["stream_entries"], "live_timeline": ORACLE_SQL["decoded_timeline"], "live_frontier": ORACLE_SQL["frontier_fold"], "stream_gaps": ORACLE_SQL["report_gap"]}
+ORACLE_SQL |= {"stream_reordered": ORACLE_SQL["stream_entries"], "live_timeline": ORACLE_SQL["decoded_timeline"], "live_frontier": ORACLE_SQL["frontier_fold"], "stream_gaps": ORACLE_SQL["report_gap"], "capture_reports": ORACLE_SQL["report_header"]}

@@ -75,11 +75,11 @@ def with_words(segmented: DataFrame) -> DataFrame:
     return rows.withColumn("words", words)
 
 
-def reports(segmented: DataFrame, span: int = REPORT_SPAN, numbered: bool = False) -> DataFrame:
+def reports(segmented: DataFrame, span: int = REPORT_SPAN, numbered: bool = False, fields: dict[str, Column] | None = None) -> DataFrame:
     """(content): one binary report for each stretch of span positions of a probe that holds entries.
 
     Its clock is the probe's at the end, its frontier the probe's before. Numbers are those of stretches, or, numbered, of
-    the probe's reports. A report's size is bounded by the span, so no group grows with the input.
+    the probe's reports. A report's size is bounded by the span, so no group grows with the input. fields go into its header.
     """
     rows = with_words(segmented).withColumn("seq_num", F.call_function("div", F.col("pos"), F.lit(span).cast("long")))
     before = F.col("ticks") - F.col("op").isin("produce", "merge").cast("long")
@@ -89,5 +89,5 @@ def reports(segmented: DataFrame, span: int = REPORT_SPAN, numbered: bool = Fals
     epoch, ticks = C.at_ordinal(F.col("ticks"))
     first, past = C.at_ordinal(F.col("before"))
     own = F.array(F.struct(F.col("probe_id").alias("probe_id"), first.alias("epoch"), past.alias("ticks")))
-    header = {"probe_id": F.col("probe_id"), "clock_word": C.pack(epoch, ticks), "seq_num": F.col("seq_num"), "time_resolution": F.lit(1000), "wall_clock_id": F.lit(1)}
+    header = {"probe_id": F.col("probe_id"), "clock_word": C.pack(epoch, ticks), "seq_num": F.col("seq_num"), "time_resolution": F.lit(1000), "wall_clock_id": F.lit(1)} | (fields or {})
     return grouped.select(wire.encoded_report(header, own, F.flatten(F.transform("log", lambda x: x["words"]))).alias("content"))

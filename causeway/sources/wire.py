@@ -33,6 +33,13 @@ def read_le(b: Column, at: Column | int, size: int) -> Column:
     return F.conv(digits, 16, 10).try_cast("long")
 
 
+def read_u64(b: Column, at: Column | int) -> Column:
+    """An unsigned little-endian number of 8 bytes, as decimal(20, 0): all of them fit."""
+    at = F.lit(at) if isinstance(at, int) else at
+    low, high = read_le(b, at, 4).cast("decimal(20,0)"), read_le(b, at + 4, 4).cast("decimal(20,0)")
+    return (high * F.lit(1 << 32).cast("decimal(10,0)") + low).cast("decimal(20,0)")
+
+
 def le_hex(x: Column, size: int) -> Column:
     """The little-endian bytes of a number, as hex digits."""
     digits = F.lpad(F.hex(x.cast("long")), 16, "0")
