@@ -183,12 +183,3 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     else:
         nodes = nodes.select("fp", F.col("first").alias("component_id"))
     return prints.join(nodes, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group, once each; rows without a doc_id stay."""
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null")
-    one = named.join(kept, named.doc_id.cast("long") == kept.kept_id, "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
