@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import words as W
-from causeway.operators.timeline import running
+from causeway.operators.timeline import previous, running
 
 #: Written at the head of a report or in place of its log; they are no part of the log and count as no event.
 OUTSIDE = ("items_missed", "insufficient_report_buffer")
@@ -21,14 +21,6 @@ def _is(name: str) -> Column:
     return F.coalesce(F.col("event_id") == W.INTERNAL_EVENTS[name], F.lit(False))
 
 
-def _before(reports: DataFrame, value: Column, name: str, how: str) -> DataFrame:
-    """reports with name: the sum or maximum of value over the probe's earlier reports."""
-    asks = reports.select("probe_id", "seq_num", (F.col("seq_num") * 2).alias("at"), F.lit(True).alias("asks"), F.lit(None).alias("v"))
-    says = reports.select("probe_id", "seq_num", (F.col("seq_num") * 2 + 1).alias("at"), F.lit(False).alias("asks"), value.alias("v"))
-    known = running(says.unionByName(asks), "probe_id", "at", F.col("v"), name, how).where("asks").select("probe_id", "seq_num", name)
-    return reports.join(known, ["probe_id", "seq_num"])
-
-
 def timeline(reports: DataFrame, entries: DataFrame) -> DataFrame:
     """entries with clock_at, the packed clock of their segment, event_count, the events of it up to and with each, and meaning.
 
@@ -61,7 +53,7 @@ def timeline(reports: DataFrame, entries: DataFrame) -> DataFrame:
     # Reports without entries hold a place in the sequence.
     ends = reports.select("probe_id", "seq_num", start.alias("_start")).join(ends, ["probe_id", "seq_num"], "left")
     ends = ends.select("probe_id", "seq_num", "_start", F.coalesce("s._n", F.lit(0)).alias("_all"), F.col("s._clock").alias("_last"), (F.col("s._n") - F.col("s._base")).alias("_tail"), F.coalesce("missed", F.lit(False)).alias("missed"), F.coalesce("s.told", F.lit(False)).alias("told"), "first")
-    ends = _before(ends, F.struct("seq_num", "told", "_last"), "_prior", "max")
+    ends = previous(ends, "probe_id", "seq_num", F.struct("seq_num", "told", "_last"), "_prior")
     adjoins = F.coalesce(F.col("_prior.seq_num"), F.lit(-1).cast("long")) == F.col("seq_num") - 1
     ends = ends.withColumn("_lost", ~adjoins | F.col("missed"))
     # An overflow at the end of the last report has announced the clock at the head of this one.
@@ -71,10 +63,11 @@ def timeline(reports: DataFrame, entries: DataFrame) -> DataFrame:
     # What a report leaves open: events since its last clock, known or not; reports without a clock add to it.
     anchor = F.when(F.col("_last").isNotNull() & ~only_that, F.struct(F.col("seq_num").alias("seq"), F.lit(True).alias("known"), F.col("_tail").alias("n")))
     anchor = anchor.when(F.col("_lost"), F.struct(F.col("seq_num").alias("seq"), F.lit(False).alias("known"), F.lit(0).cast("long").alias("n")))
-    ends = _before(ends.withColumn("_anchor", anchor), F.col("_all"), "_sum", "sum")
-    at = F.struct(F.col("_anchor.seq").alias("seq"), F.col("_anchor.known").alias("known"), F.col("_anchor.n").alias("n"), (F.coalesce("_sum", F.lit(0)) + F.col("_all")).alias("sum"))
-    ends = _before(ends, F.when(F.col("_anchor").isNotNull(), at), "_open", "max")
-    carried = F.when(F.col("_open").isNull(), F.coalesce("_sum", F.lit(0))).when(F.col("_open.known"), F.col("_open.n") + F.col("_sum") - F.col("_open.sum"))
+    ends = running(ends.withColumn("_anchor", anchor), "probe_id", "seq_num", F.col("_all"), "_upto").withColumn("_sum", F.col("_upto") - F.col("_all"))
+    at = F.struct(F.col("_anchor.seq").alias("seq"), F.col("_anchor.known").alias("known"), F.col("_anchor.n").alias("n"), F.col("_upto").alias("sum"))
+    ends = running(ends, "probe_id", "seq_num", F.when(F.col("_anchor").isNotNull(), at), "_latest", "max")
+    ends = previous(ends, "probe_id", "seq_num", F.col("_latest"), "_open")
+    carried = F.when(F.col("_open").isNull(), F.col("_sum")).when(F.col("_open.known"), F.col("_open.n") + F.col("_sum") - F.col("_open.sum"))
     ends = ends.withColumn("_carried", F.when(~F.col("_lost"), carried))
     placed = rows.join(ends.select("probe_id", "seq_num", "_start", "_carried", "_goes_on", "_prior", F.col("first").alias("_first")), ["probe_id", "seq_num"])
     still = F.col("_clock").isNull() | (F.col("_goes_on") & (F.col("_clock") == F.col("_first")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from causeway.functions import clocks as C
 from causeway.functions import words as W
 from causeway.operators.scan import BLOCK, frontier_scan
-from causeway.operators.tables import shared_path, written
+from causeway.operators.tables import drop, shared_path, written
 from causeway.operators.timeline import previous, running
 
 
@@ -69,6 +69,10 @@ def happens_after(edges: DataFrame, probe: int, ticks: int) -> DataFrame:
         old = known.select("probe_id", F.col("ticks").alias("had"))
         new = written(out.join(old, "probe_id", "left").where("had is null or ticks < had").select("probe_id", "ticks"), f"{root}/new{n}")
         known = written(known.unionByName(new).groupBy("probe_id").agg(F.min("ticks").alias("ticks")), f"{root}/{n}")
+        drop(spark, f"{root}/{n - 1}")
+        if n > 1:
+            drop(spark, f"{root}/new{n - 1}")
+    drop(spark, f"{root}/edges")
     return known
 
 

@@ -18,7 +18,7 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.operators.tables import shared_path, written
+from causeway.operators.tables import drop, shared_path, written
 from causeway.operators.timeline import running
 
 log = logging.getLogger(__name__)
@@ -75,7 +75,10 @@ def causal_index(edges: DataFrame) -> DataFrame:
     log.info("causal index complete after %d rounds", n)
     # Steps that a later round has made idle go.
     labels = spark.read.schema(new.schema).parquet(f"{root}/labels")
-    return written(_news(labels.limit(0), labels), f"{root}/index")
+    index = written(_news(labels.limit(0), labels), f"{root}/index")
+    for name in ("edges", "labels"):
+        drop(spark, f"{root}/{name}")
+    return index
 
 
 def known_at(index: DataFrame, asks: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import clocks as C
 from causeway.operators.entries import FIELDS, parse, places_of
-from causeway.operators.tables import shared_path, written
+from causeway.operators.tables import drop, shared_path, written
 from causeway.operators.timeline import running
 
 #: Positions of a block of rows, and summaries that are composed at once.
@@ -120,6 +120,7 @@ def frontier_scan(clocks: DataFrame, block: int = BLOCK, wide: int = WIDE) -> Da
         up = found.withColumn("up", F.call_function("div", F.col("part"), F.lit(wide).cast("long")))
         up = up.select(*pair, "up", "part", "plain_fixed", "plain", "high_fixed", "high")
         found = written(_streamed(up, [*pair, "up"], "part", _compose_step, _clock_state, schema, tuple), f"{root}/{n}")
+        drop(clocks.sparkSession, f"{root}/{n - 1}")
     # There was no clock before the first: its state is less than all and not high.
     return found.select(*pair, F.shiftright("plain", 16).alias("epoch"), F.col("plain").bitwiseAND(F.lit(C.TOP).cast("long")).alias("ticks"))
 

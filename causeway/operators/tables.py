@@ -24,3 +24,9 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """df as a written table: its lineage is cut and a lost executor costs nothing of it."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -40,6 +40,11 @@ def segments(script: DataFrame) -> DataFrame:
     return running(script, "probe_id", "pos", F.col("op").isin("produce", "merge").cast("long"), "ticks")
 
 
+def accepted(script: DataFrame) -> DataFrame:
+    """script without merges of a probe's own snapshots: these neither tick nor are logged."""
+    return script.where((F.col("op") != "merge") | F.coalesce(F.col("peer") != F.col("probe_id"), F.lit(True)))
+
+
 def instants(script: DataFrame, block: int = BLOCK) -> DataFrame:
     """script with ticks, as `segments` gives them, and event_count: events in the segment up to and with each row, 0 at its
     opening.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions import clocks as C
+from causeway.functions import errors as R
 from causeway.functions import words as W
 from causeway.operators import decoded as D
 from causeway.operators import entries as E
@@ -353,6 +354,22 @@ def internal_events(spark, sf_dir):
     return told.where("meaning is not null").groupBy("probe_id", "meaning").agg(F.count("*").alias("n"), F.coalesce(F.sum("payload_raw"), F.lit(0)).alias("carried"))
 
 
+def self_snapshots(spark, sf_dir):
+    """Ticks where every fourth row of a probe that merges merges its own snapshot, which is no merge."""
+    rows = S.script(spark, sf_dir).withColumn("peer", F.when(F.col("pos") % 4 == 0, F.col("probe_id")).otherwise(F.col("peer")))
+    return T.segments(T.accepted(rows)).select("probe_id", "pos", "op", "ticks")
+
+
+def error_summary(spark, sf_dir):
+    """The errors of damaged reports, of numbers that are no event ids or times, and of restarts, by the table of errors."""
+    content, pos = F.col("content"), F.col("seq_num") + F.col("probe_id")
+    whole = _written(spark, _reports(spark, sf_dir).select("probe_id", "seq_num", "content"))
+    damaged = whole.select(F.when(pos % 3 == 0, F.substring(content, 1, 20)).when(pos % 3 == 1, F.substring(content, 1, 33)).otherwise(F.concat(content, content)).alias("content"))
+    ids = id_validation(spark, sf_dir).select("error")
+    restarts = restart_epochs(spark, sf_dir).select(F.when(F.col("invalid"), "InvalidNextEpoch").alias("error"))
+    return R.summary(wire.with_header(damaged).select("error").unionByName(ids).unionByName(restarts))
+
+
 def le_numbers(spark, sf_dir):
     """Little-endian numbers of 2, 4 and 8 bytes, also beyond 63 bits."""
     e = F.col("event_id")
@@ -456,7 +473,7 @@ NAMES = (
     "time_regressions payload_typed description_filled report_header report_errors entry_parse report_frontier decoded_interactions snapshot_codec "
     "report_gap report_dedupe expectations log_correlation restart_epochs stream_entries decoded_timeline event_dedupe log_as_of time_domains "
     "causal_order causal_reach chunk_entries stream_reordered live_timeline live_frontier stream_gaps "
-    "time_contradictions close_times report_restarts marked_interactions internal_events le_numbers capture_reports"
+    "time_contradictions close_times report_restarts marked_interactions internal_events le_numbers capture_reports self_snapshots error_summary"
 ).split()
 
 
@@ -597,6 +614,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT probe_id, nth, seq_num, restart_no, first_value(epoch) OVER (PARTITION BY probe_id, restart_no ORDER BY nth) AS start_epoch FROM r""",
     "marked_interactions": f"WITH {_SCRIPT} SELECT dst_probe, CASE WHEN pos % 7 <> 0 THEN {_packed('dst_ticks')} END AS dst_clock, src_probe, {_packed('src_ticks')} AS src_clock, CASE WHEN pos % 7 <> 0 THEN pos % 3 <> 0 END AS adjacent FROM edges",
     "internal_events": f"WITH {_SCRIPT} SELECT probe_id, CASE pos % 5 WHEN 0 THEN 'invalid_next_epoch' WHEN 1 THEN 'items_missed' ELSE 'time_only' END AS meaning, count(*) AS n, CAST(sum(CASE WHEN pos % 5 = 1 THEN pos % 1000 ELSE 0 END) AS BIGINT) AS carried FROM seg WHERE pos % 5 < 3 GROUP BY ALL",
+    "self_snapshots": f"WITH {_SCRIPT}, s AS (SELECT * FROM script WHERE op <> 'merge' OR pos % 4 <> 0) SELECT probe_id, pos, op, CAST(sum(CASE WHEN {_TICKS} THEN 1 ELSE 0 END) OVER (PARTITION BY probe_id ORDER BY pos) AS BIGINT) AS ticks FROM s",
+    "error_summary": f"""WITH {_SCRIPT}, {_REPORTS}, x AS (SELECT event_id * {SPREAD} - {1 << 30} AS x, event_id % 4096 * {1 << 50} AS ns FROM events),
+        e AS (SELECT CASE (seq_num + probe_id) % 3 WHEN 0 THEN 'MissingHeader' WHEN 1 THEN 'IncompletePayload' END AS error FROM rp
+              UNION ALL SELECT CASE WHEN x NOT BETWEEN 1 AND {W.MAX_ID} THEN 'InvalidEventId' WHEN ns NOT BETWEEN 0 AND {W.MAX_NS} THEN 'InvalidWallClockTime' END FROM x
+              UNION ALL SELECT CASE WHEN probe_id % 2 = 0 AND pos % 4 = 0 THEN 'InvalidNextEpoch' END FROM script WHERE op = 'produce')
+        SELECT CASE error WHEN 'MissingHeader' THEN 'report' WHEN 'IncompletePayload' THEN 'report' WHEN 'InvalidEventId' THEN 'id' WHEN 'InvalidWallClockTime' THEN 'time' ELSE 'restart' END AS found_in, error, error <> 'MissingHeader' AS readable, count(*) AS n FROM e WHERE error IS NOT NULL GROUP BY ALL""",
     "le_numbers": f"SELECT event_id, {_WORD} & 65535 AS u16, {_WORD} AS u32, CAST(CAST({_WORD} AS HUGEINT) * {1 << 32} + event_id * {STEP} % {1 << 32} AS VARCHAR) AS u64 FROM events",
     "snapshot_codec": f"WITH {_SCRIPT}, s AS (SELECT pos, probe_id, {_epoch('(ticks - 1)')} AS epoch, {_tick('(ticks - 1)')} AS ticks FROM seg WHERE op = 'produce') SELECT pos, {_le('probe_id', 4)} || {_le('ticks', 2)} || {_le('epoch', 2)} || '00000000' AS bytes, probe_id, epoch, ticks, CAST(NULL AS VARCHAR) AS error FROM s",
     "report_gap": f"WITH {_SCRIPT}, {_report_rows(SHORT_SPAN)}, g AS (SELECT probe_id, seq_num, seq_num - lag(seq_num, 1, -1) OVER (PARTITION BY probe_id ORDER BY seq_num) - 1 AS missing FROM rp WHERE (seq_num + probe_id) % 3 <> 0) SELECT * FROM g WHERE missing > 0",
