@@ -24,6 +24,7 @@ from causeway.operators.entries import FIELDS, columns_of, entries_of, places_of
 SCHEMA = f"probe_id long, word_pos long, missed long, {FIELDS}"
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 _KINDS = ["Int64", "Int64", "Int64", "Int32", "object", *["Int64"] * 5]
+_NONE = 1 << 62
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -72,7 +73,7 @@ class EntryReader(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "at long, held array<long>, waiting long")
+        self.place = handle.getValueState("place", "at long, held array<long>, waiting long, first long")
         self.early = handle.getMapState("early", "start long", "words array<long>, deadline long")
 
     def _fold(self, probe: int, state: list, start: int, words: np.ndarray) -> pd.DataFrame | None:
@@ -88,7 +89,7 @@ class EntryReader(StatefulProcessor):
 
     def _drain(self, probe: int, state: list, upto: int | None) -> Iterator[pd.DataFrame]:
         """Waiting chunks whose turn has come, or whose deadline has passed."""
-        if not state[2]:
+        if not state[2] or (upto is None and state[3] > state[0]):
             return
         starts = sorted((k[0], v[1]) for k, v in self.early.iterator())
         due = [upto is not None and deadline <= upto for _, deadline in starts]
@@ -96,22 +97,25 @@ class EntryReader(StatefulProcessor):
         for i, (start, _) in enumerate(starts):
             # All that lie before a chunk that waits no longer go with it.
             if start > state[0] and i > last_due:
-                break
+                state[3] = start
+                return
             words = np.array(self.early.getValue((start,))[0], np.int64)
             self.early.removeKey((start,))
             state[2] -= 1
             out = self._fold(probe, state, start, words)
             if out is not None:
                 yield out
+        state[3] = _NONE
 
     def _state(self) -> list:
+        """[how far it is read, words held back, chunks that wait, the first one's start]."""
         if self.place.exists():
-            at, held, waiting = self.place.get()
-            return [at, np.array(held, np.int64), waiting]
-        return [0, np.zeros(0, np.int64), 0]
+            at, held, *waiting = self.place.get()
+            return [at, np.array(held, np.int64), *waiting]
+        return [0, np.zeros(0, np.int64), 0, _NONE]
 
     def _save(self, state: list) -> None:
-        self.place.update((int(state[0]), state[1].tolist(), int(state[2])))
+        self.place.update((int(state[0]), state[1].tolist(), int(state[2]), int(state[3])))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         probe, state = int(key[0]), self._state()
@@ -124,7 +128,7 @@ class EntryReader(StatefulProcessor):
                 if start > state[0]:
                     known = self.early.getValue((start,)) if self.early.containsKey((start,)) else None
                     if known is None or len(known[0]) < len(words):
-                        state[2] += known is None
+                        state[2], state[3] = state[2] + (known is None), min(state[3], start)
                         self.early.updateValue((start,), (words.tolist(), deadline if known is None else known[1]))
                     if self.wait_ms is not None:
                         self.handle.registerTimer(deadline)
@@ -134,7 +138,7 @@ class EntryReader(StatefulProcessor):
                     yield out
                 yield from self._drain(probe, state, None)
         if self.wait_ms is None:
-            yield from self._drain(probe, state, 1 << 62)
+            yield from self._drain(probe, state, _NONE)
         self._save(state)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
