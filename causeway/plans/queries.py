@@ -381,7 +381,7 @@ def le_numbers(spark, sf_dir):
 def capture_reports(spark, sf_dir):
     """Reports written to captures, each once though some come twice, and read back in splits."""
     at = G.shared_path(spark, "capture")
-    given = S.reports(T.segments(S.script(spark, sf_dir)))
+    given = _written(spark, S.reports(T.segments(S.script(spark, sf_dir))))
     capture.write_capture(given.unionByName(given.where("length(content) % 3 = 0")), at)
     rows = capture.decoded(capture.read_capture(spark, at, True, 1 << 14))
     return rows.select("probe_id", "clock_word", "seq_num", "persistent_epoch", "time_resolution", "wall_clock_id", "n_clocks", "n_log_entries", F.length("content").cast("long").alias("bytes"), "error")

@@ -32,7 +32,7 @@ from causeway.sources.wire import CLOCK_BYTES, FINGERPRINT, HEADER_BYTES, WORD_B
 NAME = "trace_capture"
 SCHEMA = "path string, offset long, probe_id long, content binary"
 MAGIC = FINGERPRINT.to_bytes(4, "little")
-SPLIT_BYTES, WINDOW = 32 << 20, 1 << 20
+SPLIT_BYTES, WINDOW, LEAST = 32 << 20, 1 << 20, 4 << 10
 #: Reports that must follow each other where reading begins amid a file, and where it goes on behind a damage.
 CHECKS, RESUME = 8, 2
 MANIFESTS = "_manifests"
@@ -47,13 +47,13 @@ def _open(uri: str):
 class Bytes:
     """Random access to a file through one window."""
 
-    def __init__(self, file, size: int):
-        self.file, self.size, self.at, self.held = file, size, 0, b""
+    def __init__(self, file, size: int, window: int = WINDOW):
+        self.file, self.size, self.at, self.held, self.window = file, size, 0, b"", window
 
     def get(self, at: int, n: int) -> bytes:
         n = max(min(n, self.size - at), 0)
         if at < self.at or at + n > self.at + len(self.held):
-            self.at, self.held = at, self.file.read_at(min(max(n, WINDOW), self.size - at), at) if n else b""
+            self.at, self.held = at, self.file.read_at(min(max(n, self.window), self.size - at), at) if n else b""
         return self.held[at - self.at : at - self.at + n]
 
     def report_at(self, at: int) -> int | None:
@@ -80,9 +80,9 @@ class Bytes:
     def border(self, at: int, checks: int = RESUME) -> int:
         """The first report at or after a place; the end if there is none."""
         while at < self.size:
-            found = self.get(at, WINDOW).find(MAGIC)
+            found = self.get(at, self.window).find(MAGIC)
             if found < 0:
-                at += max(min(WINDOW, self.size - at) - 3, 1)
+                at += max(min(self.window, self.size - at) - 3, 1)
             elif self.follows(at + found, checks):
                 return at + found
             else:
@@ -96,7 +96,7 @@ class Bytes:
 
     def synced(self, place: int, least: int = 0) -> int:
         """Where the first report, or stretch without one, begins at or after a place: by the steps from a report before it."""
-        back = WINDOW
+        back = self.window
         while True:
             at = max(place - back, least)
             at = at if at == least else self.border(at, CHECKS)
@@ -177,7 +177,9 @@ class _Rows:
             return
         system, at = _open(partition.path)
         with system.open_input_file(at) as file:
-            for offset, probe, content in Bytes(file, partition.size).rows(partition.start, partition.stop, self.probes, partition.aligned):
+            # What is read ahead of a split is as long as one, so that small splits do not read a file many times over.
+            window = min(max(self.each, LEAST), WINDOW)
+            for offset, probe, content in Bytes(file, partition.size, window).rows(partition.start, partition.stop, self.probes, partition.aligned):
                 yield partition.path, offset, probe, content
 
 
@@ -320,9 +322,10 @@ def stream_capture(spark: SparkSession, path: str, committed: bool = False, spli
 
 def keyed(reports: DataFrame) -> DataFrame:
     """reports (content) without those that have the key (probe_id, epoch, seq_num) of another one; damaged ones stay."""
-    rows = with_header(reports.select("content")).withColumn("epoch", F.shiftright("clock_word", 16))
-    fine = rows.where("error is null").dropDuplicates(["probe_id", "epoch", "seq_num"])
-    return fine.select("content").unionByName(rows.where("error is not null and content is not null").select("content"))
+    rows = with_header(reports.select("content").where("content is not null")).withColumn("epoch", F.shiftright("clock_word", 16))
+    # A damaged one's key is its own, so that one pass keeps all of them.
+    rows = rows.withColumn("damaged", F.when(F.col("error").isNotNull(), F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["probe_id", "epoch", "seq_num", "damaged"]).select("content")
 
 
 def write_capture(reports: DataFrame, path: str) -> None:
