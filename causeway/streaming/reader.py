@@ -3,19 +3,24 @@
 A chunk (probe_id, start, words) carries the words from position start on. Chunks of a probe may overlap what was read
 (it is skipped) or leave a gap: the gap's words, and those of an entry that was begun before it, are missed.
 
-State lives in RocksDB, a probe's in three parts: how far it has been read, with the words of an entry that is not whole
-yet; chunks that came before their turn, one row each; and timers. A chunk that closes a gap lets the waiting ones go on,
-and a gap counts as lost only when the timer of the chunk behind it runs out. Chunks go into the state one by one, so that a
-probe with very many of them in one micro-batch needs no more memory than one.
+State lives in RocksDB, a probe's in two rows and more: how far it has been read, with the words of an entry that is not whole
+yet and the starts of the chunks that wait; those chunks, one row each; and the first deadline among them. A chunk that closes
+a gap lets the waiting ones go on, and a gap counts as lost only when the timer of the chunk behind it runs out.
+
+A call of a processor has a price, and so has each tiny frame. Probes are therefore dealt over BUCKETS keys, whose state has a
+row for each probe, and what a micro-batch's frame brings for all probes of a bucket is parsed at once. Early chunks go into the
+state one by one and leave it in parts of PENDING words, so that a probe with very many of them needs no more memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,6 +30,8 @@ SCHEMA = f"probe_id long, word_pos long, missed long, {FIELDS}"
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 _KINDS = ["Int64", "Int64", "Int64", "Int32", "object", *["Int64"] * 5]
 _NONE = 1 << 62
+#: Keys of the state, each with the rows of many probes; fixed for the life of a stream. Words that are parsed at once.
+BUCKETS, PENDING = 1024, 1 << 20
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -48,21 +55,112 @@ def advance(at: int, held: list[int], start: int, words: list[int]) -> tuple[int
     return at + len(fresh), rest, lost, out
 
 
-def frame_of(probe: int, w: np.ndarray, first: int, lost: int, start: int) -> tuple[pd.DataFrame | None, np.ndarray]:
-    """(rows of the whole entries in w, whose first word is at `first`, and of what was lost before `start`; the words left)."""
-    at, size = places_of(w, np.array([0]), np.array([len(w)]))
-    end = int(at[-1] + size[-1]) if len(at) else 0
-    parts = []
-    if lost:
-        parts.append([[probe], [start], [lost], *[[None]] * 7])
+def bucket_of(probe: Column | str) -> Column:
+    return F.pmod(F.xxhash64(probe), F.lit(BUCKETS).cast("long")).alias("bucket")
+
+
+class Kept:
+    """Rows of a bucket's map state: looked up one by one, or all in one go where a frame asks for a good part of them."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, key: str, value: str):
+        self.map, self.count = handle.getMapState(name, key, value), handle.getValueState(f"n_{name}", "n long")
+
+    def open(self) -> None:
+        self.n = self.had = self.count.get()[0] if self.count.exists() else 0
+        self.asked: set[tuple] = set()
+        self.there: set[tuple] = set()
+
+    def get(self, keys: Iterable[tuple]) -> Iterator[tuple[tuple, tuple | None]]:
+        """(key, row or None) of the keys that have not been asked for since `open`."""
+        new = set(keys) - self.asked
+        self.asked |= new
+        if 4 * len(new) >= self.had:
+            found = {tuple(k): v for k, v in self.map.iterator() if tuple(k) in new} if self.had and new else {}
+        else:
+            found = {k: v for k in new if (v := self.map.getValue(k) if self.map.containsKey(k) else None) is not None}
+        self.there |= found.keys()
+        for k in new:
+            yield k, found.get(k)
+
+    def put(self, key: tuple, row: tuple) -> None:
+        """key has been asked for."""
+        if key not in self.there:
+            self.there.add(key)
+            self.n += 1
+        self.map.updateValue(key, row)
+
+    def close(self) -> None:
+        if self.n != self.had:
+            self.count.update((self.n,))
+
+
+class Timed:
+    """The first deadline of each probe that waits, and of a bucket: timers beyond the first that finds work are a lookup."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle = handle
+        self.waits, self.least = handle.getMapState("waits", "probe long", "deadline long"), handle.getValueState("least", "deadline long")
+
+    def set(self, deadlines: dict[int, int]) -> None:
+        """Of each probe that waits, its first deadline; of the bucket, what comes first."""
+        for probe, deadline in deadlines.items():
+            if deadline < _NONE:
+                self.waits.updateValue((probe,), (deadline,))
+            elif self.waits.containsKey((probe,)):
+                self.waits.removeKey((probe,))
+        first = min(deadlines.values(), default=_NONE)
+        if first < _NONE and not (self.least.exists() and self.least.get()[0] <= first):
+            self.least.update((first,))
+
+    def due(self, upto: int) -> list[int]:
+        """Probes whose first deadline has passed."""
+        if not self.least.exists() or self.least.get()[0] > upto:
+            return []
+        every = [(k[0], v[0]) for k, v in self.waits.iterator()]
+        rest = min((deadline for _, deadline in every if deadline > upto), default=None)
+        self.least.clear() if rest is None else self.least.update((rest,))
+        return [probe for probe, deadline in every if deadline <= upto]
+
+
+def _nullable(c: pa.Array, kind: str) -> pd.api.extensions.ExtensionArray | np.ndarray:
+    """Column by column: a frame of whole rows would turn long integers beside nulls into doubles."""
+    if kind == "object":
+        return c.to_numpy(zero_copy_only=False)
+    values = c.fill_null(0).to_numpy(zero_copy_only=False).astype(kind.lower())
+    return pd.arrays.IntegerArray(values, c.is_null().to_numpy(zero_copy_only=False))
+
+
+class Run:
+    """Words of a probe without a gap, from `first` on; before them gap words are missing, and what `prior` has left."""
+
+    __slots__ = ("probe", "first", "parts", "gap", "prior", "rest")
+
+    def __init__(self, probe: int, first: int, parts: list[np.ndarray], gap: int = 0, prior: Run | None = None):
+        self.probe, self.first, self.parts, self.gap, self.prior, self.rest = probe, first, parts, gap, prior, None
+
+
+def frame_of(runs: list[Run]) -> pd.DataFrame | None:
+    """Rows of the whole entries in the runs and of what was lost before them; each run keeps its rest."""
+    sizes = np.array([sum(map(len, r.parts)) for r in runs], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    w = np.concatenate([np.zeros(0, np.int64), *(p for r in runs for p in r.parts)])
+    at, size = places_of(w, begins, sizes)
+    # An empty run begins where the next one does; the last that begins there holds the entries.
+    row = np.searchsorted(begins, at, side="right") - 1
+    ends = begins.copy()
     if len(at):
-        fields = [c.to_pylist() for c in columns_of(w, at, size)]
-        parts.append([[probe] * len(at), (first + at).tolist(), [0] * len(at), *fields])
-    if not parts:
-        return None, w[end:]
-    columns = [sum(c, []) for c in zip(*parts, strict=True)]
-    # Column by column: a frame of whole rows would turn long integers beside nulls into doubles.
-    return pd.DataFrame({n: pd.array(c, dtype=k) for n, c, k in zip(_NAMES, columns, _KINDS, strict=True)}), w[end:]
+        np.maximum.at(ends, row, at + size)
+    for r, begin, end, n in zip(runs, begins.tolist(), ends.tolist(), sizes.tolist(), strict=True):
+        r.rest = w[end : begin + n].copy()
+    lost = [(r.probe, r.first, r.gap + len(r.prior.rest)) for r in runs if r.gap]
+    if not len(at) and not lost:
+        return None
+    probes, firsts = np.array([r.probe for r in runs], np.int64), np.array([r.first for r in runs], np.int64)
+    none = len(lost)
+    gone = list(zip(*lost, strict=True)) if lost else [[], [], []]
+    places = [np.concatenate([np.array(gone[0], np.int64), probes[row]]), np.concatenate([np.array(gone[1], np.int64), (firsts - begins)[row] + at]), np.concatenate([np.array(gone[2], np.int64), np.zeros(len(at), np.int64)])]
+    fields = [pa.concat_arrays([pa.nulls(none, c.type), c]) for c in columns_of(w, at, size)]
+    return pd.DataFrame({n: _nullable(c, k) for n, c, k in zip(_NAMES, [*map(pa.array, places), *fields], _KINDS, strict=True)})
 
 
 class EntryReader(StatefulProcessor):
@@ -73,78 +171,121 @@ class EntryReader(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "at long, held array<long>, waiting long, first long")
-        self.early = handle.getMapState("early", "start long", "words array<long>, deadline long")
+        self.places = Kept(handle, "place", "probe long", "at long, held array<long>, waiting array<struct<start:long,deadline:long,n:int>>")
+        self.early = handle.getMapState("early", "probe long, start long", "words array<long>")
+        self.timed = Timed(handle)
+
+    def _open(self) -> None:
+        #: Of each probe: how far it is read, the run at its end, a heap of the starts that wait, their deadlines and sizes.
+        self.states: dict[int, list] = {}
+        self.pending: list[Run] = []
+        self.n_pending = 0
+        self.places.open()
 
-    def _fold(self, probe: int, state: list, start: int, words: np.ndarray) -> pd.DataFrame | None:
+    def _load(self, probes: Iterable[int]) -> None:
+        for (probe,), row in self.places.get((p,) for p in probes):
+            at, held, waiting = row if row is not None else (0, [], [])
+            held = np.array(held, np.int64)
+            known = {int(w[0]): (int(w[1]), int(w[2])) for w in waiting}
+            run = Run(probe, at - len(held), [])
+            run.rest = held
+            starts = list(known)
+            heapify(starts)
+            self.states[probe] = [int(at), run, starts, known]
+
+    def _fold(self, probe: int, state: list, start: int, words: np.ndarray) -> None:
         """One more chunk, with the loss before it."""
-        at, held = state[0], state[1]
-        lost = 0
-        if start > at:
-            lost, held, at = start - at + len(held), held[:0], start
+        at, run = state[0], state[1]
+        lost = max(start - at, 0)
+        if lost or run.rest is not None:
+            # A run that is parsed already is left behind, and what it has left heads the next one.
+            run = Run(probe, start, [], lost, run) if lost else Run(probe, at - len(run.rest), [run.rest])
+            self.pending.append(run)
+            state[1], at = run, max(at, start)
         fresh = words[at - start :]
-        out, rest = frame_of(probe, np.concatenate([held, fresh]), at - len(held), lost, start)
-        state[0], state[1] = at + len(fresh), rest
-        return out
+        run.parts.append(fresh)
+        state[0] = at + len(fresh)
+        self.n_pending += len(fresh)
 
-    def _drain(self, probe: int, state: list, upto: int | None) -> Iterator[pd.DataFrame]:
-        """Waiting chunks whose turn has come, or whose deadline has passed."""
-        if not state[2] or (upto is None and state[3] > state[0]):
-            return
-        starts = sorted((k[0], v[1]) for k, v in self.early.iterator())
-        due = [upto is not None and deadline <= upto for _, deadline in starts]
-        last_due = max((i for i, x in enumerate(due) if x), default=-1)
-        for i, (start, _) in enumerate(starts):
-            # All that lie before a chunk that waits no longer go with it.
-            if start > state[0] and i > last_due:
-                state[3] = start
-                return
-            words = np.array(self.early.getValue((start,))[0], np.int64)
-            self.early.removeKey((start,))
-            state[2] -= 1
-            out = self._fold(probe, state, start, words)
+    def _flush(self) -> Iterator[pd.DataFrame]:
+        runs, self.pending, self.n_pending = self.pending, [], 0
+        if runs:
+            out = frame_of(runs)
+            for r in runs:
+                r.prior = None
             if out is not None:
                 yield out
-        state[3] = _NONE
 
-    def _state(self) -> list:
-        """[how far it is read, words held back, chunks that wait, the first one's start]."""
-        if self.place.exists():
-            at, held, *waiting = self.place.get()
-            return [at, np.array(held, np.int64), *waiting]
-        return [0, np.zeros(0, np.int64), 0, _NONE]
+    def _drain(self, probe: int, state: list, upto: int | None) -> Iterator[pd.DataFrame]:
+        """Waiting chunks whose turn has come, or whose deadline has passed; all that lie before such a one go with it."""
+        starts, known = state[2], state[3]
+        last = max((start for start, (deadline, _) in known.items() if deadline <= upto), default=-1) if upto is not None else -1
+        while starts and (starts[0] <= state[0] or starts[0] <= last):
+            start = heappop(starts)
+            del known[start]
+            words = np.array(self.early.getValue((probe, start))[0], np.int64)
+            self.early.removeKey((probe, start))
+            if start + len(words) > state[0] or start > state[0]:
+                self._fold(probe, state, start, words)
+            if self.n_pending >= PENDING:
+                yield from self._flush()
 
-    def _save(self, state: list) -> None:
-        self.place.update((int(state[0]), state[1].tolist(), int(state[2]), int(state[3])))
+    def _save(self, waited: Iterable[int]) -> None:
+        for probe, (at, run, _, known) in self.states.items():
+            self.places.put((probe,), (at, run.rest.tolist(), [(start, *known[start]) for start in sorted(known)]))
+        self.places.close()
+        if self.wait_ms is not None:
+            self.timed.set({p: min((d for d, _ in self.states[p][3].values()), default=_NONE) for p in waited})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        probe, state = int(key[0]), self._state()
+        self._open()
+        timers, waited = set(), set()
         for frame in rows:
-            deadlines = frame["deadline"] if self.wait_ms is not None else [0] * len(frame)
-            for start, words, deadline in sorted(zip(frame["start"], frame["words"], deadlines, strict=True), key=lambda c: (c[0], len(c[1]))):
-                start, words, deadline = int(start), np.array(words, np.int64), int(deadline)
-                if start + len(words) <= state[0]:
+            deadlines = map(int, frame["deadline"]) if self.wait_ms is not None else [0] * len(frame)
+            chunks = list(zip(frame["probe_id"].tolist(), frame["start"].tolist(), frame["words"], deadlines, strict=True))
+            chunks.sort(key=lambda c: (c[0], c[1], len(c[2])))
+            self._load({c[0] for c in chunks})
+            waited.update(p for p in {c[0] for c in chunks} if self.states[p][3])
+            for probe, start, words, deadline in chunks:
+                state, n = self.states[probe], len(words)
+                if start + n <= state[0]:
                     continue
                 if start > state[0]:
-                    known = self.early.getValue((start,)) if self.early.containsKey((start,)) else None
-                    if known is None or len(known[0]) < len(words):
-                        state[2], state[3] = state[2] + (known is None), min(state[3], start)
-                        self.early.updateValue((start,), (words.tolist(), deadline if known is None else known[1]))
-                    if self.wait_ms is not None:
-                        self.handle.registerTimer(deadline)
+                    known = state[3].get(start)
+                    if known is None or known[1] < n:
+                        if known is None:
+                            heappush(state[2], start)
+                            waited.add(probe)
+                        state[3][start] = (deadline if known is None else known[0], n)
+                        self.early.updateValue((probe, start), (np.asarray(words, np.int64).tolist(),))
+                    timers.add(deadline)
                     continue
-                out = self._fold(probe, state, start, words)
-                if out is not None:
-                    yield out
-                yield from self._drain(probe, state, None)
+                self._fold(probe, state, start, np.asarray(words, np.int64))
+                if state[2]:
+                    yield from self._drain(probe, state, None)
+                if self.n_pending >= PENDING:
+                    yield from self._flush()
+            yield from self._flush()
         if self.wait_ms is None:
-            yield from self._drain(probe, state, _NONE)
-        self._save(state)
+            for probe in sorted(waited):
+                yield from self._drain(probe, self.states[probe], _NONE)
+            yield from self._flush()
+        else:
+            for deadline in timers:
+                self.handle.registerTimer(deadline)
+        self._save(waited)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self._state()
-        yield from self._drain(int(key[0]), state, expiredTimerInfo.getExpiryTimeInMs())
-        self._save(state)
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        probes = self.timed.due(upto)
+        if not probes:
+            return
+        self._open()
+        self._load(probes)
+        for probe in sorted(probes):
+            yield from self._drain(probe, self.states[probe], upto)
+        yield from self._flush()
+        self._save(probes)
 
     def close(self) -> None:
         pass
@@ -158,10 +299,11 @@ def read_entries(chunks: DataFrame, wait: str | None = None, sent: str = "sent_a
     of no words tells that its probe has got so far; rows with a null take no part.
     """
     with_rocksdb(chunks.sparkSession)
+    longs = [F.col(c).cast("long").alias(c) for c in ("probe_id", "start")]
     rows = chunks.where("probe_id is not null and start is not null and words is not null")
     if wait is None:
-        rows, wait_ms, mode = rows.select("probe_id", "start", "words"), None, "None"
+        rows, wait_ms, mode = rows.select(*longs, "words"), None, "None"
     else:
         wait_ms, mode = int(pd.Timedelta(wait).total_seconds() * 1000), "EventTime"
-        rows = rows.select("probe_id", "start", "words", sent, (F.unix_millis(sent) + wait_ms).alias("deadline"))
-    return rows.groupBy("probe_id").transformWithStateInPandas(EntryReader(wait_ms), SCHEMA, "Append", mode)
+        rows = rows.select(*longs, "words", sent, (F.unix_millis(sent) + wait_ms).alias("deadline"))
+    return rows.withColumn("bucket", bucket_of("probe_id")).groupBy("bucket").transformWithStateInPandas(EntryReader(wait_ms), SCHEMA, "Append", mode)
