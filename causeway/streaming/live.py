@@ -3,13 +3,14 @@
 All state is RocksDB's. A probe's timeline needs a few numbers between reports: the last report's number, the clock of its
 segment, the events counted in it, whether that count is known, and whether an overflow has announced the next clock. A
 frontier is a map from neighbours to clocks with a conditional update. What of a probe's reports has come is kept as
-intervals of numbers, of which there is one more than there are gaps.
+intervals of numbers, of which there is one more than there are gaps. As in `reader`, a key of the state is a bucket of probes.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from causeway.functions import words as W
 from causeway.operators.decoded import OUTSIDE
 from causeway.operators.entries import FIELDS, entries_of
 from causeway.operators.scan import supersede
-from causeway.streaming.reader import with_rocksdb
+from causeway.streaming.reader import _NONE, Kept, Timed, bucket_of, with_rocksdb
 
 _EVENTS = {code: name for name, code in W.INTERNAL_EVENTS.items()}
 TIMELINE = f"probe_id long, seq_num long, entry_idx int, {FIELDS}, clock_at long, event_count long, meaning string"
@@ -31,6 +32,8 @@ _TYPES = [{"long": "Int64", "int": "Int32", "string": "object"}[f.split()[1]] fo
 #: What goes from report to report: number of the last one, whether it told of a clock at its end, the last clock that it
 #: opened (-1: none), whether the count of events is known, and the count.
 START = (-1, False, -1, True, 0)
+#: Rows of a frame that is put out before its micro-batch ends.
+PENDING_ROWS = 1 << 16
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -89,59 +92,96 @@ class LiveTimeline(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "seq long, told boolean, last long, known boolean, n long, waiting long")
-        self.early = handle.getMapState("early", "seq long", "own long, words array<long>, deadline long")
+        self.places = Kept(handle, "place", "probe long", "seq long, told boolean, last long, known boolean, n long, waiting array<struct<seq:long,deadline:long>>")
+        self.early = handle.getMapState("early", "probe long, seq long", "own long, words array<long>")
+        self.timed = Timed(handle)
+
+    def _open(self) -> None:
+        #: Of each probe: its state, a heap of the numbers that wait, and their deadlines.
+        self.states: dict[int, list] = {}
+        self.rows: list[tuple] = []
+        self.places.open()
+
+    def _load(self, probes: Iterable[int]) -> None:
+        for (probe,), row in self.places.get((p,) for p in probes):
+            known = {int(w[0]): int(w[1]) for w in row[5]} if row is not None else {}
+            starts = list(known)
+            heapify(starts)
+            self.states[probe] = [tuple(row[:5]) if row is not None else START, starts, known]
+
+    def _place(self, probe: int, state: list, seq: int, own: int | None, words: list[int]) -> None:
+        rows, state[0] = placed(probe, seq, own, words, state[0])
+        self.rows += rows
+
+    def _flush(self, least: int = 1) -> Iterator[pd.DataFrame]:
+        if len(self.rows) >= least:
+            rows, self.rows = self.rows, []
+            yield _frame(rows)
 
     def _go(self, probe: int, state: list, upto: int | None) -> Iterator[pd.DataFrame]:
-        if not state[1]:
-            return
-        waiting = sorted((k[0], v[2]) for k, v in self.early.iterator())
-        due = max((seq for seq, deadline in waiting if upto is not None and deadline <= upto), default=-1)
-        for seq, _ in waiting:
-            if seq > state[0][0] + 1 and seq > due:
-                break
-            own, words, _ = self.early.getValue((seq,))
-            self.early.removeKey((seq,))
-            state[1] -= 1
-            rows, state[0] = placed(probe, seq, own, list(words), state[0])
-            if rows:
-                yield _frame(rows)
-
-    def _state(self) -> list:
-        if self.place.exists():
-            *state, waiting = self.place.get()
-            return [tuple(state), waiting]
-        return [START, 0]
-
-    def _save(self, state: list) -> None:
-        self.place.update((*state[0], state[1]))
+        seqs, known = state[1], state[2]
+        due = max((seq for seq, deadline in known.items() if deadline <= upto), default=-1) if upto is not None else -1
+        while seqs and (seqs[0] <= state[0][0] + 1 or seqs[0] <= due):
+            seq = heappop(seqs)
+            del known[seq]
+            own, words = self.early.getValue((probe, seq))
+            self.early.removeKey((probe, seq))
+            self._place(probe, state, seq, own, list(words))
+            yield from self._flush(PENDING_ROWS)
+
+    def _save(self, waited: Iterable[int]) -> None:
+        for probe, (state, _, known) in self.states.items():
+            self.places.put((probe,), (*state, sorted(known.items())))
+        self.places.close()
+        if self.wait_ms is not None:
+            self.timed.set({p: min(self.states[p][2].values(), default=_NONE) for p in waited})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        probe, state = int(key[0]), self._state()
+        self._open()
+        timers, waited = set(), set()
         for frame in rows:
             owns = [None if pd.isna(x) else int(x) for x in frame["own"]]
-            deadlines = frame["deadline"] if self.wait_ms is not None else [0] * len(frame)
-            for seq, own, words, deadline in sorted(zip(map(int, frame["seq_num"]), owns, frame["words"], map(int, deadlines), strict=True), key=lambda r: r[0]):
-                if seq <= state[0][0] or self.early.containsKey((seq,)):
+            deadlines = map(int, frame["deadline"]) if self.wait_ms is not None else [0] * len(frame)
+            reports = sorted(zip(frame["probe_id"].tolist(), frame["seq_num"].tolist(), owns, frame["words"], deadlines, strict=True), key=lambda r: r[:2])
+            self._load({r[0] for r in reports})
+            waited.update(p for p in {r[0] for r in reports} if self.states[p][2])
+            for probe, seq, own, words, deadline in reports:
+                state = self.states[probe]
+                if seq <= state[0][0] or seq in state[2]:
                     continue  # come before, or too late
+                words = np.asarray(words, np.int64).tolist()
                 if seq == state[0][0] + 1:
-                    out, state[0] = placed(probe, seq, own, [int(w) for w in words], state[0])
-                    if out:
-                        yield _frame(out)
+                    self._place(probe, state, seq, own, words)
+                    if state[1]:
+                        yield from self._go(probe, state, None)
+                    yield from self._flush(PENDING_ROWS)
                     continue
-                self.early.updateValue((seq,), (own, [int(w) for w in words], deadline))
-                state[1] += 1
-                if self.wait_ms is not None:
-                    self.handle.registerTimer(deadline)
-            yield from self._go(probe, state, None)
+                self.early.updateValue((probe, seq), (own, words))
+                heappush(state[1], seq)
+                state[2][seq] = deadline
+                waited.add(probe)
+                timers.add(deadline)
+            yield from self._flush()
         if self.wait_ms is None:
-            yield from self._go(probe, state, 1 << 62)
-        self._save(state)
+            for probe in sorted(waited):
+                yield from self._go(probe, self.states[probe], _NONE)
+            yield from self._flush()
+        else:
+            for deadline in timers:
+                self.handle.registerTimer(deadline)
+        self._save(waited)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self._state()
-        yield from self._go(int(key[0]), state, expiredTimerInfo.getExpiryTimeInMs())
-        self._save(state)
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        probes = self.timed.due(upto)
+        if not probes:
+            return
+        self._open()
+        self._load(probes)
+        for probe in sorted(probes):
+            yield from self._go(probe, self.states[probe], upto)
+        yield from self._flush()
+        self._save(probes)
 
     def close(self) -> None:
         pass
@@ -157,35 +197,39 @@ def timeline(reports: DataFrame, wait: str | None = None, sent: str = "sent_at")
     with_rocksdb(reports.sparkSession)
     self_clock = F.filter("frontier", lambda c: c["probe_id"] == F.col("probe_id"))
     own = F.when(F.size(self_clock) > 0, F.element_at(self_clock, 1)["epoch"].cast("long") * 65536 + F.element_at(self_clock, 1)["ticks"]).alias("own")
+    longs = [F.col(c).cast("long").alias(c) for c in ("probe_id", "seq_num")]
     rows = reports.where("probe_id is not null and seq_num is not null and words is not null")
     if wait is None:
-        return rows.select("probe_id", "seq_num", own, "words").groupBy("probe_id").transformWithStateInPandas(LiveTimeline(None), TIMELINE, "Append", "None")
+        return rows.select(*longs, own, "words").withColumn("bucket", bucket_of("probe_id")).groupBy("bucket").transformWithStateInPandas(LiveTimeline(None), TIMELINE, "Append", "None")
     wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
-    rows = rows.select("probe_id", "seq_num", own, "words", sent, (F.unix_millis(sent) + wait_ms).alias("deadline"))
-    return rows.groupBy("probe_id").transformWithStateInPandas(LiveTimeline(wait_ms), TIMELINE, "Append", "EventTime")
+    rows = rows.select(*longs, own, "words", sent, (F.unix_millis(sent) + wait_ms).alias("deadline"))
+    return rows.withColumn("bucket", bucket_of("probe_id")).groupBy("bucket").transformWithStateInPandas(LiveTimeline(wait_ms), TIMELINE, "Append", "EventTime")
 
 
 class LiveFrontier(StatefulProcessor):
     """A probe's latest clock of each neighbour; rows of the neighbours whose clock has changed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getMapState("latest", "neighbor_id long", "clock long")
+        self.latest = Kept(handle, "latest", "probe long, neighbor_id long", "clock long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        had: dict[int, int] = {}
-        now: dict[int, int] = {}
+        had: dict[tuple, int] = {}
+        now: dict[tuple, int] = {}
+        self.latest.open()
         for frame in rows:
-            for _, neighbour, clock in sorted(zip(map(int, frame["pos"]), map(int, frame["neighbor_id"]), map(int, frame["clock"]), strict=True)):
-                if neighbour not in now:
-                    there = self.latest.containsKey((neighbour,))
-                    now[neighbour] = had[neighbour] = self.latest.getValue((neighbour,))[0] if there else -1
-                now[neighbour] = supersede(now[neighbour], clock)
-        changed = sorted(n for n in now if now[n] != had[n])
-        for n in changed:
-            self.latest.updateValue((n,), (now[n],))
+            clocks = sorted(zip(*(frame[c].tolist() for c in ("pos", "probe_id", "neighbor_id", "clock")), strict=True))
+            for pair, row in self.latest.get((probe, neighbour) for _, probe, neighbour, _ in clocks):
+                now[pair] = had[pair] = -1 if row is None else row[0]
+            for _, probe, neighbour, clock in clocks:
+                now[probe, neighbour] = supersede(now[probe, neighbour], clock)
+        changed = sorted(p for p in now if now[p] != had[p])
+        for pair in changed:
+            self.latest.put(pair, (now[pair],))
+        self.latest.close()
         if changed:
-            clocks = np.array([now[n] for n in changed])
-            yield pd.DataFrame({"probe_id": int(key[0]), "neighbor_id": changed, "epoch": clocks >> 16, "ticks": clocks & 65535})
+            clocks = np.array([now[p] for p in changed])
+            probes, neighbours = zip(*changed, strict=True)
+            yield pd.DataFrame({"probe_id": probes, "neighbor_id": neighbours, "epoch": clocks >> 16, "ticks": clocks & 65535})
 
     def close(self) -> None:
         pass
@@ -195,8 +239,8 @@ def frontier(clocks: DataFrame) -> DataFrame:
     """(probe_id, neighbor_id, epoch, ticks) of a stream of (probe_id, neighbor_id, pos, epoch, ticks): the neighbours whose latest
     clock a micro-batch has changed; a stale clock changes nothing. Micro-batches follow pos, within one the rows are sorted."""
     with_rocksdb(clocks.sparkSession)
-    rows = clocks.dropna(subset=["probe_id", "neighbor_id", "pos", "epoch", "ticks"]).select("probe_id", "neighbor_id", "pos", (F.col("epoch").cast("long") * 65536 + F.col("ticks")).alias("clock"))
-    return rows.groupBy("probe_id").transformWithStateInPandas(LiveFrontier(), "probe_id long, neighbor_id long, epoch long, ticks long", "Update", "None")
+    rows = clocks.dropna(subset=["probe_id", "neighbor_id", "pos", "epoch", "ticks"]).select(*(F.col(c).cast("long").alias(c) for c in ("probe_id", "neighbor_id", "pos")), (F.col("epoch").cast("long") * 65536 + F.col("ticks")).alias("clock"))
+    return rows.withColumn("bucket", bucket_of("probe_id")).groupBy("bucket").transformWithStateInPandas(LiveFrontier(), "probe_id long, neighbor_id long, epoch long, ticks long", "Update", "None")
 
 
 def joined(intervals: list[tuple[int, int]], n: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
@@ -226,23 +270,30 @@ class ReportGate(StatefulProcessor):
     """Lets each report through once and tells how gaps change."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "intervals array<struct<lo:long,hi:long>>")
+        self.seen = Kept(handle, "seen", "probe long, epoch long", "intervals array<struct<lo:long,hi:long>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(x) for x in self.seen.get()[0]] if self.seen.exists() else []
+        every: dict[tuple, list] = {}
+        self.seen.open()
         for frame in rows:
+            reports = list(zip(*(frame[c].tolist() for c in ("probe_id", "epoch", "seq_num")), strict=True))
+            for start, row in self.seen.get((probe, epoch) for probe, epoch, _ in reports):
+                every[start] = [tuple(x) for x in row[0]] if row is not None else []
             out = []
-            for n in map(int, frame["seq_num"]):
+            for probe, epoch, n in reports:
+                held = every[probe, epoch]
                 at = bisect_right(held, (n, 1 << 62))
                 if at and held[at - 1][1] >= n:
                     continue
-                held, opened, closed = joined(held, n)
-                out.append((n, "report", None, 1))
-                out += [(seq, "gap", missing, 1) for seq, missing in opened] + [(seq, "gap", missing, -1) for seq, missing in closed if missing]
+                every[probe, epoch], opened, closed = joined(held, n)
+                out.append((probe, epoch, n, "report", None, 1))
+                out += [(probe, epoch, seq, "gap", missing, 1) for seq, missing in opened] + [(probe, epoch, seq, "gap", missing, -1) for seq, missing in closed if missing]
             if out:
-                seqs, kinds, missing, change = zip(*out, strict=True)
-                yield pd.DataFrame({"probe_id": pd.array([int(key[0])] * len(out), "Int64"), "epoch": pd.array([int(key[1])] * len(out), "Int64"), "seq_num": seqs, "kind": kinds, "missing": pd.array(missing, "Int64"), "change": np.array(change, np.int32)})
-        self.seen.update((held,))
+                probes, epochs, seqs, kinds, missing, change = zip(*out, strict=True)
+                yield pd.DataFrame({"probe_id": pd.array(probes, "Int64"), "epoch": pd.array(epochs, "Int64"), "seq_num": seqs, "kind": kinds, "missing": pd.array(missing, "Int64"), "change": np.array(change, np.int32)})
+        for start, held in every.items():
+            self.seen.put(start, (held,))
+        self.seen.close()
 
     def close(self) -> None:
         pass
@@ -256,8 +307,8 @@ def report_changes(reports: DataFrame) -> DataFrame:
     """
     with_rocksdb(reports.sparkSession)
     epoch = F.coalesce(F.col("epoch").cast("long"), F.lit(0)) if "epoch" in reports.columns else F.lit(0).cast("long")
-    rows = reports.where("probe_id is not null and seq_num >= 0").select("probe_id", epoch.alias("epoch"), "seq_num")
-    return rows.groupBy("probe_id", "epoch").transformWithStateInPandas(ReportGate(), CHANGES, "Append", "None")
+    rows = reports.where("probe_id is not null and seq_num >= 0").select(F.col("probe_id").cast("long").alias("probe_id"), epoch.alias("epoch"), F.col("seq_num").cast("long").alias("seq_num"))
+    return rows.withColumn("bucket", bucket_of("probe_id")).groupBy("bucket").transformWithStateInPandas(ReportGate(), CHANGES, "Append", "None")
 
 
 def open_gaps(changes: DataFrame) -> DataFrame:
