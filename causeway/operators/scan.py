@@ -142,39 +142,61 @@ def then(first: int, second: int) -> int:
     return sum(after(second, after(first, s)) << (2 * s) for s in range(4))
 
 
-def begins_at(words: np.ndarray, state: int) -> tuple[int, int]:
-    """(words that end an entry begun before, 0), or (all words, state behind them) where they do not end it."""
-    n = 0
-    while state and n < len(words):
-        state = {1: 0, 2: 3, 3: 0 if words[n] >> 30 == 0 else 1}[state]
-        n += 1
-    return n, state
-
-
-def _left(words: np.ndarray) -> int:
-    """The state behind the words of an entry that is not whole."""
-    return 0 if not len(words) else 3 if len(words) == 2 else 2 if len(words) == 1 and words[0] >> 29 == 7 else 1
+def _table() -> np.ndarray:
+    """then of all pairs of functions."""
+    every = np.arange(256)
+    return sum(((every[None] >> 2 * (every[:, None] >> 2 * s & 3)) & 3) << 2 * s for s in range(4)).astype(np.uint8)
+
+
+_THEN = _table()
+
+
+def transfers(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The functions of chunks whose words lie one behind the other: neighbours in a chunk are composed until one is left."""
+    tag = words >> 30
+    # From state 0 a word leads to 0, 1 or 2; from 1 to 0; from 2 to 3; from 3 to 0 or 1.
+    codes = (np.where(tag == 0, 0, np.where(words >> 29 == 7, 2, 1)) | 3 << 4 | (tag != 0) << 6).astype(np.uint8)
+    out = np.full(len(sizes), _KEEP, np.int64)
+    some = sizes > 0
+    sizes = sizes[some]
+    while len(sizes) and sizes.max() > 1:
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = np.flatnonzero(place % 2 == 0)
+        paired = place[left] + 1 < np.repeat(sizes, (sizes + 1) // 2)
+        both = left[paired]
+        less = codes[left]
+        less[paired] = _THEN[codes[both], codes[both + 1]]
+        codes, sizes = less, (sizes + 1) // 2
+    out[some] = codes
+    return out
 
 
 def transfer(words: np.ndarray) -> int:
     """The function of a chunk."""
-    if not len(words):
-        return _KEEP
-    at, size = places_of(words, np.array([0]), np.array([len(words)]))
-    reached, end = set(at.tolist()), int(at[-1] + size[-1]) if len(at) else 0
-    code = 0
-    for state in range(4):
-        n, left = begins_at(words, state)
-        # Entries from here on, until they fall in with those from the chunk's first word.
-        while not left and n < len(words) and n not in reached and n != end:
-            tail, width = places_of(words[n : n + 4], np.array([0]), np.array([len(words[n : n + 4])]))
-            if not len(tail):
-                break
-            n += int(width[0])
-        if not left and n < len(words):
-            left = _left(words[end:] if n in reached or n == end else words[n:])
-        code |= left << (2 * state)
-    return code
+    return int(transfers(words, np.array([len(words)]))[0])
+
+
+def borders(words: np.ndarray, sizes: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of chunks whose words lie one behind the other: words before first end an entry begun before, those from
+    last on begin one that goes on behind the chunk; all between are whole entries."""
+    begins = np.cumsum(sizes) - sizes
+    # Where a paired time's low word is first, what it belongs to comes next; that has one word more unless it is an event.
+    head = np.minimum(begins + (states == 2), len(words) - 1)
+    more = (words[head] >> 30 != 0).astype(np.int64) if len(words) else np.zeros(len(sizes), np.int64)
+    first = np.minimum(np.select([states == 1, states == 2, states == 3], [np.ones_like(more), 2 + more, 1 + more], 0), sizes)
+    left = sizes - first
+    kept = np.arange(len(words)) - np.repeat(begins, sizes) >= np.repeat(first, sizes)
+    begins = np.cumsum(left) - left
+    at, size = places_of(words[kept], begins, left)
+    row = np.searchsorted(begins, at, side="right") - 1  # empty chunks begin where the next does
+    last = first.copy()
+    np.maximum.at(last, row, first[row] + at + size - begins[row])
+    return first, last
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words of all chunks, how many each has)"""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def states(rows: DataFrame, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
@@ -240,8 +262,9 @@ def parse_chunks(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def code(source):
         for b in source:
-            logs = (np.array(w, np.int64) for w in b.column(2).to_pylist())
-            codes = [after(c, 0) * 0b01_01_01_01 if lost else c for c, lost in zip(map(transfer, logs), b.column(3).to_pylist(), strict=True)]
+            codes = transfers(*_flat(b.column(2)))
+            # Behind missing words a chunk starts anew, in whatever state these were left.
+            codes = np.where(b.column(3).to_numpy(zero_copy_only=False) > 0, (codes & 3) * 0b01_01_01_01, codes)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.int64())], names=["probe_id", "at", "code"])
 
     coded = written(fresh.mapInArrow(code, "probe_id long, at long, code long"), f"{root}/codes")
@@ -251,13 +274,8 @@ def parse_chunks(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     def split(source):
         """Words in three parts: what ends an earlier entry, whole entries, what begins one."""
         for b in source:
-            out = []
-            for words, state, lost in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                w = np.array(words, np.int64)
-                n = 0 if lost else begins_at(w, state)[0]
-                at, size = places_of(w[n:], np.array([0]), np.array([len(w) - n]))
-                out.append((n, n + int(at[-1] + size[-1]) if len(at) else n))
-            first, last = zip(*out, strict=True) if out else ((), ())
+            state, lost = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            first, last = borders(*_flat(b.column(2)), np.where(lost > 0, 0, state))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["probe_id", "start", "words", "first", "last"])
 
     parts = rows.select("probe_id", "start", "words", "state", "lost").mapInArrow(split, "probe_id long, start long, words array<long>, first int, last int")
