@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm._common import Tables, batches, bounded_batches, connected_components, octets, split_join
+from causeway.llm._common import Tables, batches, bounded_batches, connected_components, octets, one_a_group, split_join
 
 SHINGLE = 5
 #: Least Jaccard similarity, as a fraction so that the comparison is exact.
@@ -188,7 +188,4 @@ def groups(docs: DataFrame, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its group, once each; rows without a doc_id stay."""
-    kept = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null")
-    one = named.join(kept, named.doc_id.cast("long") == kept.kept_id, "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    return one_a_group(docs, groups(docs))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm._common import Tables, batches, bounded_batches, connected_components, octets
+from causeway.llm._common import Tables, batches, bounded_batches, connected_components, octets, one_a_group
 
 BITS = 64
 SHINGLE = 3
@@ -183,3 +183,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     else:
         nodes = nodes.select("fp", F.col("first").alias("component_id"))
     return prints.join(nodes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, once each; rows without a doc_id stay."""
+    return one_a_group(docs, near_duplicates(docs, max_bits))

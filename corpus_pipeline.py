@@ -1,11 +1,11 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: six stages, each written as Parquet and read again as the next one's documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import decontamination, line_dedup, near_copies, rule_ensemble, sentencepiece_codec
+from causeway.llm import decontamination, line_dedup, near_copies, rule_ensemble, sentencepiece_codec, simhash_dedup
 from causeway.llm._common import Tables, scratch
 from causeway.llm.queries import piece_model
 
@@ -21,8 +21,13 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
+def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near SimHash fingerprints: that with the smallest doc_id."""
+    return simhash_dedup.keep_one(docs)
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest doc_id."""
+    """Of what fingerprints leave, one document of each group of near copies by whole sets of shingles: that with the smallest doc_id."""
     return near_copies.keep_one(docs)
 
 
@@ -39,6 +44,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_classifier", good),
     ("line_dedup", fresh_lines),
+    ("simhash_dedup", apart),
     ("near_copies", distinct),
     ("decontamination", clean),
     ("sentencepiece", encoded),
