@@ -24,30 +24,39 @@ from causeway.operators.timeline import running
 log = logging.getLogger(__name__)
 
 
-def first_hearers(edges: DataFrame, facts: DataFrame) -> DataFrame:
+def hearers(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src_probe").alias("probe_id"), F.col("dst_probe").alias("hearer")).distinct()
+
+
+def first_hearers(edges: DataFrame, facts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """facts (probe_id, ticks, ...) with hearer and heard_ticks: of each neighbour the first segment that hears of the fact.
 
-    Running minima from the latest snapshot back; a probe pair with many snapshots is taken in blocks.
+    Running minima from the latest snapshot back; a probe pair with many snapshots is taken in blocks. pairs: `hearers` of the
+    edges, where they are at hand.
     """
     given = [c for c in facts.columns if c not in ("probe_id", "ticks")]
     pair = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst")).alias("pair")
-    pairs = edges.select(F.col("src_probe").alias("probe_id"), F.col("dst_probe").alias("hearer")).distinct()
-    asks = facts.join(pairs, "probe_id").select(pair("probe_id", "hearer"), (1 - 2 * F.col("ticks")).alias("back"), F.lit(None).cast("long").alias("less"), "ticks", *given)
+    asks = facts.join(hearers(edges) if pairs is None else pairs, "probe_id").select(pair("probe_id", "hearer"), (1 - 2 * F.col("ticks")).alias("back"), F.lit(None).cast("long").alias("less"), "ticks", *given)
     marks = edges.select(pair("src_probe", "dst_probe"), (-2 * F.col("src_ticks")).alias("back"), (-F.col("dst_ticks")).alias("less"))
     known = running(marks.unionByName(asks, allowMissingColumns=True), "pair", "back", F.col("less"), "first", "max")
     asked = known.where("less is null and first is not null")
     return asked.select(F.col("pair.src").alias("probe_id"), "ticks", *given, F.col("pair.dst").alias("hearer"), (-F.col("first")).alias("heard_ticks"))
 
 
-def _news(labels: DataFrame, heard: DataFrame) -> DataFrame:
-    """heard facts that say more than the labels, and than other heard ones, of the same or an earlier segment."""
+def _news(labels: DataFrame | None, heard: DataFrame, root: str) -> DataFrame:
+    """heard facts that say more than the labels, and than other heard ones, of the same or an earlier segment.
+
+    What is heard, and the labels that it touches, are read several times and written to root first.
+    """
     pair = F.struct("probe_id", "known_probe").alias("pair")
     most = heard.groupBy("probe_id", "ticks", "known_probe").agg(F.max("known_ticks").alias("known_ticks"))
-    touched = labels.join(most.select("probe_id", "known_probe").distinct(), ["probe_id", "known_probe"], "left_semi")
+    most = written(most, f"{root}/heard")
     none = F.lit(None).cast("long")
-    rows = touched.select(pair, "ticks", (4 * F.col("ticks")).alias("at"), F.col("known_ticks").alias("v"), none.alias("asks"))
-    rows = rows.unionByName(most.select(pair, "ticks", (4 * F.col("ticks") + 1).alias("at"), none.alias("v"), F.col("known_ticks").alias("asks")))
+    rows = most.select(pair, "ticks", (4 * F.col("ticks") + 1).alias("at"), none.alias("v"), F.col("known_ticks").alias("asks"))
     rows = rows.unionByName(most.select(pair, "ticks", (4 * F.col("ticks") + 2).alias("at"), F.col("known_ticks").alias("v"), none.alias("asks")))
+    if labels is not None:
+        touched = written(labels.join(most.select("probe_id", "known_probe").distinct(), ["probe_id", "known_probe"], "left_semi"), f"{root}/touched")
+        rows = rows.unionByName(touched.select(pair, "ticks", (4 * F.col("ticks")).alias("at"), F.col("known_ticks").alias("v"), none.alias("asks")))
     told = running(rows, "pair", "at", F.col("v"), "had", "max").where("asks is not null and (had is null or had < asks)")
     return told.select(F.col("pair.probe_id").alias("probe_id"), "ticks", F.col("pair.known_probe").alias("known_probe"), F.col("asks").alias("known_ticks"))
 
@@ -64,19 +73,21 @@ def causal_index(edges: DataFrame) -> DataFrame:
     root = shared_path(spark, "order")
     edges = written(edges.select("src_probe", "src_ticks", "dst_probe", "dst_ticks").where("src_probe <> dst_probe").dropna().distinct(), f"{root}/edges")
     heard = edges.select(F.col("dst_probe").alias("probe_id"), F.col("dst_ticks").alias("ticks"), F.col("src_probe").alias("known_probe"), F.col("src_ticks").alias("known_ticks"))
-    new = written(_news(heard.limit(0), heard), f"{root}/labels/round=0")
+    pairs = written(hearers(edges), f"{root}/pairs")
+    new = written(_news(None, heard, f"{root}/step0"), f"{root}/labels/round=0")
     n = 0
     while not new.isEmpty():
         n += 1
         labels = spark.read.schema(new.schema).parquet(f"{root}/labels")
-        onward = first_hearers(edges, new).where("hearer <> known_probe")
+        onward = first_hearers(edges, new, pairs).where("hearer <> known_probe")
         heard = onward.select(F.col("hearer").alias("probe_id"), F.col("heard_ticks").alias("ticks"), "known_probe", "known_ticks")
-        new = written(_news(labels, heard), f"{root}/labels/round={n}")
+        new = written(_news(labels, heard, f"{root}/step{n}"), f"{root}/labels/round={n}")
+        drop(spark, f"{root}/step{n - 1}")
     log.info("causal index complete after %d rounds", n)
     # Steps that a later round has made idle go.
     labels = spark.read.schema(new.schema).parquet(f"{root}/labels")
-    index = written(_news(labels.limit(0), labels), f"{root}/index")
-    for name in ("edges", "labels"):
+    index = written(_news(None, labels, f"{root}/last"), f"{root}/index")
+    for name in ("edges", "pairs", "labels", f"step{n}", "last"):
         drop(spark, f"{root}/{name}")
     return index
 
