@@ -29,6 +29,8 @@ from causeway.llm._common import Tables, split_join
 
 #: Words of a repeated run from which its later copies are deleted: every run.
 MIN_WORDS = 1
+#: Rows of a few numbers that one task may join: of no more, none are dealt, as most rounds have few.
+FEW = 1 << 17
 # ASCII white space.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -53,7 +55,7 @@ def lines(docs: DataFrame) -> DataFrame:
 def _intervals(pairs: DataFrame, keys: list[str], total: int) -> DataFrame:
     """(doc_id, pos, name) of the rows whose keys others share; the name is the earliest place."""
     groups = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.min(_at()).alias("earliest")).where("n > 1")
-    return split_join(pairs, groups, keys, "n", total, ["doc_id", "pos"]).select("doc_id", "pos", F.col("earliest").alias("name"))
+    return split_join(pairs, groups, keys, "n", total, ["doc_id", "pos"], FEW).select("doc_id", "pos", F.col("earliest").alias("name"))
 
 
 def repeated_prefixes(rows: DataFrame, tables: Tables) -> tuple[DataFrame | None, DataFrame]:
@@ -62,12 +64,12 @@ def repeated_prefixes(rows: DataFrame, tables: Tables) -> tuple[DataFrame | None
     often = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b", "n")
     shared = split_join(rows, often, ["a", "b"], "n", total, ["doc_id", "pos"])
     again = tables.put(shared.groupBy("doc_id", "pos").agg(F.max(F.struct("a", "b", "at", "words")).alias("s")).select("doc_id", "pos", "s.*"))
-    total = again.count()
-    rounds = [tables.put(_intervals(again, ["a", "b"], total))]
-    while not rounds[-1].isEmpty():
+    rounds, sizes = [tables.put(_intervals(again, ["a", "b"], again.count()))], []
+    while size := rounds[-1].count():
         now, step = rounds[-1], 1 << (len(rounds) - 1)
+        sizes.append(size)
         after = now.select("doc_id", (F.col("pos") - step).alias("pos"), F.col("name").alias("next"))
-        rounds.append(tables.put(_intervals(now.join(after, ["doc_id", "pos"]), ["name", "next"], total)))
+        rounds.append(tables.put(_intervals(now.join(after, ["doc_id", "pos"]), ["name", "next"], size)))
     state = None
     for k in range(len(rounds) - 2, -1, -1):
         step, ranks = 1 << k, rounds[k]
@@ -81,7 +83,8 @@ def repeated_prefixes(rows: DataFrame, tables: Tables) -> tuple[DataFrame | None
         ahead = ranks.select("doc_id", F.col("pos").alias("on"), F.col("name").alias("next"))
         tried = taking.withColumn("on", F.col("pos") + F.col("size")).join(ahead, ["doc_id", "on"]).drop("on")
         least = tried.groupBy("name", "size", "next").agg(F.min(_at()).alias("first"), F.count("*").alias("n"))
-        longer = split_join(tried, least, ["name", "size", "next"], "n", 2 * total, ["doc_id", "pos"]).where(F.col("first") < _at())
+        # All that is in state is in the next longer round's intervals, and no interval has more firsts than members.
+        longer = split_join(tried, least, ["name", "size", "next"], "n", 2 * sizes[k + 1], ["doc_id", "pos"], FEW).where(F.col("first") < _at())
         longer = longer.select("doc_id", "pos", (F.col("size") + step).alias("size"), F.col("first").alias("name"))
         merged = state.unionByName(longer).unionByName(enter)
         # A suffix's longest prefix so far wins; of equal sizes there is one.
