@@ -13,7 +13,8 @@ symbols, bytes of a symbol), alphabet (u32), rules (pairs of u32), expansion len
 
 Texts are dealt by ranges of doc_id and each task writes its files in order; the manifest, which Spark commits, lists the
 files, and attempts that were not committed leave files that no manifest lists. A task holds one block of ids, and one text:
-texts are cut into pieces where the tokenizer's own rule cuts them, and pieces seen before are not encoded again. A
+texts are cut into pieces where the tokenizer's own rule cuts them, and pieces seen before are not encoded again. The
+ids of a batch of texts are put together from its distinct pieces. A
 document's place among all ids comes from running sums over the manifest.
 
 Nulls and odd rows: a null text counts as empty and has the end id alone; rows with a null doc_id come first, rows that
@@ -22,12 +23,14 @@ repeat a doc_id follow each other by a hash of the text, then the text; extra co
 
 from __future__ import annotations
 
+import os
 import posixpath
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +48,8 @@ GAIN = 0.02
 END_ID = 0
 #: Bytes, about, of the pieces that a worker remembers, and what one takes besides its characters.
 CACHE, ENTRY = 256 << 20, 150
+#: New pieces that the library gets as one text: it takes longer over the pieces of longer ones.
+LEARNED = 128
 READ_TASKS = 4096
 #: Symbols that fit 16 bits; ids up to which a table numbers them.
 _FEW, _TABLE = 1 << 16, 1 << 22
@@ -74,7 +79,7 @@ def _round(seq: np.ndarray, first: int, most: int) -> tuple[np.ndarray, np.ndarr
         return none
     # Ranks by a table of hashes; of two pairs with one hash the less frequent waits for another round.
     spread = lambda key: (key ^ key >> np.uint32(15)) * np.uint32(2654435761) >> np.uint32(14)
-    rank_at = np.full(1 << 18, len(keys), np.int64)
+    rank_at = np.full(1 << 18, len(keys), np.uint16)
     rank_at[spread(keys[::-1])] = np.arange(len(keys))[::-1]
     known = np.append(keys, keys[-1])
     starts = np.zeros(first, bool)
@@ -273,53 +278,115 @@ _CUT = re.compile(r" (?=\S)(?<=\S )")
 _tokenizers: dict = {}
 
 
-def _encoder(model: str):
-    """text -> ids, as the library's encode does without special tokens added."""
-    if model not in _tokenizers:
+class _Encoder:
+    """What a worker knows of a tokenizer file: the library's tokenizer, its tokens' sizes, and the ids of pieces seen before."""
+
+    def __init__(self, model: str):
+        # One task has one core: threads that the library wakes for each call would only spin beside it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(model)
-        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-        sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.tokenizer = Tokenizer.from_file(model)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
-            sizes[i] = len(token)  # one character a byte
-        _tokenizers[model] = (tokenizer, sizes, {}, [0])
-    tokenizer, sizes, known, held = _tokenizers[model]
-
-    def ids_of(text: str) -> np.ndarray:
-        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def learn(pieces: list[str]) -> None:
-        """Encodes pieces, with the space before each, as one text and tells from the tokens' bytes where each one ends."""
-        ids = ids_of(" " + " ".join(pieces))
-        ends = np.cumsum([len(p) + 1 if p.isascii() else len(p.encode()) + 1 for p in pieces])
-        at = 4 * np.searchsorted(np.cumsum(sizes[ids]), ends, "left") + 4
-        raw, start = ids.tobytes(), 0
-        for p, end in zip(pieces, at.tolist(), strict=True):
-            known[p] = raw[start:end]
-            start = end
-        held[0] += ENTRY * len(pieces) + int(ends[-1])
-
-    def encode(text: str) -> np.ndarray:
+            self.sizes[i] = len(token)  # one character a byte
+        self.known, self.held = {}, 0
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        return np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces, with the space before each, and tells from the tokens' bytes where each one ends."""
+        for at in range(0, len(pieces), 65536):
+            some = pieces[at : at + 65536]
+            ids = self._ids([" " + " ".join(some[i : i + LEARNED]) for i in range(0, len(some), LEARNED)])
+            ends = np.cumsum([len(p) + 1 if p.isascii() else len(p.encode()) + 1 for p in some])
+            cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 4).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+            self.held += ENTRY * len(some) + int(ends[-1])
+
+    def _make_room(self) -> None:
+        if self.held > CACHE:
+            self.known.clear()
+            self.held = 0
+
+    def _first(self, piece: str) -> bytes:
+        """What a text begins with has no space before it; the mark keeps it apart from such pieces."""
+        if (start := self.known.get((piece,))) is None:
+            start = self.known[(piece,)] = self._ids([piece]).tobytes()
+            self.held += ENTRY + len(piece) + len(start)
+        return start
+
+    def __call__(self, text: str) -> np.ndarray:
+        """The ids of a text, as the library's encode gives them without special tokens added."""
         if not text:
             return np.zeros(0, np.uint32)
         first, *pieces = _CUT.split(text)
-        parts = list(map(known.get, pieces))
+        parts = list(map(self.known.get, pieces))
         if None in parts:
-            if held[0] > CACHE:
-                known.clear()
-                held[0] = 0
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            for at in range(0, len(new), 65536):
-                learn(new[at : at + 65536])
-            parts = [known[p] if x is None else x for p, x in zip(pieces, parts, strict=True)]
-        # What a text begins with has no space before it; the mark keeps it apart from such pieces.
-        if (start := known.get((first,))) is None:
-            start = known[(first,)] = ids_of(first).tobytes()
-            held[0] += ENTRY + len(first) + len(start)
-        return np.frombuffer(start + b"".join(parts), "<u4")
-
-    return encode
+            self._make_room()
+            self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
+            parts = list(map(self.known.__getitem__, pieces))
+        return np.frombuffer(self._first(first) + b"".join(parts), "<u4")
+
+    def rows(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+        """The ids of each text with the end id behind them.
+
+        All texts are cut at every space at once, and each distinct piece of them is looked up once. A text in which other
+        white space, or another space, lies next to a space is cut and encoded by itself.
+        """
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        cut = pc.split_pattern(texts, " ")
+        begins = np.concatenate(([0], np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False))))[:-1]
+        flat = cut.flatten().dictionary_encode()
+        piece, words = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = np.array([not p or p[0].isspace() for p in words], bool)[piece]
+        tails = np.array([not p or p[-1].isspace() for p in words], bool)[piece]
+        heads[begins] = False
+        bad = np.concatenate(([False], tails[:-1]))
+        bad[begins] = False
+        bad |= heads
+        odd = np.logical_or.reduceat(bad, begins)
+        # Of odd texts the first piece stands for all, the others for nothing; number len(words) is nothing.
+        if odd.any():
+            piece[np.repeat(odd, np.diff(np.append(begins, len(piece))))] = len(words)
+        firsts = piece[begins].tolist()
+        piece[begins] = len(words)
+        asked = np.flatnonzero(np.bincount(piece, minlength=len(words) + 1)[:-1]).tolist()
+        self._make_room()
+        parts = [b""] * (len(words) + 1)
+        new = []
+        for i, ids in zip(asked, map(self.known.get, map(words.__getitem__, asked)), strict=True):
+            if ids is None:
+                new.append(i)
+            else:
+                parts[i] = ids
+        self._learn([words[i] for i in new])
+        for i in new:
+            parts[i] = self.known[words[i]]
+        for i, n in enumerate(firsts):
+            parts.append(self(texts[i].as_py()).tobytes() if odd[i] else self._first(words[n]) if words[n] else b"")
+        piece[begins] = len(words) + 1 + np.arange(len(begins))
+        sizes = np.array(list(map(len, parts)), np.int64) // 4
+        every, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        here = sizes[piece]
+        upto = np.cumsum(here)
+        ids = np.repeat(starts[piece] - upto + here, here)
+        ids += np.arange(len(ids))
+        ids = every[ids]
+        stops = upto[np.append(begins[1:], len(piece)) - 1].tolist()
+        end = np.array([end_id], np.uint32)
+        return [np.concatenate([ids[a:b], end]) for a, b in zip([0, *stops], stops, strict=False)]
+
+
+def _encoder(model: str) -> _Encoder:
+    if model not in _tokenizers:
+        _tokenizers[model] = _Encoder(model)
+    return _tokenizers[model]
 
 
 def write(docs: DataFrame, folder: str, model: str, end_id: int = END_ID) -> DataFrame:
@@ -332,7 +399,7 @@ def write(docs: DataFrame, folder: str, model: str, end_id: int = END_ID) -> Dat
 
     def run(source):
         task = TaskContext.get()
-        encode, end = _encoder(model), np.array([end_id], np.uint32)
+        encoder = _encoder(model)
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
         file, nth = None, 0
@@ -342,10 +409,10 @@ def write(docs: DataFrame, folder: str, model: str, end_id: int = END_ID) -> Dat
             return pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int64()), "nth": pa.array([nth], pa.int64()), "path": [f"{folder}/{name}"], "docs": [len(file.docs)], "ids": [file.n_ids], "bytes": [file.close()]})
 
         for b in batches(source):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.rows(b.column(1), end_id), strict=True):
                 if file is None:
                     file = Writer(f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{nth:04d}.repair")
-                file.add(doc, np.concatenate([encode(text or ""), end]))
+                file.add(doc, ids)
                 if file.n_ids >= FILE_IDS:
                     yield closed()
                     file, nth = None, nth + 1

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -42,6 +43,38 @@ def test_the_encoder_is_the_library(library):
         assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_rows_at_once_are_the_library(library, monkeypatch):
+    rnd = random.Random(4)
+    alphabet = list("ab '\n\t.,!12²é́  \x1c\x85中\U0001f389'sS  ") + ["<|endoftext|>", " x", " y", "don't", " a", " b", " word"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(30))) for _ in range(3000)] + ["x\n", "y x\n z", None, "", " ", "a", "a b", " a", "a "]
+    for cache in (token_store.CACHE, 0):
+        monkeypatch.setattr(token_store, "CACHE", cache)
+        encoder = token_store._Encoder(byte_model())
+        for at in range(0, len(texts), 700):
+            some = texts[at : at + 700]
+            got = encoder.rows(pa.array(some, pa.string()), 7)
+            assert [g.tolist() for g in got] == [[*library.encode(t or "", add_special_tokens=False).ids, 7] for t in some]
+    assert encoder.rows(pa.array([], pa.string()), 7) == []
+
+
+def test_a_batch_looks_each_distinct_piece_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    encoder = token_store._Encoder(byte_model())
+    encoder.known = Counted()
+    encoder.rows(pa.array(["and the one of the others, " * 100 + "end"] * 50, pa.string()), 0)
+    assert 0 < Counted.asked < 100
+
+
 def test_the_query_equals_the_library(spark, library):
     docs = sorted(tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in op13_repair_store(spark, SF).collect()}
