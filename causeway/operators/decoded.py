@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import words as W
+from causeway.operators.tables import shared_path, written
 from causeway.operators.timeline import previous, running
 
 #: Written at the head of a report or in place of its log; they are no part of the log and count as no event.
@@ -53,6 +54,8 @@ def timeline(reports: DataFrame, entries: DataFrame) -> DataFrame:
     # Reports without entries hold a place in the sequence.
     ends = reports.select("probe_id", "seq_num", start.alias("_start")).join(ends, ["probe_id", "seq_num"], "left")
     ends = ends.select("probe_id", "seq_num", "_start", F.coalesce("s._n", F.lit(0)).alias("_all"), F.col("s._clock").alias("_last"), (F.col("s._n") - F.col("s._base")).alias("_tail"), F.coalesce("missed", F.lit(False)).alias("missed"), F.coalesce("s.told", F.lit(False)).alias("told"), "first")
+    # One row a report: each running value below reads it twice, and without this the windows over all entries as often.
+    ends = written(ends, shared_path(ends.sparkSession, "ends"))
     ends = previous(ends, "probe_id", "seq_num", F.struct("seq_num", "told", "_last"), "_prior")
     adjoins = F.coalesce(F.col("_prior.seq_num"), F.lit(-1).cast("long")) == F.col("seq_num") - 1
     ends = ends.withColumn("_lost", ~adjoins | F.col("missed"))

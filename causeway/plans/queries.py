@@ -236,7 +236,8 @@ def decoded_interactions(spark, sf_dir):
 
 def decoded_timeline(spark, sf_dir):
     """Segments and event counts from bytes alone, after every third report of each probe has been lost."""
-    whole = _written(spark, wire.with_payload(wire.with_header(S.reports(T.segments(S.script(spark, sf_dir)), SHORT_SPAN, True))).where("(seq_num + probe_id) % 3 <> 0").select("probe_id", "seq_num", "frontier", "words"))
+    rows = _written(spark, T.segments(S.script(spark, sf_dir)))
+    whole = _written(spark, wire.with_payload(wire.with_header(S.reports(rows, SHORT_SPAN, True))).where("(seq_num + probe_id) % 3 <> 0").select("probe_id", "seq_num", "frontier", "words"))
     rows = D.timeline(whole, _written(spark, E.parse(whole.select("probe_id", "seq_num", "words"), ["probe_id", "seq_num"])))
     return rows.select("probe_id", "seq_num", "kind", "event_id", "payload_raw", "clock_probe_id", "clock_word", "time_ns", "clock_at", "event_count")
 
@@ -292,7 +293,7 @@ def _clocked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     late = F.when(F.col("probe_id") % 5 == 0, F.col("time_ns") - 432000 * 10**9).otherwise(F.col("time_ns"))
     rows = _written(spark, S.script(spark, sf_dir).withColumn("time_ns", late))
     clock = F.call_function("div", F.col("probe_id"), F.lit(2).cast("long")) % 4
-    whole = S.reports(T.segments(rows), fields={"wall_clock_id": clock, "time_resolution": F.col("probe_id") % 3 * 1000})
+    whole = S.reports(_written(spark, T.segments(rows)), fields={"wall_clock_id": clock, "time_resolution": F.col("probe_id") % 3 * 1000})
     return _written(spark, wire.with_payload(wire.with_header(whole)).drop("content")), rows
 
 
