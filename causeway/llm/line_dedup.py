@@ -29,7 +29,7 @@ from causeway.llm._common import Tables, split_join
 
 #: Words of a repeated run from which its later copies are deleted: every run.
 MIN_WORDS = 1
-#: Rows of a few numbers that one task may join: of no more, none are dealt, as most rounds have few.
+#: Rows of a few numbers of one key that one task may join: where no key can have more, none are dealt, whatever the rows in all.
 FEW = 1 << 17
 # ASCII white space.
 SPACE = " \t\n\x0b\x0c\r"
@@ -52,10 +52,21 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", F.col("s.at").alias("at"), words.alias("words"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def _intervals(pairs: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """(doc_id, pos, name) of the rows whose keys others share; the name is the earliest place."""
+def _few(total: int, most: int) -> int:
+    """For `split_join`, the rows in all up to which none are dealt: any number where no key has more than FEW rows."""
+    return total if most <= FEW else FEW
+
+
+def _intervals(pairs: DataFrame, keys: list[str], total: int, most: int | None = None) -> DataFrame:
+    """(doc_id, pos, name) of the rows whose keys others share; the name is the earliest place. most bounds the rows of a key."""
     groups = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.min(_at()).alias("earliest")).where("n > 1")
-    return split_join(pairs, groups, keys, "n", total, ["doc_id", "pos"], FEW).select("doc_id", "pos", F.col("earliest").alias("name"))
+    few = _few(total, total if most is None else most)
+    return split_join(pairs, groups, keys, "n", total, ["doc_id", "pos"], few).select("doc_id", "pos", F.col("earliest").alias("name"))
+
+
+def _largest(rows: DataFrame, *keys: str) -> int:
+    """Rows of the key that has most."""
+    return rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
 def repeated_prefixes(rows: DataFrame, tables: Tables) -> tuple[DataFrame | None, DataFrame]:
@@ -64,12 +75,16 @@ def repeated_prefixes(rows: DataFrame, tables: Tables) -> tuple[DataFrame | None
     often = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b", "n")
     shared = split_join(rows, often, ["a", "b"], "n", total, ["doc_id", "pos"])
     again = tables.put(shared.groupBy("doc_id", "pos").agg(F.max(F.struct("a", "b", "at", "words")).alias("s")).select("doc_id", "pos", "s.*"))
-    rounds, sizes = [tables.put(_intervals(again, ["a", "b"], again.count()))], []
+    most = _largest(again, "a", "b")
+    rounds, sizes, mosts = [tables.put(_intervals(again, ["a", "b"], again.count(), most))], [], []
     while size := rounds[-1].count():
         now, step = rounds[-1], 1 << (len(rounds) - 1)
+        # Intervals only split: one that is small enough for a task stays so.
+        most = _largest(now, "name") if most > FEW and sizes else most
         sizes.append(size)
+        mosts.append(most)
         after = now.select("doc_id", (F.col("pos") - step).alias("pos"), F.col("name").alias("next"))
-        rounds.append(tables.put(_intervals(now.join(after, ["doc_id", "pos"]), ["name", "next"], size)))
+        rounds.append(tables.put(_intervals(now.join(after, ["doc_id", "pos"]), ["name", "next"], size, most)))
     state = None
     for k in range(len(rounds) - 2, -1, -1):
         step, ranks = 1 << k, rounds[k]
@@ -84,7 +99,8 @@ def repeated_prefixes(rows: DataFrame, tables: Tables) -> tuple[DataFrame | None
         tried = taking.withColumn("on", F.col("pos") + F.col("size")).join(ahead, ["doc_id", "on"]).drop("on")
         least = tried.groupBy("name", "size", "next").agg(F.min(_at()).alias("first"), F.count("*").alias("n"))
         # All that is in state is in the next longer round's intervals, and no interval has more firsts than members.
-        longer = split_join(tried, least, ["name", "size", "next"], "n", 2 * sizes[k + 1], ["doc_id", "pos"], FEW).where(F.col("first") < _at())
+        total = 2 * sizes[k + 1]
+        longer = split_join(tried, least, ["name", "size", "next"], "n", total, ["doc_id", "pos"], _few(total, 2 * mosts[k + 1])).where(F.col("first") < _at())
         longer = longer.select("doc_id", "pos", (F.col("size") + step).alias("size"), F.col("first").alias("name"))
         merged = state.unionByName(longer).unionByName(enter)
         # A suffix's longest prefix so far wins; of equal sizes there is one.
