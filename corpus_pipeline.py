@@ -26,16 +26,16 @@ def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_dedup.keep_one(docs)
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage; before near copies are looked for, so that none of these stands for clean ones."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of what fingerprints leave, one document of each group of near copies by whole sets of shingles: that with the smallest doc_id."""
     return near_copies.keep_one(docs)
 
 
-def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and the byte ends of their spans."""
     return sentencepiece_codec.encode(docs, piece_model()).select("doc_id", "ids", "ends")
@@ -45,8 +45,8 @@ STAGES = [
     ("quality_classifier", good),
     ("line_dedup", fresh_lines),
     ("simhash_dedup", apart),
-    ("near_copies", distinct),
     ("decontamination", clean),
+    ("near_copies", distinct),
     ("sentencepiece", encoded),
 ]
 
