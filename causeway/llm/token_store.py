@@ -13,8 +13,8 @@ symbols, bytes of a symbol), alphabet (u32), rules (pairs of u32), expansion len
 
 Texts are dealt by ranges of doc_id and each task writes its files in order; the manifest, which Spark commits, lists the
 files, and attempts that were not committed leave files that no manifest lists. A task holds one block of ids, and one text:
-texts are cut into pieces where the tokenizer's own rule cuts them, and pieces seen before are not encoded again. The
-ids of a batch of texts are put together from its distinct pieces. A
+texts are cut into pieces where the tokenizer's own rule cuts them, and pieces seen before are not encoded again; a new word
+with marks behind it is put together from both. The ids of a batch of texts are put together from its distinct pieces. A
 document's place among all ids comes from running sums over the manifest.
 
 Nulls and odd rows: a null text counts as empty and has the end id alone; rows with a null doc_id come first, rows that
@@ -23,6 +23,7 @@ repeat a doc_id follow each other by a hash of the text, then the text; extra co
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import re
@@ -275,9 +276,29 @@ class Reader:
 #: A space between two characters that are not white space begins a piece: no token of a byte-level tokenizer reaches
 #: across it, and what stands before and after it has no part in how a piece is cut further.
 _CUT = re.compile(r" (?=\S)(?<=\S )")
+#: ASCII that is no letter, digit or white space; the first character beyond the Latin blocks.
+_MARKS, _BEYOND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250"
 _tokenizers: dict = {}
 
 
+def _byte_names() -> dict[int, str]:
+    """The characters by which byte-level tokenizers name the bytes that do not stand for themselves."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in own)}
+
+
+def _cuts_plainly(tokenizer) -> bool:
+    """Whether the tokenizer cuts by the byte-level rule alone, merges each run by itself, and has no added token in words with marks behind."""
+    from tokenizers import models
+
+    model, rule = tokenizer.model, tokenizer.pre_tokenizer and json.loads(tokenizer.pre_tokenizer.__getstate__())
+    by_rule = isinstance(rule, dict) and rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space")
+    merges = isinstance(model, models.BPE) and not (model.dropout or model.unk_token or model.continuing_subword_prefix or model.end_of_word_suffix)
+    whole = tokenizer.normalizer is None and tokenizer.truncation is None and tokenizer.padding is None
+    inside = lambda x: any(a in _MARKS and b.isalpha() for a, b in zip(x, x[1:], strict=False))
+    return bool(by_rule and merges and whole) and all(inside(t.content) and not t.normalized for t in tokenizer.get_added_tokens_decoder().values())
+
+
 class _Encoder:
     """What a worker knows of a tokenizer file: the library's tokenizer, its tokens' sizes, and the ids of pieces seen before."""
 
@@ -291,12 +312,53 @@ class _Encoder:
         self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)  # one character a byte
-        self.known, self.held = {}, 0
+        self.plain, self.names = _cuts_plainly(self.tokenizer), _byte_names()
+        self.known, self.marks, self.held = {}, {}, 0
 
     def _ids(self, texts: list[str]) -> np.ndarray:
         return np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
 
+    def _merge(self, known: dict, runs: list[str], before: str) -> None:
+        """Encodes runs that the tokenizer's rule keeps whole, with the named bytes before each."""
+        merge, names, ids, ends = self.tokenizer.model.tokenize, self.names, [], []
+        for run in runs:
+            # ASCII that is no white space stands for itself.
+            ids += [t.id for t in merge(before + (run if run.isascii() else run.encode().decode("latin-1").translate(names)))]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        known.update(zip(runs, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+        self.held += ENTRY * len(runs) + len(raw)
+
     def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces, with the space before each.
+
+        The byte-level rule keeps Latin letters whole, and the marks behind them: such pieces are put together from both, of
+        which most are known. Other pieces the library gets as texts.
+        """
+        if not self.plain:
+            self._learn_whole(pieces)
+            return
+        known, marks = self.known, self.marks
+        alone, whole, made, words, tails = [], [], [], [], []
+        for p in pieces:
+            word = p.rstrip(_MARKS)
+            if not word.isalpha() or not (word.isascii() or max(word) < _BEYOND):
+                whole.append(p)
+            elif len(word) == len(p):
+                alone.append(p)
+            else:
+                made.append(p)
+                words.append(word)
+                tails.append(p[len(word) :])
+        self._merge(known, alone, self.names[32])
+        self._merge(known, [w for w in dict.fromkeys(words) if w not in known], self.names[32])
+        self._merge(marks, [t for t in dict.fromkeys(tails) if t not in marks], "")
+        for p, word, tail in zip(made, words, tails, strict=True):
+            known[p] = known[word] + marks[tail]
+            self.held += ENTRY + 5 * len(p)
+        self._learn_whole(whole)
+
+    def _learn_whole(self, pieces: list[str]) -> None:
         """Encodes pieces, with the space before each, and tells from the tokens' bytes where each one ends."""
         for at in range(0, len(pieces), 65536):
             some = pieces[at : at + 65536]
@@ -310,6 +372,7 @@ class _Encoder:
     def _make_room(self) -> None:
         if self.held > CACHE:
             self.known.clear()
+            self.marks.clear()
             self.held = 0
 
     def _first(self, piece: str) -> bytes:
