@@ -191,7 +191,7 @@ def payload_typed(spark, sf_dir):
     # All exponents; every eleventh is that of infinity, every other of these without a fraction.
     high = word.bitwiseOR(F.lit(0x7F800000).cast("long"))
     raw = F.when(F.col("event_id") % 22 == 0, high.bitwiseAND(F.lit(0xFF800000).cast("long"))).when(F.col("event_id") % 11 == 0, high).otherwise(word)
-    kinds = ("i8", "u8", "i16", "u16", "i32", "u32", "f32", "bool")
+    kinds = ("i8", "u8", "i16", "u16", "i32", "u32", "bool", "f32")
     return _events(spark, sf_dir).select("event_id", *(W.payload(raw, k).alias(k) for k in kinds))
 
 
