@@ -22,7 +22,7 @@ from causeway.functions import words as W
 from causeway.operators.decoded import OUTSIDE
 from causeway.operators.entries import FIELDS, entries_of
 from causeway.operators.scan import supersede
-from causeway.streaming.reader import _NONE, Kept, Timed, bucket_of, with_rocksdb
+from causeway.streaming.reader import _NONE, Kept, Pieces, Timed, bucket_of, with_rocksdb
 
 _EVENTS = {code: name for name, code in W.INTERNAL_EVENTS.items()}
 TIMELINE = f"probe_id long, seq_num long, entry_idx int, {FIELDS}, clock_at long, event_count long, meaning string"
@@ -92,19 +92,20 @@ class LiveTimeline(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.places = Kept(handle, "place", "probe long", "seq long, told boolean, last long, known boolean, n long, waiting array<struct<seq:long,deadline:long>>")
-        self.early = handle.getMapState("early", "probe long, seq long", "own long, words array<long>")
+        self.places = Kept(handle, "place", "probe long", "seq long, told boolean, last long, known boolean, n long, waiting array<struct<seq:long,deadline:long,own:long,n:int,piece:long,offset:int>>")
+        self.early = Pieces(handle, "early")
         self.timed = Timed(handle)
 
     def _open(self) -> None:
-        #: Of each probe: its state, a heap of the numbers that wait, and their deadlines.
+        #: Of each probe: its state, a heap of the numbers that wait, and their deadlines, own clocks, sizes and places.
         self.states: dict[int, list] = {}
         self.rows: list[tuple] = []
         self.places.open()
+        self.early.open()
 
     def _load(self, probes: Iterable[int]) -> None:
         for (probe,), row in self.places.get((p,) for p in probes):
-            known = {int(w[0]): int(w[1]) for w in row[5]} if row is not None else {}
+            known = {w[0]: w[1:] for w in row[5]} if row is not None else {}
             starts = list(known)
             heapify(starts)
             self.states[probe] = [tuple(row[:5]) if row is not None else START, starts, known]
@@ -120,21 +121,20 @@ class LiveTimeline(StatefulProcessor):
 
     def _go(self, probe: int, state: list, upto: int | None) -> Iterator[pd.DataFrame]:
         seqs, known = state[1], state[2]
-        due = max((seq for seq, deadline in known.items() if deadline <= upto), default=-1) if upto is not None else -1
+        due = max((seq for seq, (deadline, *_) in known.items() if deadline <= upto), default=-1) if upto is not None else -1
         while seqs and (seqs[0] <= state[0][0] + 1 or seqs[0] <= due):
             seq = heappop(seqs)
-            del known[seq]
-            own, words = self.early.getValue((probe, seq))
-            self.early.removeKey((probe, seq))
-            self._place(probe, state, seq, own, list(words))
+            _, own, n, piece, offset = known.pop(seq)
+            self._place(probe, state, seq, own, self.early.take(piece, offset, n).tolist())
             yield from self._flush(PENDING_ROWS)
 
     def _save(self, waited: Iterable[int]) -> None:
         for probe, (state, _, known) in self.states.items():
-            self.places.put((probe,), (*state, sorted(known.items())))
+            self.places.put((probe,), (*state, [(seq, *known[seq]) for seq in sorted(known)]))
         self.places.close()
+        self.early.close()
         if self.wait_ms is not None:
-            self.timed.set({p: min(self.states[p][2].values(), default=_NONE) for p in waited})
+            self.timed.set({p: min((d for d, *_ in self.states[p][2].values()), default=_NONE) for p in waited})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         self._open()
@@ -149,16 +149,15 @@ class LiveTimeline(StatefulProcessor):
                 state = self.states[probe]
                 if seq <= state[0][0] or seq in state[2]:
                     continue  # come before, or too late
-                words = np.asarray(words, np.int64).tolist()
+                words = np.asarray(words, np.int64)
                 if seq == state[0][0] + 1:
-                    self._place(probe, state, seq, own, words)
+                    self._place(probe, state, seq, own, words.tolist())
                     if state[1]:
                         yield from self._go(probe, state, None)
                     yield from self._flush(PENDING_ROWS)
                     continue
-                self.early.updateValue((probe, seq), (own, words))
                 heappush(state[1], seq)
-                state[2][seq] = deadline
+                state[2][seq] = (deadline, own, len(words), *self.early.put(words))
                 waited.add(probe)
                 timers.add(deadline)
             yield from self._flush()

@@ -3,17 +3,20 @@
 A chunk (probe_id, start, words) carries the words from position start on. Chunks of a probe may overlap what was read
 (it is skipped) or leave a gap: the gap's words, and those of an entry that was begun before it, are missed.
 
-State lives in RocksDB, a probe's in two rows and more: how far it has been read, with the words of an entry that is not whole
-yet and the starts of the chunks that wait; those chunks, one row each; and the first deadline among them. A chunk that closes
-a gap lets the waiting ones go on, and a gap counts as lost only when the timer of the chunk behind it runs out.
-
-A call of a processor has a price, and so has each tiny frame. Probes are therefore dealt over BUCKETS keys, whose state has a
-row for each probe, and what a micro-batch's frame brings for all probes of a bucket is parsed at once. Early chunks go into the
-state one by one and leave it in parts of PENDING words, so that a probe with very many of them needs no more memory.
+State lives in RocksDB: how far a probe has been read, with the words of an entry that is not whole yet and the starts of the
+chunks that wait; those chunks; and the first deadline among them. A chunk that closes a gap lets the waiting ones go on, and a
+gap counts as lost only when the timer of the chunk behind it runs out.
+
+A call of a processor has a price, so have each tiny frame and each call of the state. Probes are therefore dealt over BUCKETS
+keys, whose state has pages with the rows of many probes, and what a micro-batch's frame brings for all probes of a bucket is
+parsed at once. Early chunks go into the state in pieces of PIECE words and are parsed in parts of PENDING words, so that a probe
+with very many of them needs no more memory.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -32,6 +35,9 @@ _KINDS = ["Int64", "Int64", "Int64", "Int32", "object", *["Int64"] * 5]
 _NONE = 1 << 62
 #: Keys of the state, each with the rows of many probes; fixed for the life of a stream. Words that are parsed at once.
 BUCKETS, PENDING = 1024, 1 << 20
+#: Rows of a page of a bucket's map at most, on average; fixed as well. Words of a piece, and of the pieces in memory.
+PAGE, PIECE, HELD = 256, 1 << 16, 1 << 21
+_64 = (1 << 64) - 1
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -60,66 +66,184 @@ def bucket_of(probe: Column | str) -> Column:
 
 
 class Kept:
-    """Rows of a bucket's map state: looked up one by one, or all in one go where a frame asks for a good part of them."""
+    """Rows of a bucket's map, in pages by a hash of their keys: a call brings or puts a page of about PAGE rows, not one row.
+
+    The number of pages follows that of the rows, which are never removed, and pages are split one by one: a bucket of very many
+    rows is neither read nor written whole.
+    """
 
     def __init__(self, handle: StatefulProcessorHandle, name: str, key: str, value: str):
-        self.map, self.count = handle.getMapState(name, key, value), handle.getValueState(f"n_{name}", "n long")
+        self.map, self.count = handle.getMapState(name, "page long", "rows binary"), handle.getValueState(f"n_{name}", "n long")
+        self.form = f"{key}: {value}"
+
+    @staticmethod
+    def pages_of(n: int) -> int:
+        return 1 << (n // PAGE).bit_length()
+
+    @staticmethod
+    def hash_of(key: tuple) -> int:
+        h = 0
+        for x in key:
+            h = (h ^ (x & _64)) * 0x9E3779B97F4A7C15 & _64
+            h ^= h >> 32
+        return h
 
     def open(self) -> None:
-        self.n = self.had = self.count.get()[0] if self.count.exists() else 0
+        row = self.count.get()
+        self.n = self.had = row[0] if row else 0
         self.asked: set[tuple] = set()
-        self.there: set[tuple] = set()
+        self.pages: dict[int, dict[tuple, tuple]] = {}
+        self.changed: set[int] = set()
+        self.mask = self.pages_of(self.had) - 1
+
+    def _page(self, number: int) -> dict[tuple, tuple]:
+        rows = self.pages.get(number)
+        if rows is None:
+            rows = self.pages[number] = self._read(number) if self.had else {}
+        return rows
+
+    def _read(self, number: int) -> dict[tuple, tuple]:
+        form, rows = pickle.loads(self.map.getValue((number,))[0])
+        if form != self.form:
+            raise ValueError(f"the state holds {form}, not {self.form}")
+        return rows
+
+    def _write(self, number: int, rows: dict[tuple, tuple]) -> None:
+        self.map.updateValue((number,), (pickle.dumps((self.form, rows), 5),))
 
     def get(self, keys: Iterable[tuple]) -> Iterator[tuple[tuple, tuple | None]]:
         """(key, row or None) of the keys that have not been asked for since `open`."""
         new = set(keys) - self.asked
         self.asked |= new
-        if 4 * len(new) >= self.had:
-            found = {tuple(k): v for k, v in self.map.iterator() if tuple(k) in new} if self.had and new else {}
-        else:
-            found = {k: v for k in new if (v := self.map.getValue(k) if self.map.containsKey(k) else None) is not None}
-        self.there |= found.keys()
         for k in new:
-            yield k, found.get(k)
+            yield k, self._page(self.hash_of(k) & self.mask).get(k)
 
     def put(self, key: tuple, row: tuple) -> None:
         """key has been asked for."""
-        if key not in self.there:
-            self.there.add(key)
-            self.n += 1
-        self.map.updateValue(key, row)
+        number = self.hash_of(key) & self.mask
+        rows = self._page(number)
+        self.n += key not in rows
+        rows[key] = row
+        self.changed.add(number)
 
     def close(self) -> None:
+        pages = self.pages_of(self.n)
+        if pages == self.mask + 1:
+            for number in self.changed:
+                self._write(number, self.pages[number])
+        else:
+            for number in range(self.mask + 1):
+                rows = self.pages.pop(number, None)
+                if rows is None:
+                    rows = self._read(number) if self.had else {}
+                parts: dict[int, dict] = {at: {} for at in range(number, pages, self.mask + 1)}
+                for k, row in rows.items():
+                    parts[self.hash_of(k) & (pages - 1)][k] = row
+                for at, part in parts.items():
+                    self._write(at, part)
         if self.n != self.had:
             self.count.update((self.n,))
 
 
+class Pieces:
+    """Words that wait, in pieces of about PIECE of them as they came: a call brings or puts a piece, not one chunk. A piece goes
+    when none of its chunks waits any more; about HELD words of pieces are in memory."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str):
+        self.map, self.index = handle.getMapState(name, "piece long", "words binary"), handle.getValueState(f"n_{name}", "waiting binary")
+
+    def open(self) -> None:
+        row = self.index.get()
+        #: Chunks of each piece that wait.
+        self.waiting: dict[int, int] = pickle.loads(row[0]) if row else {}
+        self.read: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.n_read = 0
+        self.changed = False
+        self._begin()
+
+    def _begin(self) -> None:
+        self.piece, self.parts, self.offsets, self.size = max(self.waiting, default=-1) + 1, [], {}, 0
+
+    def put(self, words: np.ndarray) -> tuple[int, int]:
+        """Where the words of a chunk wait: (piece, offset)."""
+        at = (self.piece, self.size)
+        self.offsets[self.size] = len(self.parts)
+        self.parts.append(words)
+        self.size += max(len(words), 1)  # a chunk of no words has a place, too
+        self.waiting[self.piece] = self.waiting.get(self.piece, 0) + 1
+        self.changed = True
+        if self.size >= PIECE:
+            self._write()
+        return at
+
+    def _write(self) -> None:
+        if self.piece in self.waiting:
+            words = np.concatenate([np.asarray(p, np.int64) if len(p) else np.zeros(1, np.int64) for p in self.parts])
+            self.map.updateValue((self.piece,), (words.tobytes(),))
+        self._begin()
+
+    def drop(self, piece: int) -> None:
+        """One chunk of the piece waits no more."""
+        self.changed = True
+        self.waiting[piece] -= 1
+        if not self.waiting[piece]:
+            del self.waiting[piece]
+            if piece == self.piece:
+                self._begin()
+            else:
+                self.n_read -= len(self.read.pop(piece, ()))
+                self.map.removeKey((piece,))
+
+    def take(self, piece: int, offset: int, n: int) -> np.ndarray:
+        if piece == self.piece:
+            words = self.parts[self.offsets[offset]]
+        else:
+            if piece not in self.read:
+                self.read[piece] = np.frombuffer(self.map.getValue((piece,))[0], np.int64)
+                self.n_read += len(self.read[piece])
+                while self.n_read > HELD and len(self.read) > 1:
+                    self.n_read -= len(self.read.popitem(last=False)[1])
+            self.read.move_to_end(piece)
+            # A copy: what is left of a piece in memory must not hang on a few words of it.
+            words = self.read[piece][offset : offset + n].copy()
+        self.drop(piece)
+        return words
+
+    def close(self) -> None:
+        if self.parts:
+            self._write()
+        if self.changed:
+            self.index.update((pickle.dumps(self.waiting, 5),)) if self.waiting else self.index.clear()
+
+
 class Timed:
-    """The first deadline of each probe that waits, and of a bucket: timers beyond the first that finds work are a lookup."""
+    """The first deadline of each probe of a bucket that waits, all in one row, and the least of them: timers beyond the first
+    that finds work are a lookup."""
 
     def __init__(self, handle: StatefulProcessorHandle):
-        self.handle = handle
-        self.waits, self.least = handle.getMapState("waits", "probe long", "deadline long"), handle.getValueState("least", "deadline long")
+        self.waits, self.least = handle.getValueState("waits", "deadlines binary"), handle.getValueState("least", "deadline long")
+
+    def _every(self) -> dict[int, int]:
+        row = self.waits.get()
+        return dict(np.frombuffer(row[0], np.int64).reshape(-1, 2).tolist()) if row else {}
 
     def set(self, deadlines: dict[int, int]) -> None:
         """Of each probe that waits, its first deadline; of the bucket, what comes first."""
-        for probe, deadline in deadlines.items():
-            if deadline < _NONE:
-                self.waits.updateValue((probe,), (deadline,))
-            elif self.waits.containsKey((probe,)):
-                self.waits.removeKey((probe,))
-        first = min(deadlines.values(), default=_NONE)
-        if first < _NONE and not (self.least.exists() and self.least.get()[0] <= first):
-            self.least.update((first,))
+        if not deadlines:
+            return
+        every = self._every() | deadlines
+        every = {probe: deadline for probe, deadline in every.items() if deadline < _NONE}
+        if every:
+            self.waits.update((np.array(list(every.items()), np.int64).tobytes(),))
+            self.least.update((min(every.values()),))
+        else:
+            self.waits.clear()
+            self.least.clear()
 
     def due(self, upto: int) -> list[int]:
-        """Probes whose first deadline has passed."""
-        if not self.least.exists() or self.least.get()[0] > upto:
-            return []
-        every = [(k[0], v[0]) for k, v in self.waits.iterator()]
-        rest = min((deadline for _, deadline in every if deadline > upto), default=None)
-        self.least.clear() if rest is None else self.least.update((rest,))
-        return [probe for probe, deadline in every if deadline <= upto]
+        """Probes whose first deadline has passed; `set` tells what becomes of them."""
+        least = self.least.get()
+        return [probe for probe, deadline in self._every().items() if deadline <= upto] if least and least[0] <= upto else []
 
 
 def _nullable(c: pa.Array, kind: str) -> pd.api.extensions.ExtensionArray | np.ndarray:
@@ -171,27 +295,28 @@ class EntryReader(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.places = Kept(handle, "place", "probe long", "at long, held array<long>, waiting array<struct<start:long,deadline:long,n:int>>")
-        self.early = handle.getMapState("early", "probe long, start long", "words array<long>")
+        self.places = Kept(handle, "place", "probe long", "at long, held array<long>, waiting array<struct<start:long,deadline:long,n:int,piece:long,offset:int>>")
+        self.early = Pieces(handle, "early")
         self.timed = Timed(handle)
 
     def _open(self) -> None:
-        #: Of each probe: how far it is read, the run at its end, a heap of the starts that wait, their deadlines and sizes.
+        #: Of each probe: how far it is read, the run at its end, a heap of the starts that wait, their deadlines, sizes and places.
         self.states: dict[int, list] = {}
         self.pending: list[Run] = []
         self.n_pending = 0
         self.places.open()
+        self.early.open()
 
     def _load(self, probes: Iterable[int]) -> None:
         for (probe,), row in self.places.get((p,) for p in probes):
             at, held, waiting = row if row is not None else (0, [], [])
             held = np.array(held, np.int64)
-            known = {int(w[0]): (int(w[1]), int(w[2])) for w in waiting}
+            known = {w[0]: w[1:] for w in waiting}
             run = Run(probe, at - len(held), [])
             run.rest = held
             starts = list(known)
             heapify(starts)
-            self.states[probe] = [int(at), run, starts, known]
+            self.states[probe] = [at, run, starts, known]
 
     def _fold(self, probe: int, state: list, start: int, words: np.ndarray) -> None:
         """One more chunk, with the loss before it."""
@@ -219,12 +344,11 @@ class EntryReader(StatefulProcessor):
     def _drain(self, probe: int, state: list, upto: int | None) -> Iterator[pd.DataFrame]:
         """Waiting chunks whose turn has come, or whose deadline has passed; all that lie before such a one go with it."""
         starts, known = state[2], state[3]
-        last = max((start for start, (deadline, _) in known.items() if deadline <= upto), default=-1) if upto is not None else -1
+        last = max((start for start, (deadline, *_) in known.items() if deadline <= upto), default=-1) if upto is not None else -1
         while starts and (starts[0] <= state[0] or starts[0] <= last):
             start = heappop(starts)
-            del known[start]
-            words = np.array(self.early.getValue((probe, start))[0], np.int64)
-            self.early.removeKey((probe, start))
+            _, n, piece, offset = known.pop(start)
+            words = self.early.take(piece, offset, n)
             if start + len(words) > state[0] or start > state[0]:
                 self._fold(probe, state, start, words)
             if self.n_pending >= PENDING:
@@ -234,8 +358,9 @@ class EntryReader(StatefulProcessor):
         for probe, (at, run, _, known) in self.states.items():
             self.places.put((probe,), (at, run.rest.tolist(), [(start, *known[start]) for start in sorted(known)]))
         self.places.close()
+        self.early.close()
         if self.wait_ms is not None:
-            self.timed.set({p: min((d for d, _ in self.states[p][3].values()), default=_NONE) for p in waited})
+            self.timed.set({p: min((d for d, *_ in self.states[p][3].values()), default=_NONE) for p in waited})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         self._open()
@@ -256,8 +381,9 @@ class EntryReader(StatefulProcessor):
                         if known is None:
                             heappush(state[2], start)
                             waited.add(probe)
-                        state[3][start] = (deadline if known is None else known[0], n)
-                        self.early.updateValue((probe, start), (np.asarray(words, np.int64).tolist(),))
+                        else:
+                            self.early.drop(known[2])
+                        state[3][start] = (deadline if known is None else known[0], n, *self.early.put(np.asarray(words, np.int64)))
                     timers.add(deadline)
                     continue
                 self._fold(probe, state, start, np.asarray(words, np.int64))
